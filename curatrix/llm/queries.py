@@ -21,7 +21,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op6_simhash)}
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.html_text import extracted_text
+
+    return extracted_text(table(spark, sf_dir, "pages"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op6_simhash, op7_html_text, op8_quality, op9_packing)}
 
 #: DuckDB's text of what a query returns, where SQL can say it.
 ORACLES: dict[str, str] = {
