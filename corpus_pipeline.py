@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from curatrix.llm.common import materialise, table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from curatrix.llm.quality import keep_good
+
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from curatrix.llm.exact_dedup import exact_dedup
 
@@ -19,7 +25,25 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash_dedup(docs)
 
 
-STAGES = [("exact_dedup", exact_stage), ("simhash_near_dedup", simhash_stage)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from curatrix.llm.decontam import decontaminated
+
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from curatrix.llm.packing import packed
+
+    return packed(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("best_fit_packing", packing_stage),
+]
 
 #: No SQL: the classifier, the latent search and the packing are iterative.
 ORACLE_SQL = None

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from curatrix.llm.common import table
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curatrix.llm.exact_dedup import exact_groups
 
@@ -39,7 +45,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op6_simhash, op7_html_text, op8_quality, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_exact_dedup, op6_simhash, op7_html_text, op8_quality, op9_packing)}
 
 #: DuckDB's text of what a query returns, where SQL can say it.
 ORACLES: dict[str, str] = {
