@@ -40,11 +40,11 @@ def recipes(docs: DataFrame, hash_of=F.xxhash64) -> DataFrame:
     """doc_id, n_chars, text_sha256 and recipe of every row. hash_of: the chunks' hash; a weak one gives the same result."""
     texts = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), normalised().alias("norm"))
     pieces = texts.select(F.explode(chunks(F.col("norm"))).alias("chunk")).select(hash_of("chunk").alias("hash"), "chunk").distinct()
-    shared = materialise(pieces.join(pieces.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "hash", "left_semi"), "chunks")
+    shared = materialise(pieces.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "shared-hashes")
     recipe = texts.select("doc_id", "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), lambda c: F.struct(hash_of(c).alias("hash"), F.lit(0).alias("rank"))).alias("recipe"))
     if shared.limit(1).count() == 0:  # as it is unless 64-bit hashes collide
         return recipe
-    ranked = shared.select("hash", "chunk", F.row_number().over(Window.partitionBy("hash").orderBy("chunk")).alias("rank"))
+    ranked = pieces.join(shared, "hash", "left_semi").select("hash", "chunk", F.row_number().over(Window.partitionBy("hash").orderBy("chunk")).alias("rank"))
     exploded = texts.select("doc_id", "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.posexplode_outer(chunks(F.col("norm"))).alias("at", "chunk"))
     known = exploded.withColumn("hash", hash_of("chunk")).join(ranked, ["hash", "chunk"], "left")
     parts = F.sort_array(F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", "hash", F.coalesce("rank", F.lit(0)).alias("rank")))))
