@@ -21,6 +21,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curatrix.llm.simhash import simhash_groups
 
@@ -45,7 +51,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_exact_dedup, op6_simhash, op7_html_text, op8_quality, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_exact_dedup, op5_licenses, op6_simhash, op7_html_text, op8_quality, op9_packing)}
 
 #: DuckDB's text of what a query returns, where SQL can say it.
 ORACLES: dict[str, str] = {
