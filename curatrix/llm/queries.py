@@ -51,7 +51,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_exact_dedup, op5_licenses, op6_simhash, op7_html_text, op8_quality, op9_packing)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.secrets import secret_scan
+
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_exact_dedup, op5_licenses, op6_simhash, op7_html_text, op8_quality, op9_packing, op10_secrets)}
 
 #: DuckDB's text of what a query returns, where SQL can say it.
 ORACLES: dict[str, str] = {
