@@ -1,54 +1,12 @@
-"""What the operators of this subpackage share: tables in the shared folder, and joins that bear hot keys."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with more than one row in HOT_SHARE of all rows is hot; so at most HOT_SHARE keys are.
-HOT_SHARE = 1000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="curatrix-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage is cut, and a lost executor costs nothing.
-    The files go when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/curatrix/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def attach(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """left join of right, which has one row per key and, in size, the key's rows in left. Both are materialised.
+from curatrix.shared import attach, materialise, table
 
-    Keys with over 1/HOT_SHARE of left's rows number HOT_SHARE at most whatever the input, so these go by broadcast and
-    left's hot rows stay where they are; all others are shuffled.
-    """
-    hot = right.filter(F.col(size) * HOT_SHARE > total)
-    keys = F.broadcast(hot.select(key))
-    few = left.join(F.broadcast(hot), key, "inner")
-    rest = left.join(keys, key, "left_anti").join(right, key, "left")
-    return few.unionByName(rest)
+__all__ = ["attach", "crc32_mod", "materialise", "table"]
 
 
 def crc32_mod(doc_id: str, modulus: int):

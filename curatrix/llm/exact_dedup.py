@@ -71,4 +71,4 @@ def exact_groups(docs: DataFrame, hash_of=F.xxhash64) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     stay = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__kept_id"]), "left_semi")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import attach, materialise
-from curatrix.llm.graph import connected_components
+from curatrix.operators.components import connected_components
 
 RADIUS = 4
 #: The widths of the blocks of bits, RADIUS + 2 of them.
@@ -230,4 +230,4 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs with the smallest id of their component, with all their columns; rows without an id stay."""
     gone = simhash_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
