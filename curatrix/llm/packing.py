@@ -52,21 +52,34 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) > REMEMBERED or len(self.parts) > REMEMBERED:
-            self.words, self.parts = {}, {}
-            # The words at hand are learned anew below.
-        new = [w for w in words if w not in self.words]
+    def _encode_runs(self, runs: list[str], together: int = 200) -> list[bytes]:
+        """Runs of letters, many in one call; each ends with its own id."""
+        out: list[bytes] = []
+        groups = [runs[i : i + together] for i in range(0, len(runs), together)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            raw = ids.tobytes()
+            out += [raw[x:y] for x, y in zip(at, at[1:])] if len(at) == len(group) + 1 else self._encode(group)
+        return out
+
+    def learn(self, new: set[str]) -> None:
         plain = [w for w in new if max(w) < "ɐ" and "<|" not in w and "İ" not in w]  # composed already, and lower case letter by letter
         cut = {w: PIECE.findall(w.lower()) for w in plain}
-        parts = list({p for x in cut.values() for p in x} - self.parts.keys())
-        self.parts.update(zip(parts, self._encode(parts)))
+        parts = set().union(*cut.values()) - self.parts.keys()
+        runs = [p for p in parts if p[0].isalpha()]
+        self.parts.update(zip(runs, self._encode_runs(runs)))
+        others = [p for p in parts if not p[0].isalpha()]
+        self.parts.update(zip(others, self._encode(others)))
         self.words.update((w, b"".join([self.parts[p] for p in x])) for w, x in cut.items())
         rest = [w for w in new if w not in cut]
         self.words.update(zip(rest, self._encode(rest)))
@@ -79,13 +92,21 @@ class Encoder:
             while end < len(texts) and (end == at or size + len(texts[end]) < 1 << 21):
                 size += len(texts[end])
                 end += 1
-            words = [WORD.findall(t) for t in texts[at:end]]
-            self.learn({w for x in words for w in x if w not in self.words} if len(self.words) <= REMEMBERED and len(self.parts) <= REMEMBERED else {w for x in words for w in x})
+            if len(self.words) > REMEMBERED or len(self.parts) > REMEMBERED:
+                self.words, self.parts = {}, {}
+            words = [words_of(t) for t in texts[at:end]]
+            self.learn(set().union(*words) - self.words.keys())
+            get = self.words.__getitem__
             for x in words:
-                yield b"".join([self.words[w] for w in x])
+                yield b"".join(map(get, x))
             at = end
 
 
+def words_of(text: str) -> list[str]:
+    """What the tokenizer's white space leaves; Python's own takes four control characters for white space too."""
+    return WORD.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+
 ENCODERS: dict[str, Encoder] = {}
 
 
