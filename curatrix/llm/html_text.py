@@ -19,20 +19,24 @@ from pyspark.sql import functions as F
 
 SIGMA = 1.0
 #: What elements mean.
-BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template head title svg math canvas object iframe audio video textarea select datalist".split())
 CHROME = frozenset("nav footer aside form button menu dialog search".split())
 CONTENT = frozenset("article main".split())
-CHROME_NAMES = regex.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|promo\w*|related|replies|reply|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])")
+CHROME_NAMES = regex.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|alerts?|breadcrumbs?|comments?|cookies?|consent|copyright|disqus|footer|login|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popular|popup|promo\w*|recommend\w*|related|replies|reply|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|trending|widget)(?:$|[\s_-])")
+HEADER_NAMES = regex.compile(r"(?i)(?:^|[\s_-])(?:banner|header|masthead)(?:$|[\s_-])")
+#: Whole class names of articles that are no article.
+OTHER_ARTICLES = frozenset("ad advert comment comments promo related reply sponsored teaser".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 IMPLIED_END = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 #: What ends an open paragraph when it begins.
-ENDS_P = BLOCKS - {"br", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary", "body", "html"}
+ENDS_P = BLOCKS - {"li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary", "body", "html"}
 
 
 class Lines(HTMLParser):
-    """The page's lines: [text, tags, link characters, region], region 1 in content, -1 in chrome, else 0."""
+    """The page's lines: [text, tags, link characters, region], region 2 in an article, 1 in other content, -1 in chrome,
+    else 0."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -60,6 +64,8 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
+        elif tag == "br":
+            self.text.append(" ")
         inner = len(self.open)
         if tag in ENDS_P or tag == "p":
             for at in range(inner - 1, -1, -1):
@@ -85,12 +91,22 @@ class Lines(HTMLParser):
         names = f"{given.get('class', '')} {given.get('id', '')}" if given else ""
         if tag in UNSEEN or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
             unseen = True
-        elif region >= 0 and (tag in CHROME or given.get("role") in CHROME_ROLES or (tag == "header" and not article) or (tag not in ("html", "body", "article", "main") and names and CHROME_NAMES.search(names))):
+        elif region >= 0 and (tag in CHROME or given.get("role") in CHROME_ROLES or (tag == "header" and not article) or self.named_chrome(tag, names, article)):
             region = -1
-        elif region == 0 and (tag in CONTENT or given.get("role") in ("main", "article") or given.get("itemprop") == "articleBody"):
+        elif region >= 0 and (tag == "article" or given.get("role") == "article" or given.get("itemprop") == "articleBody"):
+            region = 2
+        elif region == 0 and (tag == "main" or given.get("role") == "main"):
             region = 1
         self.open.append((tag, region, unseen, link or tag == "a", article or tag in CONTENT))
 
+    @staticmethod
+    def named_chrome(tag: str, names: str, article: bool) -> bool:
+        if not names or tag in ("html", "body", "main"):
+            return False
+        if tag == "article":
+            return not OTHER_ARTICLES.isdisjoint(names.lower().split())
+        return bool(CHROME_NAMES.search(names) or not article and HEADER_NAMES.search(names))
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in ("script", "style"):
@@ -98,7 +114,10 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag == "br" or tag in BLOCKS:
+        if tag == "br":
+            self.text.append(" ")
+            return
+        if tag in BLOCKS:
             self.end_line()
         for at in range(len(self.open) - 1, -1, -1):
             name = self.open[at][0]
@@ -131,9 +150,9 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def main_text(html: str | None) -> str:
     """The blocks of the page's main text, one a line; empty for a page without any."""
     lines = Lines().finish(html or "")
-    told = [x for x in lines if x[3] == 1]
-    if told:
-        return "\n".join(x[0] for x in told)
+    if told := max((x[3] for x in lines), default=0):
+        if told > 0:
+            return "\n".join(x[0] for x in lines if x[3] == told)
     lines = [x for x in lines if x[3] == 0]
     if not lines:
         return ""

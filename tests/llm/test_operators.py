@@ -309,7 +309,9 @@ def test_main_text(spark):
     from curatrix.llm.html_text import extracted_text, main_text
 
     page = '<html><head><title>t</title><style>p{}</style><script>var a="<p>x</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p>One\n two<br>three<p>four &eacute;<!-- no --><aside>see also</aside><form>mail</form></article><section id="comments"><p>first!</p></section><footer>&copy;</footer></body></html>'
-    assert main_text(page) == "A & B\nOne two\nthree\nfour é"
+    assert main_text(page) == "A & B\nOne two three\nfour é"
+    rich = '<body class="has-sidebar"><div id="page-header">Site</div><div class="cookie-notice">We use</div><main><article class="post no-sidebar"><div class="entry-header"><h1>T</h1></div><p>Body <a href=x>link</a>.</p><ul><li>i1</li><li>i2</li></ul><table><tr><td>c1<td>c2</table><pre>a  b</pre></article><article class="comment"><p>nice</p></article><div role="complementary">x</div></main></body>'
+    assert main_text(rich) == "T\nBody link.\ni1\ni2\nc1\nc2\na b"
     plain = "<body><div id=header>Site name</div>" + "<ul>" + "<li><a href=x>link</a></li>" * 8 + "</ul><div>" + "<p>" + prose(1, 60) + "</p><p>" + prose(2, 50) + "</p></div><div class='sidebar'><p>" + prose(3, 60) + "</p></div></body>"
     assert main_text(plain) == prose(1, 60) + "\n" + prose(2, 50)
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "no tags at all"), (5, "u", "<p>broken <b>tags </i></div>" + "<div>" * 500), (6, "u", "<p>" + "long " * 50_000), (1, "u", page)]
