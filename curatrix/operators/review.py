@@ -190,3 +190,13 @@ def batch_label(label: Column, predicted: Column) -> Column:
 
 def numbered(ordered_by: list[Column], name: str = "number") -> Column:
     return F.row_number().over(Window.orderBy(*ordered_by)).alias(name)
+
+
+def run_presets(releases: DataFrame, work_in_progress: DataFrame | None = None) -> DataFrame:
+    """Releases (position, name, run_id) in their order, and after them a run that is not released yet."""
+    if work_in_progress is None:
+        return releases.orderBy("position")
+    known = releases.select("run_id")
+    last = F.broadcast(releases.agg(F.max("position").alias("__last")))
+    extra = work_in_progress.join(known, "run_id", "left_anti").crossJoin(last).select((F.col("__last") + 1).alias("position"), F.lit("WIP").alias("name"), "run_id")
+    return releases.unionByName(extra).orderBy("position")

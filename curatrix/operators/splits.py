@@ -103,3 +103,8 @@ def refit(entries: DataFrame) -> DataFrame:
     train = entries.filter(F.col("split").isin("train", "val")).withColumn("split", F.lit("train"))
     test = entries.filter(F.col("split") == "test")
     return train.unionByName(test.withColumn("split", F.lit("val"))).unionByName(test)
+
+
+def training_order(entries: DataFrame, seed: int) -> DataFrame:
+    """Entries (id) in a seeded order, which a global sort spreads over many tasks."""
+    return entries.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id")), 256), "id")

@@ -10,7 +10,9 @@ from curatrix.operators import accounts
 from curatrix.plans import domain as D
 from curatrix.plans.registry import query
 from curatrix.shared import shared_folder, table
-from curatrix.sources.manifests import changed_signatures
+from curatrix.sources.manifests import changed_signatures, client_settings, client_stats
+from curatrix.sources.manifests import matched_accounts as matched_account_rows
+from curatrix.sources.manifests import whitelist_import as whitelist_import_
 from curatrix.streaming import collector
 
 
@@ -122,3 +124,30 @@ def account_search(spark, d):
 def match_rates(spark, d):
     e = D.sighting_events(table(spark, d, "events")).groupBy("surface").agg(F.count("*").alias("seen"), F.count_if(F.col("matched") & ~F.col("whitelisted")).alias("hit"))
     return e.select("surface", accounts.match_rate(F.col("hit"), F.col("seen")).alias("rate"))
+
+
+@query("SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT lower(c_mktsegment))), ',') AS handles FROM customer GROUP BY c_nationkey")
+def whitelist_import(spark, d):
+    """Lists as they are imported: an array, or an object for odd nations."""
+    handles = F.collect_set(F.concat(F.lit("@"), F.col("c_mktsegment")))
+    rows = table(spark, d, "customer").groupBy("c_nationkey").agg(handles.alias("h"))
+    text = F.when(F.col("c_nationkey") % 2 == 0, F.to_json("h")).otherwise(F.to_json(F.struct(F.col("h").alias("whitelist_handles"))))
+    return rows.select("c_nationkey", F.array_join(whitelist_import_(text), ",").alias("handles"))
+
+
+@query("SELECT user_id, 'user' || user_id AS handle, count(*) AS posts_matched, '1970-01-01T00:00:00.000Z' AS last_matched_at FROM events WHERE event_type = 'click' GROUP BY user_id")
+def client_state(spark, d):
+    """Stored account maps with missing and broken fields."""
+    clicks = table(spark, d, "events").filter("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("n"))
+    key = F.concat(F.lit("user"), F.col("user_id").cast("string"))
+    value = F.to_json(F.struct(F.lit("").alias("handle"), F.col("n").cast("string").alias("postsMatched")))
+    rows = matched_account_rows(clicks.select(F.create_map(key, value).alias("accounts")))
+    return rows.select(F.substring("handle", 5, 20).cast("long").alias("user_id"), "handle", "posts_matched", "last_matched_at")
+
+
+@query("SELECT event_id, greatest(0, CASE WHEN event_id % 3 = 0 THEN event_id ELSE 0 END) AS scanned, CASE WHEN event_id % 5 = 0 THEN 'fade' ELSE 'hide' END AS mode FROM events")
+def client_defaults(spark, d):
+    e = F.col("event_id")
+    stats = F.to_json(F.struct(F.when(e % 3 == 0, e.cast("string")).otherwise("x").alias("tweetsScanned")))
+    mode = F.to_json(F.struct(F.when(e % 5 == 0, "fade").otherwise("?").alias("mode")))
+    return table(spark, d, "events").select("event_id", client_stats(stats)["tweetsScanned"].alias("scanned"), client_settings(mode)["mode"].alias("mode"))

@@ -270,3 +270,10 @@ def embedding_scores(spark, d):
 
     rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.when(F.col("label") == 0, "positive").otherwise("negative").alias("label"), F.lit(1.0).alias("sample_weight"))
     return model.score(model.train(rows), rows, "vec_id")
+
+
+@query("SELECT row_number() OVER (ORDER BY sha256('3:export:' || doc_id), doc_id)::BIGINT AS place, 'export:' || doc_id AS id FROM documents WHERE doc_id < 100")
+def training_order(spark, d):
+    rows = table(spark, d, "documents").filter("doc_id < 100").select(F.concat(F.lit("export:"), F.col("doc_id").cast("string")).alias("id"))
+    order = F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit("3:"), F.col("id")), 256), "id"))
+    return splits.training_order(rows, 3).select(order.cast("long").alias("place"), "id")

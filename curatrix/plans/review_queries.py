@@ -287,3 +287,34 @@ def stale_fingerprints(spark, d):
     files = D.images(spark, d).select(F.concat(F.lit("image/"), "sha256").alias("path"), F.col("byte_size").alias("file_size"), F.col("width").cast("long").alias("mtime_ns"), F.lit(128).alias("image_size"), "height")
     cache = files.filter("mtime_ns % 7 = 0").withColumn("file_size", F.col("file_size") + F.col("height") % 2)
     return catalog.stale_fingerprints(files, cache).select("path")
+
+
+@query("WITH r AS (SELECT p_partkey AS position, 'v0.' || p_partkey AS name, 'run-' || p_partkey AS run_id FROM part WHERE p_partkey < 11) SELECT * FROM r UNION ALL SELECT max(position) + 1, 'WIP', 'run-99' FROM r")
+def run_presets(spark, d):
+    from curatrix.shared import table
+
+    k = F.col("p_partkey")
+    text = lambda x: F.concat(F.lit(x), k.cast("string"))
+    releases = table(spark, d, "part").filter(k < 11).select(k.alias("position"), text("v0.").alias("name"), text("run-").alias("run_id"))
+    return review.run_presets(releases, spark.createDataFrame([("run-99",), ("run-3",)], "run_id string"))
+
+
+@query(f"WITH {D.ROWS}, {D.merged_sql('merged')}, o AS (SELECT normalized_url, CASE WHEN user_id % 3 = 0 THEN 'failed' ELSE 'downloaded' END AS download_status, CASE WHEN user_id % 3 = 0 THEN 'status 404' END AS last_download_error, CASE WHEN user_id % 3 <> 0 THEN sha256(normalized_url) END AS image_sha256 FROM merged WHERE user_id % 2 = 0) SELECT m.normalized_url, coalesce(o.download_status, CASE WHEN user_id % 5 <> 0 THEN 'downloaded' WHEN user_id % 2 = 0 THEN 'failed' ELSE 'pending' END) AS download_status, o.last_download_error, coalesce(o.image_sha256, CASE WHEN user_id % 5 <> 0 THEN sha256(CAST(user_id AS VARCHAR)) END) AS image_sha256 FROM merged m LEFT JOIN o ON m.normalized_url = o.normalized_url")
+def download_outcomes(spark, d):
+    urls = D.avatar_urls(spark, d)
+    user = F.split_part("normalized_url", F.lit("/"), F.lit(4)).cast("long")
+    bad = user % 3 == 0
+    outcomes = urls.filter(user % 2 == 0).select("normalized_url", F.when(~bad, F.sha2("normalized_url", 256)).alias("sha256"), F.when(bad, "status 404").alias("error"))
+    return catalog.record_outcomes(urls, outcomes, D.at(D.NOW)).select("normalized_url", "download_status", "last_download_error", "image_sha256")
+
+
+@query("WITH l AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'raw/' ELSE 'in/' END || o_orderkey || '.json' AS p, o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0) SELECT 'raw/' || k || '.json' AS export_path FROM l")
+def export_rename(spark, d):
+    """Exports that were ingested from their source get the archive's path."""
+    from curatrix.shared import table
+
+    k = F.col("o_orderkey").cast("string")
+    path = lambda x: F.concat(F.lit(x), k, F.lit(".json"))
+    orders = table(spark, d, "orders")
+    ledger = orders.filter("o_orderkey % 3 <> 0").select(F.when(F.col("o_orderkey") % 2 == 0, path("raw/")).otherwise(path("in/")).alias("export_path"))
+    return catalog.rename_archived(ledger, orders.select(path("in/").alias("source_path"), path("raw/").alias("stored_path"))).select("export_path")
