@@ -5,6 +5,10 @@ whole blocks, so every linked pair meets under one of 15 keys. The rows under a
 is turned into 64 bit planes, and for each shift k the planes and the planes shifted by k are compared, 64 pairs in
 a machine word: carry-save counters add up the differing planes, and words whose pairs are all beyond the radius are
 abandoned. Of the links under a key only a spanning forest leaves the task.
+
+Copies with a word in fifty changed are some ten bits of 64 apart by shingles, too far for keys. So the dedup that keeps
+one of each group compares fingerprints of words, which such copies hardly change, and links those whose fingerprints of
+256 bits by five-word shingles are near too.
 """
 
 from __future__ import annotations
@@ -26,27 +30,59 @@ RADIUS = 4
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Keys with more rows are compared in blocks of so many rows, each pair of blocks in a group of its own.
 BLOCK_ROWS = 8192
+#: For dedup: the radius by words, with its blocks, and of 256 bits by shingles of five words. Texts with a shingle
+#: similarity of 0.8 are some 38 bits apart, unrelated ones over 85.
+WORD_RADIUS, WORD_BLOCKS = 6, (8,) * 8
+SHINGLE_WORDS, SHINGLE_RADIUS, WIDE = 5, 54, 4
 #: So many shifts are compared together.
 SHIFTS = 32
 FINGERPRINTS = "doc_id long, fp long"
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The 64-bit fingerprint, unsigned; zero for a text without words."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, and only ASCII white space
-    if not found:
-        return 0
+def shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of all runs of so many words; of the whole text if it has fewer."""
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(found) - words + 1)
     last = ends[words - 1 :] if len(found) >= words else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), last.tolist())], np.uint64)
+    return np.array([digest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), last.tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def words_in(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, and only ASCII white space
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The 64-bit fingerprint, unsigned; zero for a text without words."""
+    found = words_in(text)
+    return majority(shingle_hashes(found, words)) if found else 0
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes of the same things."""
+    x = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None) -> list[int]:
+    """A fingerprint by words and WIDE more by shingles; zeros for a text without words."""
+    found = words_in(text)
+    if not found:
+        return [0] * (1 + WIDE)
+    shingles = shingle_hashes(found, SHINGLE_WORDS)
+    return [majority(shingle_hashes(found, 1)), *[majority(mixed(shingles, k)) for k in range(WIDE)]]
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,6 +91,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
 
+def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "fp", *[f"w{k}" for k in range(WIDE)]]
+    for batch in batches:
+        fps = np.array([wide_fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).reshape(-1, 1 + WIDE).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in fps.T]], names)
+
+
 def planes_of(fps: np.ndarray) -> np.ndarray:
     """64 rows of machine words: row b has bit b of all fingerprints, one word of padding behind."""
     words = -(-len(fps) // 64) + 1
@@ -109,8 +152,9 @@ def _over(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) ->
     return out
 
 
-def _forest(group: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (i, j) that connect what is linked in each group; group: ascending numbers."""
+def _forest(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) that connect what is linked in each group; group: ascending numbers. wide: rows of more words, which
+    must be near too."""
     n = len(fps)
     label = np.arange(n)
 
@@ -132,7 +176,11 @@ def _forest(group: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         for x in range(min(SHIFTS, n - first)):  # pairs that are connected already need no comparison
             k = first + x
             bits[x, : n - k] = (room[: n - k] >= k) & (label[: n - k] != label[k:])
-        for i, k in zip(*(x.tolist() for x in near_at(planes, np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint64), first))):
+        i_, k_ = near_at(planes, np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint64), first, radius)
+        if wide is not None:
+            near = np.bitwise_count(wide[i_] ^ wide[i_ + k_]).sum(1, dtype=np.int64) <= SHINGLE_RADIUS
+            i_, k_ = i_[near], k_[near]
+        for i, k in zip(i_.tolist(), k_.tolist()):
             a, b = root(i), root(i + k)
             if a != b:
                 label[max(a, b)] = min(a, b)
@@ -141,8 +189,9 @@ def _forest(group: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, part, fp, rep), sorted by key and part, to edges (a, b). A group that goes on in the next batch waits."""
+def _links(batches: Iterator[pa.RecordBatch], radius: int, extra: int) -> Iterator[pa.RecordBatch]:
+    """Rows (tbl, key, part, fp, rep and extra wide words), sorted by key and part, to edges (a, b). A group that goes on in
+    the next batch waits."""
     wait: list[np.ndarray] = []
 
     def found(rows: np.ndarray):
@@ -156,13 +205,14 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = min(at + 4096, len(rows))
             while end < len(rows) and group[end] == group[end - 1]:
                 end += 1
-            i, j = _forest(group[at:end], rows["fp"][at:end].view(np.uint64).copy())
+            wide = np.stack([rows[f"w{k}"][at:end] for k in range(extra)], axis=1).view(np.uint64) if extra else None
+            i, j = _forest(group[at:end], rows["fp"][at:end].copy().view(np.uint64), radius, wide)
             if len(i):
                 reps = rows["rep"][at:end]
                 yield pa.RecordBatch.from_arrays([pa.array(reps[i]), pa.array(reps[j])], ["a", "b"])
             at = end
 
-    kind = np.dtype([("tbl", np.int32), ("key", np.int64), ("part", np.int64), ("fp", np.int64), ("rep", np.int64)])
+    kind = np.dtype([("tbl", np.int32), ("key", np.int64), ("part", np.int64), ("fp", np.int64), ("rep", np.int64), *[(f"w{k}", np.int64) for k in range(extra)]])
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -194,9 +244,11 @@ def key_masks(blocks: tuple = BLOCKS, radius: int = RADIUS) -> list[int]:
     return [_signed(sum(c)) for c in combinations(masks, len(blocks) - radius)]
 
 
-def fingerprint_links(classes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Edges (a, b) between the rep of classes (fp, rep; fp distinct) that connect exactly what a chain of links connects."""
-    keyed = classes.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(t).alias("tbl"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(key_masks())])).alias("k")).select("k.tbl", "k.key", "fp", "rep")
+def fingerprint_links(classes: DataFrame, block_rows: int = BLOCK_ROWS, radius: int = RADIUS, blocks: tuple = BLOCKS) -> DataFrame:
+    """Edges (a, b) between the rep of classes (fp, rep, and maybe wide words) that connect exactly what a chain of links
+    connects."""
+    wide = [c for c in classes.columns if c not in ("fp", "rep")]
+    keyed = classes.select("fp", "rep", *wide, F.explode(F.array(*[F.struct(F.lit(t).alias("tbl"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(key_masks(blocks, radius))])).alias("k")).select("k.tbl", "k.key", "fp", "rep", *wide)
     counts = materialise(keyed.groupBy("tbl", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows), "large-keys")
     n_hot = counts.count()
     if n_hot:
@@ -207,8 +259,8 @@ def fingerprint_links(classes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataF
         keyed = known.withColumn("part", F.explode(parts))
     else:
         keyed = keyed.withColumn("part", F.lit(0).cast("long"))
-    rows = keyed.select("tbl", "key", "part", "fp", "rep").repartition("tbl", "key", "part").sortWithinPartitions("tbl", "key", "part")
-    return rows.mapInArrow(_links, "a long, b long")
+    rows = keyed.select("tbl", "key", "part", "fp", "rep", *wide).repartition("tbl", "key", "part").sortWithinPartitions("tbl", "key", "part")
+    return rows.mapInArrow(lambda batches: _links(batches, radius, len(wide)), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
@@ -227,7 +279,26 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(id, component) of rows whose text is nearly one with a smaller id: fingerprints by words WORD_RADIUS apart at most,
+    and by shingles of SHINGLE_WORDS words SHINGLE_RADIUS of 64 * WIDE bits. Texts without words are one group. Rows
+    without an id are left out."""
+    wide = [f"w{k}" for k in range(WIDE)]
+    kind = ", ".join(["doc_id long, fp long", *[f"{w} long" for w in wide]])
+    marks = materialise(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_wide_fingerprints, kind), "wide-fingerprints")
+    # Equal fingerprints are one class, so a group of copies of any size has one row under each key.
+    classes = materialise(marks.groupBy("fp", *wide).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "wide-classes")
+    links = connected_components(fingerprint_links(classes.select("fp", "rep", *wide), radius=WORD_RADIUS, blocks=WORD_BLOCKS))
+    # A row's class is known by its first id: joined on all words packed into one key.
+    pack = F.concat_ws(".", F.col("fp"), *wide)
+    known = classes.select(pack.alias("mark"), "rep", "n").join(links, F.col("rep") == F.col("id"), "left")
+    named = materialise(known.select("mark", "n", F.coalesce("component", "rep").alias("component")), "near-components")
+    rows = materialise(marks.select("doc_id", pack.alias("mark")), "marks")
+    return attach(rows, named, "mark", "n", rows.count()).filter("doc_id <> component").select(F.col("doc_id").alias("id"), "component")
+
+
 def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the smallest id of their component, with all their columns; rows without an id stay."""
-    gone = simhash_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
+    """The rows of docs but near copies of rows with a smaller id (near_copies), with all their columns. Rows without an id
+    stay; rows that repeat an id stay or go together."""
+    gone = near_copies(docs).select(F.col("id").alias("__gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")

@@ -257,6 +257,44 @@ def _components(fps, radius=4):
     return label
 
 
+def _near(texts):
+    """Components of near copies by the plain definition."""
+    from curatrix.llm.simhash import SHINGLE_RADIUS, WORD_RADIUS, wide_fingerprint
+
+    marks = [wide_fingerprint(t) for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        was = list(label)
+        for i in range(len(texts)):
+            for j in range(i):
+                d = [(a ^ b).bit_count() for a, b in zip(marks[i], marks[j])]
+                if d[0] <= WORD_RADIUS and sum(d[1:]) <= SHINGLE_RADIUS:
+                    label[i] = label[j] = min(label[i], label[j])
+        if label == was:
+            break
+    return label
+
+
+def test_near_copies_are_caught_and_others_stay(spark):
+    from curatrix.llm.simhash import simhash_dedup
+
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 8))) for _ in range(4000)]
+    common = vocabulary[:40]
+    text = lambda n: [r.choice(common) if r.random() < 0.5 else r.choice(vocabulary) for _ in range(n)]
+    texts, first = [], {}
+    for g in range(40):
+        base = text(r.randint(80, 500))
+        for _ in range(r.randint(1, 4)):
+            copy = list(base)
+            for _ in range(len(base) // 60):  # a similarity of about 0.85
+                copy[r.randrange(len(copy))] = r.choice(vocabulary)
+            first.setdefault(g, len(texts))
+            texts.append(" ".join(copy))
+    kept = {x.doc_id for x in simhash_dedup(docs(spark, texts)).collect()}
+    assert kept == set(_near(texts)) and set(first.values()) <= kept and len(kept) <= 1.1 * len(first)
+
+
 def test_simhash_groups(spark):
     from curatrix.llm.simhash import simhash_dedup, simhash_groups
 
@@ -270,7 +308,7 @@ def test_simhash_groups(spark):
     assert [int(got[i].fingerprint, 16) for i in range(len(texts))] == fps
     assert [got[i].component_id for i in range(len(texts))] == want
     kept = simhash_dedup(d)
-    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == set(want)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == set(_near(texts))
     again = simhash_groups(docs(spark, ["a b", "a b", "c", "c"], [5, 5, None, None])).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in again) == [("5", "5"), ("5", "5"), ("None", "None"), ("None", "None")]
     assert simhash_groups(docs(spark, [])).count() == 0
@@ -474,7 +512,6 @@ def test_pipeline(spark):
     rows = {r.doc_id: r.text for r in steps[1].collect()}
     assert kept[2] == {x[1] for x in _exact(list(rows.items()))}
     after = sorted(kept[2])
-    fps = [_fingerprint(rows[i]) for i in after]
-    assert kept[3] == {after[c] for c in _components(fps)}
+    assert kept[3] == {after[c] for c in _near([rows[i] for i in after])}
     a = Counter(tuple(r) for r in token_pieces(steps[4], default_tokenizer()).collect())
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in steps[5].collect()) == a
