@@ -210,7 +210,10 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> A
     """Fit on sample labelled rows at most, none with crc32(doc_id) mod FOLDS = 0; of several labels of an id the mean counts."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("mean"))
     known = known.select("doc_id", (F.col("mean") >= 0.5).cast("double").alias("label"))
-    picked = known.filter(crc32_mod("doc_id", FOLDS) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    open_ = known.filter(crc32_mod("doc_id", FOLDS) != 0).withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    # Twice as many as are wanted go on to be sorted, however many labels there are.
+    bound = (1 << 30) * 2 * sample // max(1, open_.count())
+    picked = open_.filter(F.col("hash") < bound).orderBy("hash", "doc_id").limit(sample).select("doc_id", "label")
     few = F.broadcast(picked)  # sample rows of 16 bytes
     rows = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "label", "text").mapInArrow(_measured, "doc_id long, label double, measures array<double>").toArrow()
     order = np.argsort(ids := np.array(rows["doc_id"].to_pylist(), np.int64), kind="stable")
