@@ -424,3 +424,27 @@ def test_scoring_rows_and_settings(spark):
     events = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "handle string, matched boolean")
     settings_ = spark.createDataFrame([("fade", ["a"])], "mode string, whitelist_handles array<string>")
     assert {r.handle: r.decision for r in collector.apply_settings(events, settings_).collect()} == {"a": "show", "b": "fade", "c": "show"}
+
+
+def test_attach_gives_hot_and_cold_keys_their_rows(spark):
+    from curatrix.shared import attach
+
+    rows = [("hot", i) for i in range(40)] + [(f"k{i}", i) for i in range(10)] + [("none", 1)]
+    left = spark.createDataFrame(rows, "key string, i int")
+    sizes = left.filter("key <> 'none'").groupBy("key").agg(F.count("*").alias("n")).withColumn("v", F.upper("key"))
+    want = sorted((k, i, None if k == "none" else k.upper()) for k, i in rows)
+    for total in (1, 20_000, 10**9):  # all keys hot, one hot, none
+        got = attach(left, sizes, "key", "n", total)
+        assert sorted(((r.key, r.i, r.v) for r in got.collect()), key=lambda x: (x[0], x[1])) == sorted(want, key=lambda x: (x[0], x[1]))
+
+
+def test_run_presets_and_training_order(spark):
+    from curatrix.operators import review as r
+
+    releases = spark.createDataFrame([(1, "v1", "a"), (2, "v2", "b")], "position int, name string, run_id string")
+    wip = lambda x: spark.createDataFrame([(x,)], "run_id string")
+    assert [x.run_id for x in r.run_presets(releases).collect()] == ["a", "b"]
+    assert [x.name for x in r.run_presets(releases, wip("c")).collect()] == ["v1", "v2", "WIP"] and r.run_presets(releases, wip("a")).count() == 2
+    entries = spark.createDataFrame([(str(i),) for i in range(20)], "id string")
+    once = [x.id for x in splits.training_order(entries, 1).collect()]
+    assert once == [x.id for x in splits.training_order(entries.repartition(3), 1).collect()] != [x.id for x in splits.training_order(entries, 2).collect()]
