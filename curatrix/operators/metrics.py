@@ -42,9 +42,10 @@ def threshold_table(entries: DataFrame) -> DataFrame:
     buckets = merged.groupBy("__b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
     above = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # A row for each of 1,025 buckets.
     before = buckets.select("__b", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"), F.sum("bp").over(whole).alias("all_p"), F.sum("bn").over(whole).alias("all_n"))
     within = Window.partitionBy("__b").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = merged.join(before, "__b").select("threshold", (F.col("p0") + F.sum("p").over(within)).cast("double").alias("tp"), (F.col("n0") + F.sum("n").over(within)).cast("double").alias("fp"), "all_p", "all_n")
+    c = merged.join(F.broadcast(before), "__b").select("threshold", (F.col("p0") + F.sum("p").over(within)).cast("double").alias("tp"), (F.col("n0") + F.sum("n").over(within)).cast("double").alias("fp"), "all_p", "all_n")
     c = c.select("threshold", "tp", "fp", (F.col("all_n") - F.col("fp")).alias("tn"), (F.col("all_p") - F.col("tp")).alias("fn"))
     return c.select("threshold", "tp", "fp", "tn", "fn", *rates(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn")))
 

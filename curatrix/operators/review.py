@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.text import no_strings
 from curatrix.schemas import LABELS, MANUAL
+from curatrix.shared import small
 
 QUEUES = ("needs_review", "model_disagreements", "exempted", "high_impact", "notifications", "boundary_review", "model_backlog", "hard_negatives")
 #: The queue to open is the first of these that has items.
@@ -49,7 +50,9 @@ def review_items(images: DataFrame, scores: DataFrame, avatar_urls: DataFrame, t
     """
     picked = scores.filter(F.col("run_id") == run_id) if run_id is not None else latest_scores(scores)
     picked = picked.select(F.col("image_sha256").alias("sha256"), "run_id", "score", "predicted_label")
-    joined = images.join(picked, "sha256", "left").join(url_rollup(avatar_urls), "sha256", "left").join(thresholds.select("run_id", "threshold"), "run_id", "left")
+    # All rows have one of a few runs, so these must not be shuffled by run.
+    known = small(thresholds.select("run_id", "threshold"))
+    joined = images.join(picked, "sha256", "left").join(url_rollup(avatar_urls), "sha256", "left").join(known, "run_id", "left")
     empty, none = F.lit(0).cast("long"), F.lit(None)
     return joined.select(
         "sha256", "local_path", "width", "height", "label", "label_source", "labeled_at", "review_notes", "updated_at",

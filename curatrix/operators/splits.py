@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.shared import materialise
+
 HOLDOUT_TEST = HOLDOUT_VAL = 64
 
 
@@ -44,14 +46,15 @@ def stratified_holdout(groups: DataFrame, ratio: float, seed: int) -> DataFrame:
     keyed = keyed.withColumn("__of", partition).withColumn("__prefix", F.substring("__order", 1, 3))
     counts = keyed.groupBy("__of", "__prefix").agg(F.count("*").alias("__n"))
     before = counts.select("__of", "__prefix", (F.sum("__n").over(Window.partitionBy("__of").orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1))).alias("__before"), F.sum("__n").over(Window.partitionBy("__of")).alias("__all"))
-    placed = keyed.join(before, ["__of", "__prefix"]).withColumn("__place", F.coalesce("__before", F.lit(0)) + F.row_number().over(Window.partitionBy("__of", "__prefix").orderBy("__order", "group_id")))
+    # 4,096 prefixes for each label at most, so groups are shuffled once, to be ranked within a prefix.
+    placed = keyed.join(F.broadcast(before), ["__of", "__prefix"]).withColumn("__place", F.coalesce("__before", F.lit(0)) + F.row_number().over(Window.partitionBy("__of", "__prefix").orderBy("__order", "group_id")))
     limit = F.ceil(F.col("__all") / folds) if folds >= 2 else F.lit(max(1, round(total * ratio)))
     return placed.withColumn("held", F.col("__place") <= limit).select(*groups.columns, "held")
 
 
 def initial_splits(groups: DataFrame, test_ratio: float, val_ratio: float, seed: int = 7) -> DataFrame:
     """(group_id, split): a stratified share for test, then of the rest val / (train + val) for val."""
-    first = stratified_holdout(groups, test_ratio, seed)
+    first = materialise(stratified_holdout(groups, test_ratio, seed).select("group_id", "label", "held"), "held")
     test = first.filter("held").select("group_id", F.lit("test").alias("split"))
     return test.unionByName(train_val_splits(first.filter("not held").drop("held"), val_ratio / max(1e-12, 1 - test_ratio), seed))
 
@@ -68,8 +71,9 @@ def assign_splits(groups: DataFrame, prior: DataFrame | None = None, test_ratio:
     What is set aside comes first, then families that may not be judged blind (train), then what a prior manifest
     (group_id, split) says, then new families: split afresh without a prior, else dealt to train and val only.
     """
-    held = collection_holdout(groups).withColumn("reason", F.lit("holdout"))
-    rest = groups.join(held.select("group_id"), "group_id", "left_anti")
+    groups = materialise(groups.select("group_id", "label", "eligible", "collection_only"), "groups")
+    held = materialise(collection_holdout(groups).withColumn("reason", F.lit("holdout")), "holdout")
+    rest = groups.join(F.broadcast(held.select("group_id")), "group_id", "left_anti")  # HOLDOUT_TEST + HOLDOUT_VAL rows
     blocked = rest.filter("not eligible").select("group_id", F.lit("train").alias("split"), F.lit("train_only").alias("reason"))
     open_ = rest.filter("eligible")
     if prior is None:

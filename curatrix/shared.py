@@ -38,6 +38,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df for broadcast if it has at most so many rows, which is counted; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def attach(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """left join of right, which has one row per key and, in size, the key's rows in left. Both are materialised.
 
