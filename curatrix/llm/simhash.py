@@ -7,8 +7,8 @@ a machine word: carry-save counters add up the differing planes, and words whose
 abandoned. Of the links under a key only a spanning forest leaves the task.
 
 Copies with a word in fifty changed are some ten bits of 64 apart by shingles, too far for keys. So the dedup that keeps
-one of each group compares fingerprints of words, which such copies hardly change, and links those whose fingerprints of
-256 bits by five-word shingles are near too.
+one of each group compares fingerprints of distinct words, which such copies hardly change, and links those whose
+fingerprints of 128 bits by five-word shingles are near too.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ RADIUS = 4
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Keys with more rows are compared in blocks of so many rows, each pair of blocks in a group of its own.
 BLOCK_ROWS = 8192
-#: For dedup: the radius by words, with its blocks, and of 256 bits by shingles of five words. Texts with a shingle
-#: similarity of 0.8 are some 38 bits apart, unrelated ones over 85.
-WORD_RADIUS, WORD_BLOCKS = 6, (8,) * 8
-SHINGLE_WORDS, SHINGLE_RADIUS, WIDE = 5, 54, 4
+#: For dedup: the radius by distinct words, with its blocks, and of 128 bits by shingles of five words. Texts with
+#: a shingle similarity of 0.8 are some 5 and 19 bits apart, unrelated ones over 9 and over 40.
+WORD_RADIUS, WORD_BLOCKS = 8, (7, 7, 7, 7, 6, 6, 6, 6, 6, 6)
+SHINGLE_WORDS, SHINGLE_RADIUS, WIDE = 5, 28, 2
 #: So many shifts are compared together.
 SHIFTS = 32
 FINGERPRINTS = "doc_id long, fp long"
@@ -77,12 +77,13 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def wide_fingerprint(text: str | None) -> list[int]:
-    """A fingerprint by words and WIDE more by shingles; zeros for a text without words."""
+    """A fingerprint by distinct words and WIDE more by shingles; zeros for a text without words."""
     found = words_in(text)
     if not found:
         return [0] * (1 + WIDE)
     shingles = shingle_hashes(found, SHINGLE_WORDS)
-    return [majority(shingle_hashes(found, 1)), *[majority(mixed(shingles, k)) for k in range(WIDE)]]
+    distinct = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(found)], np.uint64)  # frequent words would draw all texts together
+    return [majority(distinct), *[majority(mixed(shingles, k)) for k in range(WIDE)]]
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,36 +121,41 @@ def _shifted(planes: np.ndarray, k: int) -> np.ndarray:
 def near_at(planes: np.ndarray, same: np.ndarray, first: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """The (i, k) with fingerprints i and i + k at most radius apart, among those whose bit i is set in same[k - first].
 
-    same: a row of machine words for each shift from first on. radius: 6 at most.
+    same: a row of machine words for each shift from first on. radius: 11 at most.
     """
     moved = np.stack([_shifted(planes, first + x) for x in range(len(same))], axis=1)
     shift, word = np.nonzero(same)
     open_ = same[shift, word]
-    ones = twos = fours = np.zeros(len(word), np.uint64)
+    ones = twos = fours = eights = np.zeros(len(word), np.uint64)
     for b in range(64):
         bit = planes[b][word] ^ moved[b][shift, word]
         carry = ones & bit
         ones = ones ^ bit
         carry, twos = twos & carry, twos ^ carry
-        eight = fours & carry
-        fours = fours ^ carry
-        open_ = open_ & ~(eight | _over(ones, twos, fours, radius))
+        carry, fours = fours & carry, fours ^ carry
+        eights = eights ^ carry
+        if b % 4 == 3:  # pairs within the radius count radius + 4 by now at most, so no counter has run over
+            open_ = open_ & ~_over((eights, fours, twos, ones), radius)
         if b % 8 == 7:  # abandon the words whose pairs are all beyond the radius
             keep = open_ != 0
             if not keep.all():
-                shift, word, open_, ones, twos, fours = (x[keep] for x in (shift, word, open_, ones, twos, fours))
+                shift, word, open_, ones, twos, fours, eights = (x[keep] for x in (shift, word, open_, ones, twos, fours, eights))
             if not len(word):
                 break
     at, bit = np.nonzero(np.unpackbits(open_.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     return word[at] * 64 + bit, shift[at] + first
 
 
-def _over(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Bits of the counters (up to 7) that are over the radius."""
-    out = np.zeros_like(ones)
-    for n in range(radius + 1, 8):
-        out |= (ones if n & 1 else ~ones) & (twos if n & 2 else ~twos) & (fours if n & 4 else ~fours)
-    return out
+def _over(counters: tuple[np.ndarray, ...], radius: int) -> np.ndarray:
+    """Bits whose counter, the highest place first, is over the radius."""
+    over, equal = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
+    for place, c in zip(range(len(counters) - 1, -1, -1), counters):
+        if radius >> place & 1:
+            equal = equal & c
+        else:
+            over |= equal & c
+            equal = equal & ~c
+    return over
 
 
 def _forest(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
