@@ -461,6 +461,10 @@ def test_secret_scan(spark):
         assert set(shown) <= set(filter(None, r.spans.split(",")))
     n = len(TEXTS)
     assert "network:4:44" in got[n + 6].spans and got[n + 7].spans == ""
+    # A secret at the end of a long run is seen; the same run without it is harmless.
+    path = "see " + "tharen/onlist/werth/" * 8
+    long = [path + "ghp_a8Fk2LmQ9zXc7VbN4tYu1WpE6rTgHs0DjK3i", path + "page7.html"]
+    assert [r.spans for r in secret_scan(docs(spark, long)).orderBy("doc_id").collect()] == [f"network:4:{len(long[0])}", ""]
     test = findings(1500, 77)
     net = trained()
     p = net.probability(np.array([window(t, s, e) for t, s, e, _ in test])) >= net.threshold
