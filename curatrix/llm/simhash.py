@@ -8,7 +8,7 @@ abandoned. Of the links under a key only a spanning forest leaves the task.
 
 Copies with a word in fifty changed are some ten bits of 64 apart by shingles, too far for keys. So the dedup that keeps
 one of each group compares fingerprints of distinct words, which such copies hardly change, and links those whose
-fingerprints of 128 bits by five-word shingles are near too.
+fingerprints of 256 bits by five-word shingles are near too.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ RADIUS = 4
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Keys with more rows are compared in blocks of so many rows, each pair of blocks in a group of its own.
 BLOCK_ROWS = 8192
-#: For dedup: the radius by distinct words, with its blocks, and of 128 bits by shingles of five words. Texts with
-#: a shingle similarity of 0.8 are some 5 and 19 bits apart, unrelated ones over 9 and over 40.
+#: For dedup: the radius by distinct words, with its blocks, and of 256 bits by shingles of five words. Texts with
+#: a shingle similarity of 0.8 are some 5 and 38 bits apart, unrelated ones over 9 and over 80.
 WORD_RADIUS, WORD_BLOCKS = 8, (7, 7, 7, 7, 6, 6, 6, 6, 6, 6)
-SHINGLE_WORDS, SHINGLE_RADIUS, WIDE = 5, 28, 2
+SHINGLE_WORDS, SHINGLE_RADIUS, WIDE = 5, 52, 4
 #: So many shifts are compared together.
 SHIFTS = 32
 FINGERPRINTS = "doc_id long, fp long"
