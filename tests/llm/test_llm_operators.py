@@ -121,6 +121,52 @@ def test_decontamination_recall_over_brute_force(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_decontamination_recall_of_a_full_block_of_short_items(spark):
+    """Against checking every passage for every item; half of the planted items have a fifth of their words changed."""
+    from curatrix.llm import decontam as D
+
+    pool = [t.split() for (t,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect() if len((t or "").split()) > 100]
+    r = random.Random(6)
+    items, texts = [], []
+    for i in range(D.BLOCK_ITEMS):
+        source, host = r.choice(pool[: len(pool) // 2]), r.choice(pool[len(pool) // 2 :])
+        n = r.randint(5, 20)
+        a, at = r.randrange(len(source) - n), r.randrange(len(host))
+        items.append(" ".join(source[a : a + n]))
+        words = items[-1].split()
+        for k in r.sample(range(n), n // 5 * (i % 2)):
+            words[k] = "changed"
+        texts.append(" ".join([*host[max(0, at - 80) : at], *words, *host[at : at + 80]]))
+    d, b = docs(spark, texts), _benchmark(spark, items)
+    pairs = lambda **given: {(x.doc_id, x.item_id) for x in D.contaminated(d, b, **given).collect()}
+    got, every = pairs(), pairs(cosine=-2.0)
+    planted = {(i, i) for i in range(len(items))} & every
+    assert got <= every and len(planted) > 900
+    assert len(got & planted) >= 0.97 * len(planted)
+
+
+def test_decontamination_looks_up_words_without_loss(spark):
+    from curatrix.llm import decontam as D
+
+    r = random.Random(9)
+    items = [(i, " ".join(r.choice("abcdefghijklmnop") for _ in range(n))) for i, n in enumerate((3, 4, 7, 12, 31, 33, 70, 150))]
+    found = [np.array([r.randrange(-1, 12 + g % 5) for _ in range(n)], np.int32) for g, n in enumerate((90, 0, 5, 32, 33, 20_000, 700))]
+    it = D.read_items(items)
+    it.idf = np.linspace(1, 2, len(it.vocabulary))
+    it.answers = [frozenset(x for x in w if it.idf[x] >= D.CONTENT * max(it.idf[y] for y in w)) for w in it.words]
+    n = [-(-len(x) // D.HALF) for x in found]
+    cases = [(t, i, k) for t in range(len(found)) for i in range(n[t]) for k in range(len(items))]
+    first = np.cumsum([0, *n])
+    able = D._may_pass(found, np.array([first[t] + i for t, i, _ in cases]), np.array([k for *_, k in cases]), len(it.vocabulary), D._flat(it.answers), D._flat(it.words))
+    passed = 0
+    for (t, i, k), a in zip(cases, able):
+        share, answer = D.check_words(it, k, found[t], i * D.HALF)
+        if share >= D.LCS_SHARE and answer >= D.ANSWER_SHARE:
+            passed += 1
+            assert a
+    assert passed and not able.all()
+
+
 # 3
 
 
