@@ -2,8 +2,8 @@
 
 The standard library's parser streams events. Text between block boundaries is a line; every line has its characters and
 its tags, and the ratio of both, smoothed along the page, is high in an article and low in menus. Lines cluster at
-a threshold that the page's own ratios set. Where the page says what a region is (article, nav, form, class names), that
-decides before the ratio does.
+a threshold that the page's own ratios set. What the page says of its regions is a later check: the lines of an article or
+main element are the main text if most text over the threshold lies there. Lines in nav, form and the like are left out.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ CHROME = frozenset("nav footer aside form button menu dialog search".split())
 CONTENT = frozenset("article main".split())
 CHROME_NAMES = regex.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|alerts?|breadcrumbs?|comments?|cookies?|consent|copyright|disqus|footer|login|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popular|popup|promo\w*|recommend\w*|related|replies|reply|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|trending|widget)(?:$|[\s_-])")
 HEADER_NAMES = regex.compile(r"(?i)(?:^|[\s_-])(?:banner|header|masthead)(?:$|[\s_-])")
+#: Class names that say what a wrapper has, not what it is.
+MODIFIERS = regex.compile(r"(?i)(?:^|(?<=\s))(?:has|hide|is|no|show|with|without)[_-]\S*")
 #: Whole class names of articles that are no article.
 OTHER_ARTICLES = frozenset("ad advert comment comments promo related reply sponsored teaser".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -43,6 +45,7 @@ class Lines(HTMLParser):
         self.lines: list[list] = []
         self.text: list[str] = []
         self.tags = self.linked = 0
+        self.named: list[int] = []  # depths of open elements that are chrome by their names only
         self.open: list[tuple[str, int, bool, bool, bool]] = []  # element; inside it: region, unseen, link, article
 
     def state(self) -> tuple[int, bool, bool, bool]:
@@ -59,6 +62,8 @@ class Lines(HTMLParser):
         if any(x[0] in BLOCKS for x in self.open[at:]):
             self.end_line()
         del self.open[at:]
+        while self.named and self.named[-1] >= at:
+            self.named.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -91,20 +96,30 @@ class Lines(HTMLParser):
         names = f"{given.get('class', '')} {given.get('id', '')}" if given else ""
         if tag in UNSEEN or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
             unseen = True
-        elif region >= 0 and (tag in CHROME or given.get("role") in CHROME_ROLES or (tag == "header" and not article) or self.named_chrome(tag, names, article)):
+        elif region >= 0 and (tag in CHROME or given.get("role") in CHROME_ROLES or (tag == "header" and not article)):
             region = -1
+        elif region >= 0 and self.named_chrome(tag, names, article):
+            region = -1
+            self.named.append(len(self.open))
+        elif region < 0 and tag in CONTENT and self.by_name_only() and not self.named_chrome(tag, names, article):
+            region = 0 if tag == "article" else 1  # a wrapper's name does not settle what an article in it is; its ratios do
         elif region >= 0 and (tag == "article" or given.get("role") == "article" or given.get("itemprop") == "articleBody"):
             region = 2
         elif region == 0 and (tag == "main" or given.get("role") == "main"):
             region = 1
         self.open.append((tag, region, unseen, link or tag == "a", article or tag in CONTENT))
 
+    def by_name_only(self) -> bool:
+        """Whether chrome began at a name and no element inside is chrome by itself."""
+        return bool(self.named) and not any(x[0] in CHROME or x[0] in ("header", "article") for x in self.open[self.named[-1] :])
+
     @staticmethod
     def named_chrome(tag: str, names: str, article: bool) -> bool:
         if not names or tag in ("html", "body", "main"):
             return False
         if tag == "article":
             return not OTHER_ARTICLES.isdisjoint(names.lower().split())
+        names = MODIFIERS.sub("", names)
         return bool(CHROME_NAMES.search(names) or not article and HEADER_NAMES.search(names))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -150,10 +165,7 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def main_text(html: str | None) -> str:
     """The blocks of the page's main text, one a line; empty for a page without any."""
     lines = Lines().finish(html or "")
-    if told := max((x[3] for x in lines), default=0):
-        if told > 0:
-            return "\n".join(x[0] for x in lines if x[3] == told)
-    lines = [x for x in lines if x[3] == 0]
+    lines = [x for x in lines if x[3] >= 0]
     if not lines:
         return ""
     ratios = np.array([len(t) / max(1, tags) * (1 - min(1, linked / len(t))) for t, tags, linked, _ in lines])
@@ -171,6 +183,11 @@ def main_text(html: str | None) -> str:
     # A page whose lines are all alike is one region.
     if smooth.max() < 2.5 * max(smooth.min(), 1e-9):
         threshold = 0
+    # The page's own mark holds if most text of the high cluster lies inside it.
+    told = max(x[3] for x in lines)
+    high = [x for x, value in zip(lines, smooth) if value >= threshold]
+    if told > 0 and 2 * sum(len(x[0]) for x in high if x[3] == told) > sum(len(x[0]) for x in high):
+        return "\n".join(x[0] for x in lines if x[3] == told)
     # The region reaches from the first line over the threshold to the last, and on over lines without links.
     keep = smooth >= threshold
     if threshold:

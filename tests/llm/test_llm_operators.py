@@ -407,6 +407,20 @@ def test_main_text(spark):
     assert extracted_text(df.limit(0)).count() == 0
 
 
+def test_main_text_by_ratio_where_marks_mislead():
+    from curatrix.llm.html_text import main_text
+
+    body = [prose(s, 60) for s in range(4)]
+    told = "".join(f"<p>{x}</p>" for x in body)
+    cards = "".join(f"<article class=card><h3><a href=x>Card {k}</a></h3><p>Read on</p></article>" for k in range(6))
+    assert main_text(f"<body><div>{told}</div><div>{cards}</div></body>").split("\n")[:4] == body
+    for name in ("content has-sidebar", "no-comments", "with-sidebar"):
+        assert main_text(f'<body><div class="{name}"><article>{told}</article></div><div class="sidebar">{cards}</div></body>').split("\n")[:4] == body
+        assert main_text(f'<body><div class="{name}">{told}</div></body>') == "\n".join(body)
+    assert main_text(f'<body><div class="share"><article>{told}</article></div></body>') == "\n".join(body)
+    assert main_text(f'<body><article>{told}</article><div class="related"><article><p>{prose(9, 20)}</p></article></div></body>') == "\n".join(body)
+
+
 # 8
 
 
