@@ -1,7 +1,7 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
-The templates' words form an index: word -> template and place. Each file's licence words are ranked by their inverse
-document frequency over all files; the rarest are looked up, and every posting votes for a template and a relative
+The templates' words form an index: word -> template and place. The words that a file has of each template are ranked by their
+inverse document frequency over all files; the rarest are looked up, and every posting votes for a template and a relative
 position. The best aligned position has a share of the template's weight; a template counts if that share is high enough
 and all its mandatory key phrases occur. Texts are read once and never shuffled: what is exploded are the files that hold
 a template's key phrases.
@@ -38,7 +38,7 @@ TEMPLATES = [
 ]
 #: Words of no use for an index.
 COMMON = frozenset("a and any are by for in is may not of on or the this to under use with without you".split())
-#: So many of a file's rarest licence words are looked up.
+#: So many of each verified template's rarest words in a file are looked up.
 RAREST = 8
 #: Share of a template's looked-up weight that one position must gather.
 SHARE = 0.6
@@ -103,12 +103,15 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     files = digest.filter("words is not null").select(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_hash", "licence_words", "verified", "words").dropDuplicates(["id", "no_id", "text_hash"])
     file = ["id", "no_id", "text_hash"]
-    ranked = files.select(*file, F.explode("licence_words").alias("word")).join(F.broadcast(idf), "word").groupBy(*file).agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("order"), "word"))), lambda x: x["word"]), 1, RAREST).alias("rarest"))
-    # One template's weight is what a file's rarest words can gather of it, so no share is over 1.
-    looked = files.join(ranked, file).select(*file, "verified", "rarest", F.posexplode("words").alias("place", "word")).filter(F.array_contains("rarest", F.col("word")))
-    votes = looked.join(F.broadcast(index), "word").filter(F.array_contains("verified", F.col("template"))).groupBy(*file, "template", (F.col("place") - F.col("at")).alias("start")).agg(F.sum("idf").alias("weight"), F.first("rarest").alias("rarest"))
-    best = votes.groupBy(*file, "template").agg(F.max("weight").alias("weight"), F.first("rarest").alias("rarest"))
-    possible = best.select(*file, "template", F.explode("rarest").alias("word")).join(F.broadcast(index), ["word", "template"]).groupBy(*file, "template").agg(F.sum("idf").alias("possible"))
+    # Each verified template has its own rarest words, so no other licence or word of the file crowds it out.
+    known = index.select("template", "word", "idf").distinct()
+    wanted = files.select(*file, "licence_words", F.explode("verified").alias("template")).join(F.broadcast(known), "template").filter(F.array_contains("licence_words", F.col("word"))).groupBy(*file, "template").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("order"), "word"))), lambda x: x["word"]), 1, RAREST).alias("rarest"))
+    ranked = wanted.groupBy(*file).agg(F.collect_list(F.struct("template", "rarest")).alias("ranked"))
+    looked = files.join(ranked, file).select(*file, "ranked", F.posexplode("words").alias("place", "word")).filter(F.exists("ranked", lambda r: F.array_contains(r["rarest"], F.col("word"))))
+    votes = looked.join(F.broadcast(index), "word").filter(F.exists("ranked", lambda r: (r["template"] == F.col("template")) & F.array_contains(r["rarest"], F.col("word")))).groupBy(*file, "template", (F.col("place") - F.col("at")).alias("start")).agg(F.sum("idf").alias("weight"))
+    best = votes.groupBy(*file, "template").agg(F.max("weight").alias("weight"))
+    # One template's weight is what its looked-up words can gather, so no share is over 1.
+    possible = wanted.select(*file, "template", F.explode("rarest").alias("word")).join(F.broadcast(index), ["word", "template"]).groupBy(*file, "template").agg(F.sum("idf").alias("possible"))
     names = F.array(*[F.lit(t[0].removesuffix("-text").removesuffix("-name")) for t in TEMPLATES])
     shares = best.join(possible, [*file, "template"]).withColumn("share", F.least(F.lit(1.0), F.col("weight") / F.col("possible"))).filter(F.col("share") >= SHARE)
     method = shares.groupBy(*file).agg(F.collect_set(F.element_at(names, F.col("template") + 1)).alias("method"), F.max("share").alias("share"))

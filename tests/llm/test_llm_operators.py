@@ -279,6 +279,20 @@ def test_license_scan(spark):
     assert license_scan(docs(spark, [])).count() == 0
 
 
+def test_license_scan_of_files_with_many_licences_and_words(spark):
+    from curatrix.llm.licenses import COMMON, TEMPLATES, license_scan
+
+    label = lambda t: t[0].removesuffix("-text").removesuffix("-name")
+    every = sorted({w for _, text, _ in TEMPLATES for w in text.split()} - COMMON)
+    r = random.Random(4)
+    files = [" . filler . ".join(text for _, text, _ in TEMPLATES)]
+    files += [text + " filler " * 9 + " ".join(r.sample(every, 40)) for _, text, _ in TEMPLATES]
+    common = [" ".join(r.sample(every, 30)) for _ in range(200)]
+    got = {x.doc_id: set(x.labels.split(",")) for x in license_scan(docs(spark, files + common)).collect()}
+    assert {label(t) for t in TEMPLATES} <= got[0]
+    assert [label(t) for i, t in enumerate(TEMPLATES) if label(t) not in got[1 + i]] == []
+
+
 # 6
 
 
