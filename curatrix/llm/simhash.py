@@ -6,13 +6,15 @@ is turned into 64 bit planes, and for each shift k the planes and the planes shi
 a machine word: carry-save counters add up the differing planes, and words whose pairs are all beyond the radius are
 abandoned. Of the links under a key only a spanning forest leaves the task.
 
-Copies with a word in fifty changed are some ten bits of 64 apart by shingles, too far for keys. So the dedup that keeps
-one of each group compares fingerprints of distinct words, which such copies hardly change, and links those whose
-fingerprints of 256 bits by five-word shingles are near too.
+Texts whose sets of five-word shingles have a similarity of 0.8 are some ten bits of 64 apart, too far for whole blocks. So
+the dedup that keeps one of each group makes fingerprints of 256 bits by those sets, and rows meet under keys of sampled
+bits: enough keys, of a width that grows with the rows, for all but MISSED of such pairs. The same bit-sliced comparison
+finds candidates under a key, and a candidate is a link if the shingle sets themselves are similar enough.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,14 +28,22 @@ from curatrix.llm.common import attach, materialise
 from curatrix.operators.components import connected_components
 
 RADIUS = 4
-#: The widths of the blocks of bits, RADIUS + 2 of them.
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: The widths of the blocks of bits, of which all but RADIUS make a key; narrower ones beyond so many fingerprints.
+BLOCKS, MANY_BLOCKS, MANY = (11, 11, 11, 11, 10, 10), (8,) * 8, 1 << 26
 #: Keys with more rows are compared in blocks of so many rows, each pair of blocks in a group of its own.
 BLOCK_ROWS = 8192
-#: For dedup: the radius by distinct words, with its blocks, and of 256 bits by shingles of five words. Texts with
-#: a shingle similarity of 0.8 are some 5 and 38 bits apart, unrelated ones over 9 and over 80.
-WORD_RADIUS, WORD_BLOCKS = 8, (7, 7, 7, 7, 6, 6, 6, 6, 6, 6)
-SHINGLE_WORDS, SHINGLE_RADIUS, WIDE = 5, 52, 4
+#: For dedup: texts are linked if their sets of runs of so many words have a similarity (Jaccard) of LIKE or more.
+SHINGLE_WORDS, LIKE = 5, 0.8
+#: Words of 64 bits in such a fingerprint; the share of bits in which two that are just LIKE differ: their angle over pi.
+WIDE = 4
+APART = math.acos(2 * LIKE / (1 + LIKE)) / math.pi
+#: Share of such pairs that meet under no key, at most.
+MISSED = 0.03
+#: How far candidates may be apart by one word of the fingerprint and by all, step by step so that the nearest are tied
+#: together first. Just LIKE is 10 and 39 bits on average, with deviations of 2.9 and 5.7.
+STEPS = ((10, 24), (14, 38), (18, 54))
+#: So many hashes of sets leave a task together.
+SET_NUMBERS = 1 << 20
 #: So many shifts are compared together.
 SHIFTS = 32
 FINGERPRINTS = "doc_id long, fp long"
@@ -76,14 +86,17 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None) -> list[int]:
-    """A fingerprint by distinct words and WIDE more by shingles; zeros for a text without words."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's runs of SHINGLE_WORDS words, ascending; none for a text without words."""
     found = words_in(text)
-    if not found:
-        return [0] * (1 + WIDE)
-    shingles = shingle_hashes(found, SHINGLE_WORDS)
-    distinct = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(found)], np.uint64)  # frequent words would draw all texts together
-    return [majority(distinct), *[majority(mixed(shingles, k)) for k in range(WIDE)]]
+    return np.unique(shingle_hashes(found, SHINGLE_WORDS)) if found else np.zeros(0, np.uint64)
+
+
+def wide_fingerprint(shingles: np.ndarray) -> list[int]:
+    """WIDE words of bits that over half of a shingle set has, and a hash of the set."""
+    if not len(shingles):
+        return [0] * (WIDE + 1)
+    return [*[majority(mixed(shingles, k)) for k in range(WIDE)], xxhash.xxh64_intdigest(shingles.tobytes())]
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,12 +106,29 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "fp", *[f"w{k}" for k in range(WIDE)]]
+    names = ["doc_id", *[f"w{k}" for k in range(WIDE)], "shingles"]
     for batch in batches:
-        fps = np.array([wide_fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).reshape(-1, 1 + WIDE).view(np.int64)
+        fps = np.array([wide_fingerprint(shingle_set(x.as_py())) for x in batch.column(1)], np.uint64).reshape(-1, WIDE + 1).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in fps.T]], names)
 
 
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, sets, size = [], [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "hashes"])
+
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids.append(doc_id)
+            sets.append(shingle_set(text.as_py()).view(np.int64))
+            size += len(sets[-1])
+            if size > SET_NUMBERS:  # sets may be longer than their texts
+                yield out()
+                ids, sets, size = [], [], 0
+        yield out()
+
+
 def planes_of(fps: np.ndarray) -> np.ndarray:
     """64 rows of machine words: row b has bit b of all fingerprints, one word of padding behind."""
     words = -(-len(fps) // 64) + 1
@@ -121,25 +151,26 @@ def _shifted(planes: np.ndarray, k: int) -> np.ndarray:
 def near_at(planes: np.ndarray, same: np.ndarray, first: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """The (i, k) with fingerprints i and i + k at most radius apart, among those whose bit i is set in same[k - first].
 
-    same: a row of machine words for each shift from first on. radius: 11 at most.
+    same: a row of machine words for each shift from first on. radius: 27 at most.
     """
     moved = np.stack([_shifted(planes, first + x) for x in range(len(same))], axis=1)
     shift, word = np.nonzero(same)
     open_ = same[shift, word]
-    ones = twos = fours = eights = np.zeros(len(word), np.uint64)
+    ones = twos = fours = eights = sixteens = np.zeros(len(word), np.uint64)
     for b in range(64):
         bit = planes[b][word] ^ moved[b][shift, word]
         carry = ones & bit
         ones = ones ^ bit
         carry, twos = twos & carry, twos ^ carry
         carry, fours = fours & carry, fours ^ carry
-        eights = eights ^ carry
+        carry, eights = eights & carry, eights ^ carry
+        sixteens = sixteens ^ carry
         if b % 4 == 3:  # pairs within the radius count radius + 4 by now at most, so no counter has run over
-            open_ = open_ & ~_over((eights, fours, twos, ones), radius)
+            open_ = open_ & ~_over((sixteens, eights, fours, twos, ones), radius)
         if b % 8 == 7:  # abandon the words whose pairs are all beyond the radius
             keep = open_ != 0
             if not keep.all():
-                shift, word, open_, ones, twos, fours, eights = (x[keep] for x in (shift, word, open_, ones, twos, fours, eights))
+                shift, word, open_, ones, twos, fours, eights, sixteens = (x[keep] for x in (shift, word, open_, ones, twos, fours, eights, sixteens))
             if not len(word):
                 break
     at, bit = np.nonzero(np.unpackbits(open_.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
@@ -158,9 +189,9 @@ def _over(counters: tuple[np.ndarray, ...], radius: int) -> np.ndarray:
     return over
 
 
-def _forest(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (i, j) that connect what is linked in each group; group: ascending numbers. wide: rows of more words, which
-    must be near too."""
+def _forest(group: np.ndarray, fps: np.ndarray, steps: tuple, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) that connect what is near in each group; group: ascending numbers. steps: of each pass the radius, and
+    that by all the bits of wide, if given; what an earlier pass has connected is not compared again."""
     n = len(fps)
     label = np.arange(n)
 
@@ -175,27 +206,30 @@ def _forest(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS, wide: np.n
     room = ends - np.arange(n) - 1  # how far a row's later neighbours reach
     planes = planes_of(fps)
     left, right = [], []
-    for first in range(1, int(room.max(initial=0)) + 1, SHIFTS):
-        while (up := label[label]).tobytes() != label.tobytes():
-            label[:] = up
-        bits = np.zeros((SHIFTS, planes.shape[1] * 64), np.uint8)
-        for x in range(min(SHIFTS, n - first)):  # pairs that are connected already need no comparison
-            k = first + x
-            bits[x, : n - k] = (room[: n - k] >= k) & (label[: n - k] != label[k:])
-        i_, k_ = near_at(planes, np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint64), first, radius)
-        if wide is not None:
-            near = np.bitwise_count(wide[i_] ^ wide[i_ + k_]).sum(1, dtype=np.int64) <= SHINGLE_RADIUS
-            i_, k_ = i_[near], k_[near]
-        for i, k in zip(i_.tolist(), k_.tolist()):
-            a, b = root(i), root(i + k)
-            if a != b:
-                label[max(a, b)] = min(a, b)
-                left.append(i)
-                right.append(i + k)
+    for radius, in_all in steps:
+        for first in range(1, int(room.max(initial=0)) + 1, SHIFTS):
+            while (up := label[label]).tobytes() != label.tobytes():
+                label[:] = up
+            bits = np.zeros((SHIFTS, planes.shape[1] * 64), np.uint8)
+            for x in range(min(SHIFTS, n - first)):  # pairs that are connected already need no comparison
+                k = first + x
+                bits[x, : n - k] = (room[: n - k] >= k) & (label[: n - k] != label[k:])
+            i_, k_ = near_at(planes, np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint64), first, radius)
+            if wide is not None:
+                far = np.bitwise_count(wide[i_] ^ wide[i_ + k_]).sum(1, dtype=np.int64)
+                order = np.flatnonzero(far <= in_all)
+                order = order[np.argsort(far[order], kind="stable")]
+                i_, k_ = i_[order], k_[order]
+            for i, k in zip(i_.tolist(), k_.tolist()):
+                a, b = root(i), root(i + k)
+                if a != b:
+                    label[max(a, b)] = min(a, b)
+                    left.append(i)
+                    right.append(i + k)
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _links(batches: Iterator[pa.RecordBatch], radius: int, extra: int) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], steps: tuple, extra: int) -> Iterator[pa.RecordBatch]:
     """Rows (tbl, key, part, fp, rep and extra wide words), sorted by key and part, to edges (a, b). A group that goes on in
     the next batch waits."""
     wait: list[np.ndarray] = []
@@ -212,7 +246,7 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int, extra: int) -> Iterat
             while end < len(rows) and group[end] == group[end - 1]:
                 end += 1
             wide = np.stack([rows[f"w{k}"][at:end] for k in range(extra)], axis=1).view(np.uint64) if extra else None
-            i, j = _forest(group[at:end], rows["fp"][at:end].copy().view(np.uint64), radius, wide)
+            i, j = _forest(group[at:end], rows["fp"][at:end].copy().view(np.uint64), steps, wide)
             if len(i):
                 reps = rows["rep"][at:end]
                 yield pa.RecordBatch.from_arrays([pa.array(reps[i]), pa.array(reps[j])], ["a", "b"])
@@ -250,54 +284,91 @@ def key_masks(blocks: tuple = BLOCKS, radius: int = RADIUS) -> list[int]:
     return [_signed(sum(c)) for c in combinations(masks, len(blocks) - radius)]
 
 
-def fingerprint_links(classes: DataFrame, block_rows: int = BLOCK_ROWS, radius: int = RADIUS, blocks: tuple = BLOCKS) -> DataFrame:
-    """Edges (a, b) between the rep of classes (fp, rep, and maybe wide words) that connect exactly what a chain of links
-    connects."""
-    wide = [c for c in classes.columns if c not in ("fp", "rep")]
-    keyed = classes.select("fp", "rep", *wide, F.explode(F.array(*[F.struct(F.lit(t).alias("tbl"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(key_masks(blocks, radius))])).alias("k")).select("k.tbl", "k.key", "fp", "rep", *wide)
+def _compared(keyed: DataFrame, block_rows: int, steps: tuple) -> DataFrame:
+    """Edges (a, b) between the rep of rows (tbl, key, fp, rep, and maybe wide words) that are near under a key."""
+    wide = [c for c in keyed.columns if c not in ("tbl", "key", "fp", "rep")]
     counts = materialise(keyed.groupBy("tbl", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows), "large-keys")
     n_hot = counts.count()
     if n_hot:
         # Of a large key each row goes to every pair of blocks that its own block is in.
         hot = F.broadcast(counts) if n_hot <= 100_000 else counts
-        known = keyed.join(hot, ["tbl", "key"], "left").withColumn("m", F.ceil(F.col("n") / block_rows)).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("m")))
+        known = keyed.join(hot, ["tbl", "key"], "left").withColumn("m", F.ceil(F.col("n") / block_rows)).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("m")))
         parts = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda o: F.least(o, F.col("mine")) * F.col("m") + F.greatest(o, F.col("mine"))))
         keyed = known.withColumn("part", F.explode(parts))
     else:
         keyed = keyed.withColumn("part", F.lit(0).cast("long"))
-    rows = keyed.select("tbl", "key", "part", "fp", "rep", *wide).repartition("tbl", "key", "part").sortWithinPartitions("tbl", "key", "part")
-    return rows.mapInArrow(lambda batches: _links(batches, radius, len(wide)), "a long, b long")
+    # In order of rep, so that the same neighbours are found under many keys.
+    rows = keyed.select("tbl", "key", "part", "fp", "rep", *wide).repartition("tbl", "key", "part").sortWithinPartitions("tbl", "key", "part", "rep")
+    return rows.mapInArrow(lambda batches: _links(batches, steps, len(wide)), "a long, b long")
+
+
+def fingerprint_links(classes: DataFrame, block_rows: int = BLOCK_ROWS, radius: int = RADIUS, blocks: tuple = BLOCKS) -> DataFrame:
+    """Edges (a, b) between the rep of classes (fp, rep) that connect exactly what a chain of links connects."""
+    keys = F.array(*[F.struct(F.lit(t).alias("tbl"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(key_masks(blocks, radius))])
+    return _compared(classes.select("fp", "rep", F.explode(keys).alias("k")).select("k.tbl", "k.key", "fp", "rep"), block_rows, ((radius, 64),))
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
     Fingerprints RADIUS or fewer bits apart are linked; component_id is the smallest doc_id that links reach. A null text
-    is empty and has fingerprint zero, as all texts without words. A row without doc_id has the component of its
-    fingerprint; null if no row with that fingerprint has an id. Repeated rows stay repeated. Other columns are ignored.
+    is empty and has fingerprint zero, as all texts without words. Rows without doc_id are linked like all others; their
+    component_id is null if no row that links reach has an id. Repeated rows stay repeated. Other columns are ignored; an
+    empty table gives an empty result.
     """
     marks = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, FINGERPRINTS), "fingerprints")
-    classes = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "fingerprint-classes")
-    links = fingerprint_links(classes.filter("rep is not null").select("fp", "rep"))
-    components = connected_components(links)
-    named = materialise(classes.join(components, F.col("rep") == F.col("id"), "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id")), "components")
+    classes = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "fingerprint-classes")
+    links = fingerprint_links(classes.select("fp", F.col("fp").alias("rep")), blocks=BLOCKS if classes.count() <= MANY else MANY_BLOCKS)
+    # Components of fingerprints, as some have no id; most fingerprints are linked to none.
+    found = connected_components(links)
+    components = materialise(found.unionByName(found.select(F.col("component").alias("id"), "component").distinct()), "fingerprint-components")
+    linked = classes.join(components, F.col("fp") == F.col("id"))
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    of = components.join(least, "component").select("id", "least")
+    named = materialise(classes.join(of, F.col("fp") == F.col("id"), "left").select("fp", "n", F.when(F.col("id").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")), "components")
     joined = attach(marks, named, "fp", "n", marks.count())
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(id, component) of rows whose text is nearly one with a smaller id: fingerprints by words WORD_RADIUS apart at most,
-    and by shingles of SHINGLE_WORDS words SHINGLE_RADIUS of 64 * WIDE bits. Texts without words are one group. Rows
-    without an id are left out."""
+def sampled_masks(rows: int) -> list[list[int]]:
+    """For so many rows, the masks of each key over the fingerprint's words: a key's bits are sampled, some 32 to 64 unrelated
+    rows share it, and there are so many keys that two texts that are just LIKE miss all with a probability of MISSED."""
+    width = max(12, math.ceil(math.log2(max(2, rows))) - 5)
+    keys = math.ceil(math.log(MISSED) / math.log1p(-((1 - APART) ** width)))
+    rng = np.random.default_rng(width)
+    out = []
+    for _ in range(keys):
+        masks = [0] * WIDE
+        for bit in rng.choice(64 * WIDE, width, replace=False).tolist():
+            masks[bit // 64] |= 1 << bit % 64
+        out.append([_signed(m) for m in masks])
+    return out
+
+
+def near_copies(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, component) of rows whose text is nearly one with a smaller id: chains of texts whose sets of runs of
+    SHINGLE_WORDS words have a similarity of LIKE or more (of a shorter text, its whole sequence is the one run). Texts
+    without words are one group. Rows without an id are left out; rows that repeat an id are one text for each."""
     wide = [f"w{k}" for k in range(WIDE)]
-    kind = ", ".join(["doc_id long, fp long", *[f"{w} long" for w in wide]])
-    marks = materialise(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_wide_fingerprints, kind), "wide-fingerprints")
-    # Equal fingerprints are one class, so a group of copies of any size has one row under each key.
-    classes = materialise(marks.groupBy("fp", *wide).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "wide-classes")
-    links = connected_components(fingerprint_links(classes.select("fp", "rep", *wide), radius=WORD_RADIUS, blocks=WORD_BLOCKS))
+    kind = ", ".join(["doc_id long", *[f"{w} long" for w in wide], "shingles long"])
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marks = materialise(texts.mapInArrow(_wide_fingerprints, kind), "wide-fingerprints")
+    # Equal shingle sets are one class, so a group of copies of any size has one row under each key.
+    classes = materialise(marks.groupBy("shingles", *wide).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "wide-classes")
+    keys = F.array(*[F.struct(F.lit(t).alias("tbl"), F.xxhash64(*[F.col(w).bitwiseAND(F.lit(m).cast("long")) for w, m in zip(wide, masks) if m]).alias("key")) for t, masks in enumerate(sampled_masks(classes.count()))])
+    keyed = classes.filter(F.col("shingles") != 0).select(F.explode(keys).alias("k"), F.col("w0").alias("fp"), "rep", *wide).select("k.tbl", "k.key", "fp", "rep", *wide)
+    able = materialise(_compared(keyed, block_rows, STEPS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "near-candidates")
+    # Only the texts of candidates are read again; each pair is judged by its two sets. An id may repeat with other texts.
+    which = able.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = materialise(texts.join(which, "doc_id", "left_semi").mapInArrow(_shingle_sets, "doc_id long, hashes array<long>"), "shingle-sets")
+    x, y = (sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    similar = both / (F.size("of_a") + F.size("of_b") - both)
+    links = able.join(x, "a").join(y, "b").filter(similar >= LIKE).select("a", "b").distinct()
+    linked = connected_components(links)
     # A row's class is known by its first id: joined on all words packed into one key.
-    pack = F.concat_ws(".", F.col("fp"), *wide)
-    known = classes.select(pack.alias("mark"), "rep", "n").join(links, F.col("rep") == F.col("id"), "left")
+    pack = F.concat_ws(".", "shingles", *wide)
+    known = classes.select(pack.alias("mark"), "rep", "n").join(linked, F.col("rep") == F.col("id"), "left")
     named = materialise(known.select("mark", "n", F.coalesce("component", "rep").alias("component")), "near-components")
     rows = materialise(marks.select("doc_id", pack.alias("mark")), "marks")
     return attach(rows, named, "mark", "n", rows.count()).filter("doc_id <> component").select(F.col("doc_id").alias("id"), "component")
@@ -305,6 +376,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs but near copies of rows with a smaller id (near_copies), with all their columns. Rows without an id
-    stay; rows that repeat an id stay or go together."""
+    stay; rows that repeat an id stay or go together. An empty table gives an empty result."""
     gone = near_copies(docs).select(F.col("id").alias("__gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")

@@ -317,42 +317,79 @@ def _components(fps, radius=4):
     return label
 
 
-def _near(texts):
-    """Components of near copies by the plain definition."""
-    from curatrix.llm.simhash import SHINGLE_RADIUS, WORD_RADIUS, wide_fingerprint
+def _shingles(t, n=5):
+    w = [x for x in re.split("[\x20\x09-\x0d]+", lower(t)) if x]
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
 
-    marks = [wide_fingerprint(t) for t in texts]
+def _near(texts):
+    """Components of near copies by the plain definition: chains of shingle sets with a similarity of 0.8 or more."""
+    sets = [_shingles(t) for t in texts]
     label = list(range(len(texts)))
-    for _ in texts:
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or sets[i] and sets[j] and min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and (n := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+    while True:
         was = list(label)
-        for i in range(len(texts)):
-            for j in range(i):
-                d = [(a ^ b).bit_count() for a, b in zip(marks[i], marks[j])]
-                if d[0] <= WORD_RADIUS and sum(d[1:]) <= SHINGLE_RADIUS:
-                    label[i] = label[j] = min(label[i], label[j])
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
         if label == was:
-            break
-    return label
+            return label
+
+
+def _copies(r, base, vocabulary, kind):
+    """A copy of base whose similarity is some 0.8 to 0.9: words changed, a passage appended, cut off, or moved in."""
+    copy, n = list(base), len(base)
+    if kind == "changed":
+        for _ in range(max(1, n // 60)):
+            copy[r.randrange(n)] = r.choice(vocabulary)
+    elif kind == "appended":
+        copy += [r.choice(vocabulary) for _ in range(int(n * r.uniform(0.05, 0.22)))]
+    elif kind == "cut":
+        copy = copy[: int(n * r.uniform(0.82, 0.95))]
+    elif kind == "inserted":
+        at = r.randrange(n)
+        copy[at:at] = [r.choice(vocabulary) for _ in range(int(n * r.uniform(0.05, 0.18)))]
+    return copy
 
 
-def test_near_copies_are_caught_and_others_stay(spark):
-    from curatrix.llm.simhash import simhash_dedup
+@pytest.mark.parametrize("block_rows", [8192, 32])
+def test_near_copies_are_caught_and_others_stay(spark, block_rows):
+    """Planted copies of every kind against the similarity of the sets themselves: no link that is none, hardly one lost."""
+    from curatrix.llm.simhash import near_copies
 
     r = random.Random(8)
     vocabulary = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 8))) for _ in range(4000)]
     common = vocabulary[:40]
     text = lambda n: [r.choice(common) if r.random() < 0.5 else r.choice(vocabulary) for _ in range(n)]
-    texts, first = [], {}
-    for g in range(40):
-        base = text(r.randint(80, 500))
-        for _ in range(r.randint(1, 4)):
-            copy = list(base)
-            for _ in range(len(base) // 60):  # a similarity of about 0.85
-                copy[r.randrange(len(copy))] = r.choice(vocabulary)
-            first.setdefault(g, len(texts))
-            texts.append(" ".join(copy))
-    kept = {x.doc_id for x in simhash_dedup(docs(spark, texts)).collect()}
-    assert kept == set(_near(texts)) and set(first.values()) <= kept and len(kept) <= 1.1 * len(first)
+    kinds = ("changed", "appended", "cut", "inserted")
+    texts = []
+    for g in range(160):
+        base = text(r.randint(60, 500))
+        texts += [" ".join(base), " ".join(_copies(r, base, vocabulary, kinds[g % 4]))]
+    wide = text(300)
+    texts += [" ".join([*wide[:k], "changed", *wide[k + 1 :]]) for k in range(60)]  # one large group
+    want = {i: c for i, c in enumerate(_near(texts)) if i != c}
+    got = {x.id: x.component for x in near_copies(docs(spark, texts), block_rows).collect()}
+    assert set(got) <= set(want) and len(want) > 150
+    for kind in range(4):
+        mine = [i for i in want if i < 320 and i // 2 % 4 == kind]
+        assert sum(i in got for i in mine) >= 0.9 * len(mine), kinds[kind]
+    assert sum(got.get(i) == c for i, c in want.items()) >= 0.95 * len(want)
+
+
+def test_similarity_at_the_limit_and_rows_that_repeat(spark):
+    from curatrix.llm.simhash import near_copies, sampled_masks, simhash_dedup
+
+    base = [f"w{i}" for i in range(104)]  # 100 runs of five words
+    other = [f"v{i}" for i in range(104)]
+    texts = [" ".join(base), " ".join(base[:84]), " ".join(other), None, "", " \n", "one two", "one  TWO", "one three", " ".join(other[:83])]
+    assert _near(texts) == [0, 0, 2, 3, 3, 3, 6, 6, 8, 9]  # 80 and 79 of 100
+    got = {x.id: x.component for x in near_copies(docs(spark, texts)).collect()}
+    assert got == {1: 0, 4: 3, 5: 3, 7: 6} or got == {4: 3, 5: 3, 7: 6}  # MISSED of those at the limit may be lost
+    d = docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "g"], [1, 1, None, 1], clash=True)
+    assert sorted((str(x.doc_id), x.text) for x in simhash_dedup(d).collect()) == [("1", "a b c d e f"), ("1", "a b c d e f"), ("1", "g"), ("None", "a b c d e f")]
+    assert simhash_dedup(d.limit(0)).count() == 0 and simhash_dedup(d).columns == d.columns
+    assert [len(sampled_masks(n)) for n in (10, 10**6, 10**9)] == sorted(len(sampled_masks(n)) for n in (10, 10**6, 10**9))
+    assert all(sum((m & (2**64 - 1)).bit_count() for m in masks) == 15 for masks in sampled_masks(10**6))
 
 
 def test_simhash_groups(spark):
@@ -369,17 +406,28 @@ def test_simhash_groups(spark):
     assert [got[i].component_id for i in range(len(texts))] == want
     kept = simhash_dedup(d)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == set(_near(texts))
+    # Rows without an id link others: f0 - f3 - f6 is a chain whose middle has none.
+    chain = [" ".join(base[:k]) for k in range(290, 300)]
+    chain_fps = [_fingerprint(t) for t in chain]
+    for gap in (None, 0):
+        ids = [i if gap is None or i % 2 == gap else None for i in range(len(chain))]
+        found = {r.doc_id: r.component_id for r in simhash_groups(docs(spark, chain, ids)).collect()}
+        label = _components(chain_fps)
+        least = {c: min((i for i in range(len(chain)) if label[i] == c and ids[i] is not None), default=None) for c in set(label)}
+        assert all(found[i] == least[label[i]] for i in range(len(chain)) if ids[i] is not None)
     again = simhash_groups(docs(spark, ["a b", "a b", "c", "c"], [5, 5, None, None])).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in again) == [("5", "5"), ("5", "5"), ("None", "None"), ("None", "None")]
     assert simhash_groups(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("block_rows", [8192, 16])
-def test_bit_sliced_links(spark, block_rows):
+@pytest.mark.parametrize("block_rows, blocks", [(8192, None), (16, None), (8192, "many")])
+def test_bit_sliced_links(spark, block_rows, blocks):
     """Random fingerprints around some centres, and one large key, against all pairs."""
+    from curatrix.llm.simhash import BLOCKS, MANY_BLOCKS
     from curatrix.llm.simhash import fingerprint_links
     from curatrix.operators.components import connected_components
 
+    blocks = MANY_BLOCKS if blocks else BLOCKS
     r = random.Random(1)
     fps = set()
     for _ in range(15):
@@ -394,7 +442,7 @@ def test_bit_sliced_links(spark, block_rows):
     r.shuffle(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     classes = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, rep long")
-    links = fingerprint_links(classes, block_rows)
+    links = fingerprint_links(classes, block_rows, blocks=blocks)
     assert all((fps[a] ^ fps[b]).bit_count() <= 4 for a, b in links.collect())
     found = {i: i for i in range(len(fps))} | {x.id: x.component for x in connected_components(links).collect()}
     assert [found[i] for i in range(len(fps))] == _components(fps)
@@ -590,6 +638,7 @@ def test_pipeline(spark):
     rows = {r.doc_id: r.text for r in steps[1].collect()}
     assert kept[2] == {x[1] for x in _exact(list(rows.items()))}
     after = sorted(kept[2])
-    assert kept[3] == {after[c] for c in _near([rows[i] for i in after])}
+    near = {after[c] for c in _near([rows[i] for i in after])}
+    assert near <= kept[3] and len(kept[3] - near) <= 0.1 * (len(after) - len(near))
     a = Counter(tuple(r) for r in token_pieces(steps[4], default_tokenizer()).collect())
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in steps[5].collect()) == a
