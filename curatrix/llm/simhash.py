@@ -42,6 +42,8 @@ MISSED = 0.03
 #: How far candidates may be apart by one word of the fingerprint and by all, step by step so that the nearest are tied
 #: together first. Just LIKE is 10 and 39 bits on average, with deviations of 2.9 and 5.7.
 STEPS = ((10, 24), (14, 38), (18, 54))
+#: ASCII letters and digits, and all that is not ASCII, are parts of words.
+SEPARATORS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: So many hashes of sets leave a task together.
 SET_NUMBERS = 1 << 20
 #: So many shifts are compared together.
@@ -86,9 +88,14 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def plain_words(text: str | None) -> list[bytes]:
+    """Words without case and punctuation: a copy that is punctuated anew has the same."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(SEPARATORS).split()
+
+
 def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct hashes of a text's runs of SHINGLE_WORDS words, ascending; none for a text without words."""
-    found = words_in(text)
+    """The distinct hashes of a text's runs of SHINGLE_WORDS plain words, ascending; none for a text without words."""
+    found = plain_words(text)
     return np.unique(shingle_hashes(found, SHINGLE_WORDS)) if found else np.zeros(0, np.uint64)
 
 
@@ -347,8 +354,8 @@ def sampled_masks(rows: int) -> list[list[int]]:
 
 def near_copies(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, component) of rows whose text is nearly one with a smaller id: chains of texts whose sets of runs of
-    SHINGLE_WORDS words have a similarity of LIKE or more (of a shorter text, its whole sequence is the one run). Texts
-    without words are one group. Rows without an id are left out; rows that repeat an id are one text for each."""
+    SHINGLE_WORDS words, without case and punctuation, have a similarity of LIKE or more (of a shorter text, its whole
+    sequence is the one run). Texts without words are one group. Rows without an id are left out; rows that repeat an id are one text for each."""
     wide = [f"w{k}" for k in range(WIDE)]
     kind = ", ".join(["doc_id long", *[f"{w} long" for w in wide], "shingles long"])
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -318,7 +318,7 @@ def _components(fps, radius=4):
 
 
 def _shingles(t, n=5):
-    w = [x for x in re.split("[\x20\x09-\x0d]+", lower(t)) if x]
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower())
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
