@@ -197,16 +197,25 @@ def test_exact_groups(spark, weak):
         kept = exact_dedup(d)
         assert kept.columns == d.columns
         assert Counter(r.doc_id for r in kept.collect()) == Counter(x[0] for x, n in got.items() for _ in range(n) if x[3])
-        assert exact_groups(d.limit(0)).count() == 0
+        assert exact_groups(d.limit(0)).count() == 0 and exact_dedup(d.limit(0)).count() == 0
 
 
-def test_chunks_are_whole_and_resynchronise(spark):
+def test_exact_dedup_is_by_row(spark):
+    from curatrix.llm.exact_dedup import exact_dedup
+
+    rows = exact_dedup(docs(spark, ["bbb", "aaa", "bbb", "b bb", "aaa", None, "", "z", "z"], [4, 5, 5, 6, 5, 7, 8, None, None])).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in rows) == [("5", "aaa"), ("5", "aaa"), ("6", "b bb"), ("7", "None"), ("None", "z"), ("None", "z")]
+
+
+@pytest.mark.parametrize("first, last", [(0x61, 0x7A), (0x430, 0x44F), (0x3B1, 0x3C9), (0x627, 0x64A), (0xAC00, 0xD7A3), (0x4E00, 0x9FFF), (0x20000, 0x20100)])
+def test_chunks_are_whole_and_resynchronise(spark, first, last):
     from curatrix.llm.exact_dedup import LONGEST, chunks
 
-    text = "".join(prose(9, 6000).split())
+    r = random.Random(9)
+    text = "".join(chr(r.randint(first, last)) for _ in range(20_000))
     a, b = (r.c for r in spark.createDataFrame([(text,), ("inserted" + text,)], "t string").select(chunks(F.col("t")).alias("c")).collect())
-    assert "".join(a) == text and max(map(len, a)) <= LONGEST
-    assert len(set(a) & set(b)) > 0.6 * len(a)
+    assert "".join(a) == text and "".join(b) == "inserted" + text and max(map(len, a)) <= LONGEST
+    assert first >= 0x20000 or len(set(a) & set(b)) > 0.6 * len(a)  # beyond the ranges a chunk has LONGEST code points
 
 
 # 4
