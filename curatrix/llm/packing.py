@@ -3,11 +3,12 @@
 Texts become ids in tasks, and what leaves a task is one short row for each piece. Pieces that fill a sequence are done.
 All others are dealt into groups of bounded size; each group is packed by best fit and then mended: a document moves to
 another bin, or is exchanged for one or two of its documents, whenever that increases the sum of squared fills, until bins
-empty or the group has as few bins as its tokens need.
+empty or nothing grows. The emptiest bins of all groups then meet in further, ever fewer groups, down to a single one.
 """
 
 from __future__ import annotations
 
+import heapq
 import os
 import re
 import zlib
@@ -24,10 +25,9 @@ from curatrix.llm.common import materialise
 
 CAPACITY = 2048
 END_ID = 0
-#: A group has about so many pieces; each group wastes less than a sequence or two.
-GROUP_PIECES = 40_000
-#: Steps of local search in a group, at most.
-STEPS = 300_000
+#: A group has about so many pieces, less than twice as many, or more where that would not fill so many sequences. Of each group
+#: this share of the tokens, in its emptiest bins, is packed once more with that of others.
+GROUP_PIECES, GROUP_BINS, HANDED_ON = 10_000, 64, 1 / 16
 #: Words whose ids a worker remembers.
 REMEMBERED = 900_000
 
@@ -153,70 +153,120 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, steps: int = STEPS) -> list[list[int]]:
-    """Fewer bins of the same documents. The emptiest bin gives documents away, or takes shorter ones for them, so that
-    the sum of squared fills grows with every step; bins that end up empty go. steps bounds the work."""
-    bins = [list(b) for b in bins]
+def exchangeable(bin_lengths: list[int], capacity: int) -> int:
+    """What a bin can give back for one document, as bits: bit s for nothing, one document or two of s tokens together."""
+    ones = 0
+    twos = 0
+    for n in bin_lengths:
+        twos |= ones << n
+        ones |= 1 << n
+    return (1 | ones | twos) & ((1 << capacity) - 1)
+
+
+def taken_in(give: int, room: int) -> int:
+    """The lengths, as bits, of documents that a bin with so much room and give can take so that it gets fuller."""
+    out, reach = give << 1, 1
+    while reach < room:
+        step = min(reach, room - reach)
+        out |= out << step
+        reach += step
+    return out
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Fewer bins of the same documents. The emptiest bin gives a document away, or takes one or two shorter ones for it, so
+    that the sum of squared fills grows with every step; bins that end up empty go. Bins with the same room are looked
+    through together: what any of them ever could give back is known as bits, so that hardly any is tried in vain."""
+    bins = [list(b) for b in bins if b]
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(lengths) // capacity)
-    stuck: set[int] = set()
-    alive = len(bins)
-    while alive > least and steps > 0:
-        under = [b for b in range(len(bins)) if bins[b] and fill[b] < capacity]
-        sources = [b for b in under if b not in stuck]
-        if not sources:
-            break
-        source = min(sources, key=lambda b: (fill[b], b))
-        targets = sorted((b for b in under if b != source and fill[b] >= fill[source]), key=lambda b: (-fill[b], b))
-        moved = False
-        for doc in sorted(bins[source], key=lambda i: -lengths[i]):
+    give = [exchangeable([lengths[i] for i in b], capacity) for b in bins]
+    by_room: dict[int, set[int]] = {}
+    any_give: dict[int, int] = {}  # of each room, what its bins give or once gave
+    refused = 0  # lengths that no bin can take, as bits
+    queue: list[tuple[int, int]] = []
+
+    def enter(b: int) -> None:
+        nonlocal refused
+        if room := capacity - fill[b]:
+            by_room.setdefault(room, set()).add(b)
+            any_give[room] = any_give.get(room, 0) | give[b]
+            refused &= ~taken_in(give[b], room)
+            heapq.heappush(queue, (fill[b], b))
+
+    def change(b: int, out: tuple, into: tuple) -> None:
+        if room := capacity - fill[b]:
+            by_room[room].discard(b)
+        bins[b] = [i for i in bins[b] if i not in out] + list(into)
+        fill[b] += sum(lengths[i] for i in into) - sum(lengths[i] for i in out)
+        if bins[b]:
+            give[b] = exchangeable([lengths[i] for i in bins[b]], capacity)
+            enter(b)
+
+    def best_for(n: int, source: int) -> tuple[int, int] | None:
+        """(target, tokens given back) for a document of n tokens, with the most room first."""
+        nonlocal refused
+        unfit = False
+        for room in sorted(by_room, reverse=True):
+            low = max(0, n - room)
+            window = (1 << n - low) - 1
+            if not any_give[room] >> low & window:
+                continue
+            for t in by_room[room]:
+                if found := give[t] >> low & window:
+                    back = low + (found & -found).bit_length() - 1
+                    if t != source and fill[t] + n - back > fill[source]:  # squared fills grow
+                        return t, back
+                    unfit = True
+        if not unfit:
+            refused |= 1 << n
+        return None
+
+    for b in range(len(bins)):
+        enter(b)
+    alive, changed = len(bins), False
+    while alive > least and (queue or changed):
+        if not queue:  # once more, as bins that could not be helped before may be now
+            queue, changed = sorted((fill[b], b) for b in range(len(bins)) if bins[b] and fill[b] < capacity), False
+        was, source = heapq.heappop(queue)
+        if not bins[source] or fill[source] != was:
+            continue  # it has changed since
+        for doc in sorted(bins[source], key=lambda i: (-lengths[i], i)):
             n = lengths[doc]
-            best = None  # (growth, target, given back)
-            for t in targets:
-                steps -= 1
-                room = capacity - fill[t]
-                if n <= room:
-                    best = (n, t, ())
-                    break
-                for e in bins[t]:  # one for one
-                    grow = n - lengths[e]
-                    if 0 < grow <= room and (not best or grow > best[0]):
-                        best = (grow, t, (e,))
-                small = sorted((e for e in bins[t] if lengths[e] < n), key=lambda e: lengths[e])[:64]
-                low, high = 0, len(small) - 1
-                while low < high:  # one for two
-                    grow = n - lengths[small[low]] - lengths[small[high]]
-                    if grow > room:
-                        low += 1
-                        continue
-                    if grow > 0 and (not best or grow > best[0]):
-                        best = (grow, t, (small[low], small[high]))
-                    high -= 1
-                if steps <= 0:
-                    break
-            if best:
-                grow, t, back = best
-                bins[source] = [i for i in bins[source] if i != doc] + list(back)
-                bins[t] = [i for i in bins[t] if i not in back] + [doc]
-                fill[source] -= grow
-                fill[t] += grow
-                stuck.discard(t)
-                moved = True
-                break
-            if steps <= 0:
-                break
-        if not moved:
-            stuck.add(source)
-        elif not bins[source]:
-            alive -= 1
+            if refused >> n & 1:
+                continue
+            if not (found := best_for(n, source)):
+                continue
+            target, back = found
+            returned = given_back(bins[target], lengths, back)
+            change(source, (doc,), returned)
+            change(target, returned, (doc,))
+            alive -= not bins[source]
+            changed = True
+            break
     return [b for b in bins if b]
 
 
-def pack(lengths: list[int], capacity: int = CAPACITY, steps: int = STEPS) -> list[list[int]]:
-    return local_search(best_fit(lengths, capacity), lengths, capacity, steps)
+def given_back(inside: list[int], lengths: list[int], tokens: int) -> tuple:
+    """None, one or two of the documents inside that have so many tokens together."""
+    if not tokens:
+        return ()
+    seen: dict[int, int] = {}
+    for i in inside:
+        if lengths[i] == tokens:
+            return (i,)
+    for i in inside:
+        if (j := seen.get(tokens - lengths[i])) is not None:
+            return (j, i)
+        seen[lengths[i]] = i
+    raise ValueError("no such documents")
+
 
+def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    return local_search(best_fit(lengths, capacity), lengths, capacity)
 
-def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+
+def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, group_bins: int = GROUP_BINS) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids are those of its text and then END_ID; a null text is empty, so every document has a piece. Only what
@@ -225,21 +275,42 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     """
     cut = materialise(token_pieces(docs, tokenizer or default_tokenizer(), capacity), "pieces")
     whole = cut.filter(F.col("length") == capacity).withColumn("sequence_id", 2 * F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    rest = cut.filter(F.col("length") < capacity)
-    groups = max(1, -(-rest.count() // group_pieces))
-
+    return whole.unionByName(pack_pieces(cut.filter(F.col("length") < capacity), capacity, group_pieces, group_bins))
+
+
+def pack_pieces(rest: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, group_bins: int = GROUP_BINS) -> DataFrame:
+    """The rows of rest, whose column length is less than capacity, with sequence_id (odd) and offset."""
+    kind = rest.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    done, level = None, 0
+    while True:
+        size = rest.agg(F.count("*").alias("pieces"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
+        groups = max(1, min(size["pieces"] // group_pieces, size["tokens"] // (capacity * group_bins)))
+        packed_ = _pack_level(rest, kind, capacity, groups, level)
+        if groups == 1:
+            return packed_.drop("open") if done is None else done.unionByName(packed_.drop("open"))
+        packed_ = materialise(packed_, "packed")
+        closed = packed_.filter("not open").drop("open")
+        done = closed if done is None else done.unionByName(closed)
+        rest, level = packed_.filter("open").drop("open", "sequence_id", "offset"), level + 1
+
+
+def _pack_level(rest: DataFrame, kind: str, capacity: int, groups: int, level: int) -> DataFrame:
     def pack_group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values([c for c in ("length", "doc_id", "piece", "ids_crc32") if c in rows], kind="stable").reset_index(drop=True)
         lengths = rows["length"].tolist()
-        sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        for b, inside in enumerate(pack(lengths, capacity)):
+        sequence, offset, left = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+        share = sum(lengths) * HANDED_ON if groups > 1 else 0
+        found = sorted(((sum(lengths[i] for i in b), b) for b in pack(lengths, capacity)), key=lambda x: x[0])
+        for b, (fill, inside) in enumerate(found):
             at = 0
             for i in inside:
                 sequence[i], offset[i] = b, at
                 at += lengths[i]
-        first = int(rows["deal"].iloc[0]) << 32
-        return rows.drop(columns="deal").assign(sequence_id=2 * (first + sequence) + 1, offset=offset)
+            if fill <= share and fill < capacity:
+                left[inside] = True
+                share -= fill
+        first = (level << 36) + int(rows["deal"].iloc[0])
+        return rows.drop(columns="deal").assign(sequence_id=2 * ((first << 20) + sequence) + 1, offset=offset, open=left)
 
     dealt = rest.withColumn("deal", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    small = dealt.groupBy("deal").applyInPandas(pack_group, PIECES + ", sequence_id long, offset long")
-    return whole.unionByName(small)
+    return dealt.groupBy("deal").applyInPandas(pack_group, kind + ", sequence_id long, offset long, open boolean")
