@@ -621,7 +621,7 @@ def test_groups_share_what_they_leave(spark):
     from curatrix.llm.packing import pack_pieces
 
     r = random.Random(12)
-    lengths = [x for a, b in [(r.randint(520, 760), r.randint(520, 760)) for _ in range(500)] for x in (a, b, 2048 - a - b)] + [r.randint(1, 2047) for _ in range(1500)]
+    lengths = [x for a, b in [(r.randint(520, 760), r.randint(520, 760)) for _ in range(500)] for x in (a, b, 2048 - a - b)] + [r.randint(1, 400) for _ in range(1500)]
     df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
     least = -(-sum(lengths) // 2048)
     for group in (100_000, 200):
