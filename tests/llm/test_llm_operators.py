@@ -586,6 +586,94 @@ def test_main_text_by_ratio_where_marks_mislead():
     assert main_text(f'<body><article>{told}</article><div class="related"><article><p>{prose(9, 20)}</p></article></div></body>') == "\n".join(body)
 
 
+def test_main_text_where_tags_are_left_out_or_chrome_stands_in_a_line():
+    from curatrix.llm.html_text import main_text
+
+    assert main_text("<html><head><title>x</title><body><p>hello world text</p></body></html>") == "hello world text"
+    assert main_text("<html><head><meta charset=utf-8><p>hello world text</p>") == "hello world text"
+    assert main_text("<head><script>1</script>plain words") == "plain words"
+    assert main_text('<p>text <span class="advert">Buy now</span> more</p>') == "text more"
+    assert main_text('<p>text <a class="share" href=x>Tweet</a><button>Go</button> more</p>') == "text more"
+    assert main_text("<main><h1>A title of it</h1><p>An intro to it</p><article><p>card</p></article></main>") == "A title of it\nAn intro to it\ncard"
+    told = "\n".join(prose(s, 40) for s in range(3))
+    inner = "".join(f"<p>{x}</p>" for x in told.split("\n"))
+    for name in ("related-work", "share-price", "popular-science", "menu-of-the-day"):
+        assert main_text(f'<body><div class="{name}"><article>{inner}</article></div></body>') == told
+        assert main_text(f'<body><article>{inner}<div class="{name}">Kept too.</div></article></body>') == told + "\nKept too."
+    for name in ("cookie-notice", "share-buttons", "site-footer", "comments", "post-comments", "ad_slot", "newsletter-signup", "sidebar widget", "related-posts", "user-comments list"):
+        assert main_text(f'<body><article>{inner}<div class="{name}"><p>{prose(9, 30)}</p></div></article></body>') == told, name
+    assert main_text(f"<body><h1>The title</h1><div class=entry>{inner}</div><div class=links><a href=x>One</a> <a href=y>Two</a></div></body>") == "The title\n" + told
+
+
+def test_main_text_takes_time_in_proportion():
+    import time
+
+    from curatrix.llm.html_text import main_text
+
+    def seconds(page):
+        began = time.process_time()
+        main_text(page)
+        return time.process_time() - began
+
+    for page in (lambda n: "<p>" + "<b>" * n + "x" + "</i>" * n, lambda n: "<i><table><td>" + "<b>x" * n + "</i>" * n, lambda n: "<div>x" * n, lambda n: "<b>" * n + "<hr>x" * n, lambda n: "<ul>" + "<li><b>x" * n, lambda n: "<p>" + "<b>x" * n + "<dd>" * n):
+        assert seconds(page(120_000)) < 12  # a page of about a megabyte
+
+
+def _plain_main_text(page):
+    """Ratio, smoothing, threshold and region on a page of flat blocks, in plain loops."""
+    lines, regions, tags = [], [], 1
+    for r, block in enumerate(page):
+        tags += 1
+        for text, link in block:
+            lines.append((text, tags + (4 if link else 2), len(text) if link else 0))
+            regions.append(r)
+            tags = 0
+        tags += 1
+    ratios = [len(t) / n * (1 - k / len(t)) for t, n, k in lines]
+    weights = [math.exp(-0.5 * d * d) for d in range(-3, 4)]
+    smooth = [sum(w * ratios[min(max(i + d, 0), len(ratios) - 1)] for w, d in zip(weights, range(-3, 4))) / sum(weights) for i in range(len(ratios))]
+    limit = sum(smooth) / len(smooth)
+    for _ in range(50):
+        up, down = [x for x in smooth if x >= limit], [x for x in smooth if x < limit]
+        if not up or not down:
+            break
+        limit, was = (sum(up) / len(up) + sum(down) / len(down)) / 2, limit
+        if abs(limit - was) < 1e-9:
+            break
+    if max(smooth) < 2.5 * max(min(smooth), 1e-9):
+        limit = 0
+    high = [x >= limit for x in smooth]
+    total = sum(len(lines[i][0]) for i in range(len(lines)) if high[i])
+    own = {r: sum(len(lines[i][0]) for i in range(len(lines)) if high[i] and regions[i] == r) for r in set(regions)}
+    best = [r for r in own if own[r] >= 0.9 * total]
+    inside = [not best or regions[i] == best[-1] for i in range(len(lines))]
+    at = [i for i in range(len(lines)) if high[i] and inside[i]]
+    first, last = at[0], at[-1]
+    while first > 0 and inside[first - 1] and not lines[first - 1][2]:
+        first -= 1
+    while last < len(lines) - 1 and inside[last + 1] and not lines[last + 1][2]:
+        last += 1
+    return "\n".join(t for i, (t, _, k) in enumerate(lines) if first <= i <= last and (inside[i] or high[i]) and 2 * k < len(t))
+
+
+def test_main_text_against_plain_loops():
+    """Random pages without any mark: menus, bodies and lists of links in blocks of no name."""
+    from curatrix.llm.html_text import main_text
+
+    chosen = 0
+    for seed in range(300):
+        r = random.Random(seed)
+        page = []
+        for _ in range(r.randint(1, 5)):
+            kind = r.random()
+            page.append([(prose(r.random(), r.randint(1, 4) if kind < 0.4 else r.randint(5, 60)), kind < 0.4 or r.random() < 0.05) for _ in range(r.randint(1, 8))])
+        html = "<body>" + "".join("<div>" + "".join(f"<p><a href=x>{t}</a></p>" if link else f"<p>{t}</p>" for t, link in block) + "</div>" for block in page)
+        got = main_text(html)
+        assert got == _plain_main_text(page), seed
+        chosen += got != "\n".join(t for block in page for t, _ in block)
+    assert chosen > 100
+
+
 # 8
 
 
