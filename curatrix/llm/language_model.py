@@ -3,8 +3,12 @@
 Exchange clustering assigns words to classes so that class bigrams tell most about each other. The probability of a word is
 that of its class after the class before, times its share of its class. Word counts cover all training texts and stay
 distributed: words that are frequent are known to every task, so no hot word is ever shuffled; of the others each text
-sends every distinct word once to where its count is. Counts of 600 kinds of words after each other are all that the
-clustering, on the driver, needs; words outside the frequent ones are clustered by their last characters.
+sends every distinct word once to where its count is.
+
+Clustering starts on the driver from counts of some 600 kinds of words after each other: the most frequent words, and all
+others by their last characters. Then every frequent word is moved on its own: tasks count the classes before and after each,
+the counts of a word meet in one place, and there it goes to the class where the classes' mutual information is greatest.
+Only words outside the frequent ones keep the class of their ending.
 """
 
 from __future__ import annotations
@@ -12,7 +16,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +28,16 @@ from pyspark.sql import functions as F
 from curatrix.llm.common import crc32_mod, materialise
 
 FOLDS, HELD_OUT = 7, 2
-#: Words known to every task; words that are clustered one by one; kinds of all others, by their last three bytes; classes.
+#: Words known to every task, each with a class of its own choice; of these the kinds that clustering starts from, and kinds of
+#: all others, by their last three bytes; classes.
 FREQUENT, CLUSTERED, ENDINGS, CLASSES = 100_000, 400, 200, 48
-PASSES = 12
+#: Passes of the start, at most, and passes over the corpus in which all frequent words may move.
+PASSES, MOVES = 12, 2
 ADD = 0.5
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 300_000
+#: Tokens whose neighbours a task holds before it sums them up.
+HELD_TOKENS = 2_000_000
 #: Stands for the end of a text; no word has white space.
 END = b"\n"
 
@@ -61,46 +70,84 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Words:
-    """The frequent words, in order, END first of all; item: their number for the clustering."""
+    """The frequent words, in order, END first of all; kind: number of each, and after them of each ending, for what is
+    counted: kinds at the start, classes later."""
 
     index: dict[bytes, int]
-    item: np.ndarray
+    kind: np.ndarray
 
-    def items(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word its place among the frequent ones, or -1, and its item."""
-        get = self.index.get
-        known = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        item = self.item[known]
-        for i in np.flatnonzero(known < 0).tolist():
-            item[i] = ending(words[i])
-        return known, item
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Of each word its place among the frequent ones, or that of its ending after them."""
+        place = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        n = len(self.kind) - ENDINGS
+        for i in np.flatnonzero(place < 0).tolist():
+            place[i] = n + ending(words[i])
+        return place
 
 
 def ending(word: bytes) -> int:
-    return 1 + CLUSTERED + zlib.crc32(word[-3:]) % ENDINGS
+    return zlib.crc32(word[-3:]) % ENDINGS
+
+
+N_KINDS = 1 + CLUSTERED + ENDINGS
+
 
+def _summed(codes: list[np.ndarray]) -> pa.RecordBatch:
+    code, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64),) * 2
+    return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
-N_ITEMS = 1 + CLUSTERED + ENDINGS
 
+def _followed(shared, size: int, contexts: bool):
+    """How often a kind follows another, as code before * size + after. contexts: also how often each word has each kind
+    before or after it, as code size * size + (place * 2 + side) * size + kind."""
 
-def _followed(shared):
     def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        total = np.zeros(N_ITEMS * N_ITEMS, np.int64)
+        words: Words = shared.value
+        codes, held = [], 0
         for batch in batches:
             for t in batch.column(0):
-                item = words.items(tokens_of(t.as_py()))[1]
-                pairs = np.concatenate(([0], item)) * N_ITEMS + np.concatenate((item, [0]))
-                if len(pairs) > 4096:
-                    total += np.bincount(pairs, minlength=len(total))
-                else:
-                    np.add.at(total, pairs, 1)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["pair", "n"])
+                place = np.concatenate(([0], words.places(tokens_of(t.as_py())), [0]))
+                kind = words.kind[place]
+                codes.append(kind[:-1] * size + kind[1:])
+                if contexts:
+                    codes += [size * size + place[1:] * 2 * size + kind[:-1], size * size + (place[:-1] * 2 + 1) * size + kind[1:]]
+                held += len(place)
+                if held > HELD_TOKENS:
+                    yield _summed(codes)
+                    codes, held = [], 0
+        yield _summed(codes)
 
     return followed
 
 
+def _moved(shared, classes: int):
+    """Of the frequent words in a partition, with their counts by class and side, those that move, with their new class."""
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, table, fixed = shared.value
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        found: list[tuple[int, int]] = []
+        if parts:
+            code, n = (np.concatenate(x) for x in zip(*parts))
+            word, side, cls = code // (2 * classes), code // classes % 2, code % classes
+            order = np.argsort(word, kind="stable")
+            starts = np.flatnonzero(np.concatenate(([True], word[order][1:] != word[order][:-1])))
+            table = table.copy()
+            groups = sorted(np.split(order, starts[1:]), key=lambda g: (-n[g].sum(), word[g[0]]))
+            for g in groups:
+                w = int(word[g[0]])
+                if w == 0 or w >= fixed:
+                    continue
+                into, out = (np.bincount(cls[g[side[g] == s]], n[g[side[g] == s]], classes) for s in (0, 1))
+                table, best = best_class(table, int(of[w]), out, into, 0.0)
+                if best != of[w]:
+                    found.append((w, best))
+        columns = list(zip(*found)) if found else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["word", "class"])
+
+    return moved
+
+
 def _x_log_x(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -128,23 +175,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
             into = np.bincount(of, pairs[:, w], classes)
             out[c] -= own
             into[c] -= own
-            rest = table.copy()
-            rest[c] -= out
-            rest[:, c] -= into
-            rest[c, c] -= own
-            rows, columns, diagonal = rest.sum(1), rest.sum(0), np.diag(rest)
-            by_row, by_column = _x_log_x(rest + out) - _x_log_x(rest), _x_log_x(rest + into[:, None]) - _x_log_x(rest)
-            gain = by_row.sum(1) - np.diag(by_row) + by_column.sum(0) - np.diag(by_column)
-            gain += _x_log_x(diagonal + out + into + own) - _x_log_x(diagonal)
-            gain -= _x_log_x(rows + out.sum() + own) - _x_log_x(rows) + _x_log_x(columns + into.sum() + own) - _x_log_x(columns)
-            gain[0] = -np.inf
-            best = int(gain.argmax())
-            if gain[best] <= gain[c] + 1e-9:
-                best = c
-            rest[best] += out
-            rest[:, best] += into
-            rest[best, best] += own
-            table = rest
+            table, best = best_class(table, c, out, into, own)
             if best != c:
                 of[w] = best
                 moved += 1
@@ -153,15 +184,41 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
     return of
 
 
+def best_class(table: np.ndarray, c: int, out: np.ndarray, into: np.ndarray, own: float) -> tuple[np.ndarray, int]:
+    """The class where a word of class c is best, and the table of class bigrams with it there. out, into: how often a class
+    follows the word and goes before it; own: how often it follows itself, not in these."""
+    rest = table.copy()
+    rest[c] -= out
+    rest[:, c] -= into
+    rest[c, c] -= own
+    np.maximum(rest, 0, out=rest)
+    rows, columns, diagonal = rest.sum(1), rest.sum(0), np.diag(rest)
+    by_row, by_column = _x_log_x(rest + out) - _x_log_x(rest), _x_log_x(rest + into[:, None]) - _x_log_x(rest)
+    gain = by_row.sum(1) - np.diag(by_row) + by_column.sum(0) - np.diag(by_column)
+    gain += _x_log_x(diagonal + out + into + own) - _x_log_x(diagonal)
+    gain -= _x_log_x(rows + out.sum() + own) - _x_log_x(rows) + _x_log_x(columns + into.sum() + own) - _x_log_x(columns)
+    gain[0] = -np.inf
+    best = int(gain.argmax())
+    if gain[best] <= gain[c] + 1e-9:
+        best = c
+    rest[best] += out
+    rest[:, best] += into
+    rest[best, best] += own
+    return rest, best
+
+
 @dataclass
 class Model:
-    words: Words
-    of: np.ndarray  # class of each item
+    words: Words  # with their classes
     transition: np.ndarray  # log10 probability of a class after another
     base: np.ndarray  # log10 probability of each frequent word without context
     emission: np.ndarray  # of each frequent word in its class
-    class_total: np.ndarray  # log10 of the tokens of each item's class
-    unknown: np.ndarray  # log10 of the mass of unknown words in each item's class
+    class_total: np.ndarray  # log10 of the tokens of each class
+    unknown: np.ndarray  # log10 of the mass of unknown words in each class
+    discount: float
+    base_total: int
+    n_train: int
+    end_count: int
 
 
 ROW_SHIFT = 36
@@ -177,12 +234,13 @@ def _partly_scored(shared):
             out: list[list] = [[] for _ in range(6)]
             for t in batch.column(2):
                 words = tokens_of(t.as_py())
-                known, item = m.words.items(words)
-                cls = m.of[item]
+                place = m.words.places(words)
+                cls = m.words.kind[place]
                 score = m.transition[np.concatenate(([0], cls)), np.concatenate((cls, [0]))].sum()
-                frequent = known[known >= 0]
-                score += m.emission[frequent].sum() + m.emission[0] - m.class_total[item[known < 0]].sum()
-                rare = Counter([words[i] for i in np.flatnonzero(known < 0).tolist()])
+                known = place < len(m.emission)
+                frequent = place[known]
+                score += m.emission[frequent].sum() + m.emission[0] - m.class_total[cls[~known]].sum()
+                rare = Counter([words[i] for i in np.flatnonzero(~known).tolist()])
                 for column, value in zip(out, (row, len(words) + 1, len(frequent) + 1, m.base[frequent].sum() + m.base[0], score, list(rare.items()))):
                     column.append(value)
                 row += 1
@@ -193,18 +251,15 @@ def _partly_scored(shared):
     return scored
 
 
-def language_scores(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    base_score is that of single words with one added to every count. score: log10 of the text's probability by classes;
-    P(class after class) with ADD added to each count, P(word in class) by absolute discounting, what is discounted going
-    to all unknown words of the class together. A null text is empty and has one token, the end. Null ids are not held
-    out. Repeated rows are scored alike. Without training texts, counts are zero. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+def _training(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc32_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text")
-    training = texts.filter("not held_out").select("text")
+    return texts, texts.filter("not held_out").select("text")
+
+
+def fitted(docs: DataFrame, frequent: int = FREQUENT, moves: int = MOVES) -> tuple[Model, DataFrame]:
+    """The model of the training texts, and the counts of all their words."""
+    sc = docs.sparkSession.sparkContext
+    training = _training(docs)[1]
     counts = materialise(training.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("words"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
     n_train, n_words = totals["tokens"], totals["words"]
@@ -226,55 +281,85 @@ def language_scores(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
         known.update(zip(found["word"].to_pylist(), found["n"].to_pylist()))
     top = sorted(known.items(), key=lambda x: (-x[1], x[0]))
     top_words, top_n = [END, *[w for w, _ in top]], np.array([end_count, *[n for _, n in top]], float)
-    item = np.array([i if i <= CLUSTERED else ending(w) for i, w in enumerate(top_words)])
-    words = Words({w: i for i, w in enumerate(top_words) if i}, item)
-
-    rows = training.mapInArrow(_followed(sc.broadcast(words)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # N_ITEMS squared at most
-    pairs = np.zeros(N_ITEMS * N_ITEMS)
-    pairs[rows["pair"].to_numpy()] = rows["n"].to_numpy()
-    pairs = pairs.reshape(N_ITEMS, N_ITEMS)
-    of = exchange(pairs)
-
-    member = np.eye(CLASSES)[of]
-    table = member.T @ pairs @ member + ADD
-    transition = np.log10(table / table.sum(1, keepdims=True))
-    # Tokens and distinct words of each class: of the clustered words here, of the rest by their endings.
-    tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    clustered = slice(0, CLUSTERED + 1)
-    np.add.at(tokens, of[item[clustered]], top_n[clustered])
-    np.add.at(distinct, of[item[clustered]], top_n[clustered] > 0)
+    n_known = len(top_words)
+    kind = np.array([i if i <= CLUSTERED else 1 + CLUSTERED + ending(w) for i, w in enumerate(top_words)] + [1 + CLUSTERED + e for e in range(ENDINGS)])
+    words = Words({w: i for i, w in enumerate(top_words) if i}, kind)
+
+    # Where clustering starts: N_KINDS squared counts at most.
+    rows = training.mapInArrow(_followed(sc.broadcast(words), N_KINDS, False), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(N_KINDS * N_KINDS)
+    pairs[rows["code"].to_numpy()] = rows["n"].to_numpy()
+    words = replace(words, kind=exchange(pairs.reshape(N_KINDS, N_KINDS))[kind])
+
+    square = CLASSES * CLASSES
+    for turn in range(moves + 1):  # the last one only counts what classes follow each other
+        last = turn == moves
+        tally = training.mapInArrow(_followed(sc.broadcast(words), CLASSES, not last), "code long, n long")
+        if not last:
+            # All counts of a word go to one place; each task has summed them up before.
+            place = F.when(F.col("code") < square, -1 - F.col("code")).otherwise(F.floor((F.col("code") - square) / (2 * CLASSES)))
+            tally = materialise(tally.withColumn("place", place).repartition("place").groupBy("place", "code").agg(F.sum("n").alias("n")), "contexts")
+        rows = tally.filter(F.col("code") < square).groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+        table = np.zeros(square)
+        table[rows["code"].to_numpy()] = rows["n"].to_numpy()
+        table = table.reshape(CLASSES, CLASSES)
+        if not last:
+            own = tally.filter(F.col("code") >= square).repartition("place").select((F.col("code") - square).alias("code"), "n")
+            moved = own.mapInArrow(_moved(sc.broadcast((words.kind, table, n_known)), CLASSES), "word long, class long").toArrow()  # of the frequent words
+            cls = words.kind.copy()
+            cls[moved["word"].to_numpy()] = moved["class"].to_numpy()
+            words = replace(words, kind=cls)
+
+    transition = table + ADD
+    transition = np.log10(transition / transition.sum(1, keepdims=True))
+    # Tokens and distinct words of each class: of the frequent words here, of the rest by their endings.
     by_ending = counts.groupBy((F.crc32(F.expr("substring(word, -3, 3)")) % ENDINGS).alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
     per_ending = np.zeros((ENDINGS, 2))
     per_ending[by_ending["ending"].to_numpy()] = np.stack([by_ending["n"].to_numpy(), by_ending["words"].to_numpy()], axis=1)
-    for w, n in zip(top_words[clustered], top_n[clustered]):
+    for w, n in zip(top_words, top_n):
         if n:
-            per_ending[zlib.crc32(w[-3:]) % ENDINGS] -= (n, 1)
-    np.add.at(tokens, of[1 + CLUSTERED :], per_ending[:, 0])
-    np.add.at(distinct, of[1 + CLUSTERED :], per_ending[:, 1])
+            per_ending[ending(w)] -= (n, 1)
+    of, of_ending = words.kind[:n_known], words.kind[n_known:]
+    tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
+    np.add.at(tokens, of, top_n)
+    np.add.at(distinct, of, top_n > 0)
+    np.add.at(tokens, of_ending, per_ending[:, 0])
+    np.add.at(distinct, of_ending, per_ending[:, 1])
     open_classes = np.zeros(CLASSES, bool)
-    open_classes[of[1 + CLUSTERED :]] = True  # where a word may be unknown
+    open_classes[of_ending] = True  # where a word may be unknown
     discount = min(0.95, max(0.1, totals["once"] / max(1, totals["once"] + 2 * totals["twice"])))
     taken = np.where(open_classes, discount, 0.0)
     unknown = np.where(distinct > 0, taken * distinct, 1.0)
     class_total = np.where(distinct > 0, np.maximum(tokens, 1), 1.0)
-    cls = of[item]
-    emission = np.log10(np.maximum(top_n - taken[cls], 1e-9) / class_total[cls])
+    emission = np.log10(np.maximum(top_n - taken[of], 1e-9) / class_total[of])
     if not end_count:
         emission[0] = 0.0
     base_total = n_train + n_words + 1
-    base = np.log10((top_n + 1) / base_total)
-    model = Model(words, of, transition, base, emission, np.log10(class_total)[of], np.log10(np.maximum(unknown, 1e-9))[of])
+    return Model(words, transition, np.log10((top_n + 1) / base_total), emission, np.log10(class_total), np.log10(np.maximum(unknown, 1e-9)), discount, base_total, n_train, end_count), counts
+
 
+def language_scores(docs: DataFrame, frequent: int = FREQUENT, moves: int = MOVES) -> DataFrame:
+    """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    base_score is that of single words with one added to every count. score: log10 of the text's probability by classes;
+    P(class after class) with ADD added to each count, P(word in class) by absolute discounting, what is discounted going
+    to all unknown words of the class together. A null text is empty and has one token, the end. Null ids are not held
+    out. Repeated rows are scored alike. Without training texts, counts are zero. Other columns are ignored; an empty table
+    gives an empty result.
+    """
+    sc = docs.sparkSession.sparkContext
+    model, counts = fitted(docs, frequent, moves)
     part_kind = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: long>>"
-    part = materialise(texts.mapInArrow(_partly_scored(sc.broadcast(model)), part_kind), "partly-scored")
+    part = materialise(_training(docs)[0].mapInArrow(_partly_scored(sc.broadcast(model)), part_kind), "partly-scored")
     rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
-    unknown_of = F.element_at(F.lit([float(x) for x in model.unknown[1 + CLUSTERED :]]), (F.crc32(F.expr("substring(word, -3, 3)")) % ENDINGS + 1).cast("int"))
+    of_ending = model.words.kind[-ENDINGS:]
+    unknown_of = F.element_at(F.lit([float(model.unknown[c]) for c in of_ending]), (F.crc32(F.expr("substring(word, -3, 3)")) % ENDINGS + 1).cast("int"))
     found = rare.join(counts, "word", "left")
     sums = found.groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(base_total)))).alias("more_base"),
-        F.sum(F.col("times") * F.coalesce(F.log10(F.col("n") - F.lit(discount)), unknown_of)).alias("more_score"),
+        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.base_total)))).alias("more_base"),
+        F.sum(F.col("times") * F.coalesce(F.log10(F.col("n") - F.lit(model.discount)), unknown_of)).alias("more_score"),
     )
     out = part.drop("rare").join(sums, "row", "left")
     zero = F.lit(0)
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", zero) - F.lit(0 if end_count else 1)).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("more_score", zero)).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", zero) - F.lit(0 if model.end_count else 1)).alias("n_known"), F.lit(model.n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("more_score", zero)).alias("score"))
