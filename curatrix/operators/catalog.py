@@ -69,7 +69,7 @@ def new_exports(discovered: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def rename_archived(ledger: DataFrame, discovered: DataFrame) -> DataFrame:
     """The ledger with the stored path for exports that were ingested from their source and are archived now."""
-    moved = discovered.select(F.col("source_path").alias("__source"), F.col("stored_path").alias("__stored"))
+    moved = discovered.groupBy(F.col("source_path").alias("__source")).agg(F.min("stored_path").alias("__stored"))
     return ledger.join(moved, F.col("export_path") == F.col("__source"), "left").withColumn("export_path", F.coalesce("__stored", "export_path")).drop("__source", "__stored")
 
 
@@ -114,8 +114,10 @@ def record_images(images: DataFrame, downloads: DataFrame, now: Column) -> DataF
 
 
 def record_outcomes(avatar_urls: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """URLs after downloads (normalized_url, sha256, error): downloaded with an image, or failed with an error."""
-    done = outcomes.select(F.col("normalized_url").alias("__url"), F.col("sha256").alias("__sha"), F.col("error").alias("__error"))
+    """URLs after downloads (normalized_url, sha256, error): downloaded with an image, or failed with an error. Of a URL's
+    outcomes one with an image counts, of these the last by hash."""
+    best = F.max(F.struct(F.col("sha256").isNotNull().alias("ok"), "sha256", "error")).alias("b")
+    done = outcomes.groupBy(F.col("normalized_url").alias("__url")).agg(best).select("__url", F.col("b.sha256").alias("__sha"), F.col("b.error").alias("__error"))
     both = avatar_urls.join(done, F.col("normalized_url") == F.col("__url"), "left")
     hit, ok = F.col("__url").isNotNull(), F.col("__sha").isNotNull()
     return (
@@ -133,7 +135,7 @@ def stale_fingerprints(files: DataFrame, cache: DataFrame) -> DataFrame:
     return files.join(cache.select(*keys).distinct(), keys, "left_anti")
 
 
-def set_splits(images: DataFrame, members: DataFrame) -> DataFrame:
-    """Images with the split of the members (exported_sha, split) that stand for them."""
+def set_splits(images: DataFrame, members: DataFrame, now: Column) -> DataFrame:
+    """Images with the split of the members (exported_sha, split) that stand for them; these are updated now."""
     given = members.filter("exported_sha is not null").groupBy("exported_sha").agg(F.max("split").alias("__split"))
-    return images.join(given, F.col("sha256") == F.col("exported_sha"), "left").withColumn("split", F.coalesce("__split", "split")).select(*images.columns)
+    return images.join(given, F.col("sha256") == F.col("exported_sha"), "left").withColumn("updated_at", F.when(F.col("__split").isNotNull(), now).otherwise(F.col("updated_at"))).withColumn("split", F.coalesce("__split", "split")).select(*images.columns)

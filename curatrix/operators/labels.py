@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.text import known_label
 from curatrix.schemas import LABELS, MANUAL, MODEL
+from curatrix.shared import placed
 
 
 def predicted_label(score: Column, threshold: float | Column) -> Column:
@@ -67,9 +68,8 @@ def apply_labels(images: DataFrame, events: DataFrame, requests: DataFrame, now:
     kept = F.struct(F.col("__before.label"), F.col("__before.label_source"), F.col("__state.review_notes"), F.col("__state.labeled_at"))
     done = joined.withColumn("__same", same).withColumn("__before", F.when(moved, F.col("__before")).otherwise(kept)).filter(~F.col("__same"))
     next_id = (events.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) if events is not None else 0
-    number = (F.row_number().over(Window.orderBy("__ord", "__sha")) + F.lit(next_id)).cast("long")
-    logged = done.select(
-        number.alias("id"), F.col("__sha").alias("image_sha256"), F.col("__before.label").alias("previous_label"), F.col("__before.label_source").alias("previous_label_source"),
+    logged = placed(done, [F.col("__ord"), F.col("__sha")], "__number").select(
+        (F.col("__number") + F.lit(next_id)).alias("id"), F.col("__sha").alias("image_sha256"), F.col("__before.label").alias("previous_label"), F.col("__before.label_source").alias("previous_label_source"),
         F.col("__before.labeled_at").alias("previous_labeled_at"), F.col("__before.review_notes").alias("previous_review_notes"), F.col("__label").alias("new_label"),
         F.col("__notes").alias("new_review_notes"), now.alias("created_at"), F.lit(batch_id).cast("string").alias("batch_id"),
     )

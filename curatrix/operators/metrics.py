@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.shared import materialise
+
 NO_ROWS_THRESHOLD = 0.995
 
 
@@ -38,7 +40,7 @@ def threshold_table(entries: DataFrame) -> DataFrame:
     ends = spark.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)], "threshold double, p long, n long")
     merged = by_score.unionByName(ends).groupBy("threshold").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     # Running sums in two steps: sums of buckets of scores, and within a bucket.
-    merged = merged.withColumn("__b", F.floor(F.col("threshold") * 1024))
+    merged = materialise(merged.withColumn("__b", F.floor(F.least(F.greatest(F.col("threshold"), F.lit(0.0)), F.lit(1.0)) * 1024)), "thresholds")
     buckets = merged.groupBy("__b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
     above = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -98,19 +100,19 @@ def epoch_loss(batches: DataFrame) -> DataFrame:
     return batches.groupBy("epoch").agg((F.sum(F.col("loss") * F.col("size")) / F.greatest(F.lit(1), F.sum("size"))).alias("loss"))
 
 
-def best_epoch(history: DataFrame, patience: int = 3) -> DataFrame:
-    """Of history (epoch, phase, recall, f1) up to the stop: the first epoch with the best (recall, f1), and where it stops:
-    after patience finetune epochs in a row without an improvement."""
-    order = Window.orderBy("epoch")
+def best_epoch(history: DataFrame, patience: int = 3, run: str = "run_id") -> DataFrame:
+    """Of each run's history (epoch, phase, recall, f1) up to the stop: the first epoch with the best (recall, f1), and where it
+    stops: after patience finetune epochs in a row without an improvement."""
+    order = Window.partitionBy(run).orderBy("epoch")
     key = F.struct("recall", "f1")
     seen = F.max(key).over(order.rowsBetween(Window.unboundedPreceding, -1))
     improves = history.withColumn("better", seen.isNull() | (key > seen))
-    run = improves.withColumn("__run", F.sum(F.col("better").cast("int")).over(order))
-    stale = F.sum(F.when((F.col("phase") == "finetune") & ~F.col("better"), 1).otherwise(0)).over(Window.partitionBy("__run").orderBy("epoch"))
-    marked = run.withColumn("stale", stale)
-    stop = marked.filter(F.col("stale") >= patience).agg(F.min("epoch").alias("stop_epoch"))
-    kept = marked.crossJoin(F.broadcast(stop)).filter(F.col("stop_epoch").isNull() | (F.col("epoch") <= F.col("stop_epoch")))
-    return kept.agg(F.max_by("epoch", F.struct("recall", "f1", -F.col("epoch"))).alias("best_epoch"), F.max("stop_epoch").alias("stop_epoch"))
+    runs = improves.withColumn("__run", F.sum(F.col("better").cast("int")).over(order))
+    stale = F.sum(F.when((F.col("phase") == "finetune") & ~F.col("better"), 1).otherwise(0)).over(Window.partitionBy(run, "__run").orderBy("epoch"))
+    marked = runs.withColumn("stale", stale)
+    marked = marked.withColumn("stop_epoch", F.min(F.when(F.col("stale") >= patience, F.col("epoch"))).over(Window.partitionBy(run)))
+    kept = marked.filter(F.col("stop_epoch").isNull() | (F.col("epoch") <= F.col("stop_epoch")))
+    return kept.groupBy(run).agg(F.max_by("epoch", F.struct("recall", "f1", -F.col("epoch"))).alias("best_epoch"), F.max("stop_epoch").alias("stop_epoch"))
 
 
 def errors(entries: DataFrame, threshold: float, predicted: str, label: str) -> DataFrame:
@@ -155,10 +157,11 @@ def freshness(labels: DataFrame, manifest_time: Column, collections_time: Column
 
 
 def evaluation_entries(canonicals: DataFrame, eval_set: str) -> DataFrame:
-    """Canonicals of exports in val or test: blind (as split), all-manual or all-exported (all splits, by label source)."""
+    """blind: what was split into val and test, of exports and of the collections' hold-out; all-manual and all-exported:
+    exports of all splits, by label source."""
     exported = canonicals.filter(F.col("source") == "export")
     if eval_set == "blind":
-        return exported.filter(F.col("split").isin("val", "test"))
+        return canonicals.filter(F.col("split").isin("val", "test"))
     if eval_set == "all-manual":
         return exported.filter(F.col("label_source") == "manual")
     if eval_set == "all-exported":

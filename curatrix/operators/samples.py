@@ -59,3 +59,9 @@ def build_summary(samples_: DataFrame, groups: DataFrame) -> DataFrame:
 def collection_results(fetched: DataFrame) -> DataFrame:
     """Rows by collection: fetched and failed."""
     return fetched.groupBy("slug").agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def in_token_order(fetched: DataFrame) -> DataFrame:
+    """A collection's outcomes in the order of its tokens: numbers by size, then names."""
+    number = F.col("token_id").try_cast("long")
+    return fetched.orderBy("slug", F.asc_nulls_last(number), "token_id")

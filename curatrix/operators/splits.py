@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.shared import materialise
+from curatrix.shared import materialise, placed
 
 HOLDOUT_TEST = HOLDOUT_VAL = 64
 
@@ -110,5 +110,5 @@ def refit(entries: DataFrame) -> DataFrame:
 
 
 def training_order(entries: DataFrame, seed: int) -> DataFrame:
-    """Entries (id) in a seeded order, which a global sort spreads over many tasks."""
-    return entries.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id")), 256), "id")
+    """Entries (id) with their place in a seeded order, which ranges of the order spread over many tasks."""
+    return placed(entries, [F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id")), 256), F.col("id")])

@@ -10,9 +10,11 @@ from curatrix.operators import accounts
 from curatrix.plans import domain as D
 from curatrix.plans.registry import query
 from curatrix.shared import shared_folder, table
+from curatrix.sources import manifests
 from curatrix.sources.manifests import changed_signatures, client_settings, client_stats
 from curatrix.sources.manifests import matched_accounts as matched_account_rows
 from curatrix.sources.manifests import whitelist_import as whitelist_import_
+
 from curatrix.streaming import collector
 
 
@@ -87,9 +89,9 @@ def memoised_scores(spark, d):
     return collector.memoised_scores(D.sighting_events(events), scores).groupBy("handle", "normalized_url", "score", "score_error").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {D.SIGHTINGS} SELECT DISTINCT handle, normalized_url FROM sightings")
+@query(f"WITH {D.SIGHTINGS} SELECT handle, normalized_url, max((ts, original_url))[2] AS original_url FROM sightings GROUP BY 1, 2")
 def notification_dedupe(spark, d):
-    return collector.notification_entries(D.sighting_events(table(spark, d, "events"))).select("handle", "normalized_url")
+    return collector.notification_entries(D.sighting_events(table(spark, d, "events"))).select("handle", "normalized_url", "original_url")
 
 
 @query(f"WITH {D.SIGHTINGS} SELECT element, signature, count(*) AS n FROM (SELECT *, lag(signature) OVER (PARTITION BY element ORDER BY ts) AS b FROM sightings) WHERE b IS DISTINCT FROM signature GROUP BY 1, 2")
@@ -151,3 +153,19 @@ def client_defaults(spark, d):
     stats = F.to_json(F.struct(F.when(e % 3 == 0, e.cast("string")).otherwise("x").alias("tweetsScanned")))
     mode = F.to_json(F.struct(F.when(e % 5 == 0, "fade").otherwise("?").alias("mode")))
     return table(spark, d, "events").select("event_id", client_stats(stats)["tweetsScanned"].alias("scanned"), client_settings(mode)["mode"].alias("mode"))
+
+
+@query("SELECT p_partkey, (p_partkey % 4 + 1) * 32 AS input_size, 3 AS channels, p_partkey % 2 AS positive_index, p_size / 100.0::DOUBLE AS mean_first FROM part")
+def model_runtime_config(spark, d):
+    """A model's metadata document for each part, and the fields that a scorer reads of it."""
+    k, mean = F.col("p_partkey"), F.array(F.col("p_size") / 100.0, F.lit(0.5), F.lit(0.5))
+    text = F.to_json(F.struct(F.lit("net").alias("architecture"), ((k % 4 + 1) * 32).alias("input_size"), F.lit(3).alias("channels"), mean.alias("mean"), F.array(*[F.lit(0.5)] * 3).alias("std"), (k % 2).alias("positive_index"), F.lit(0.5).alias("threshold")))
+    rows = table(spark, d, "part").select(k, manifests.runtime_config(text).alias("c"))
+    return rows.select("p_partkey", F.col("c.input_size").cast("long").alias("input_size"), "c.channels", F.col("c.positive_index").cast("long").alias("positive_index"), F.element_at("c.mean", 1).alias("mean_first"))
+
+
+@query("SELECT user_id, CASE WHEN user_id % 10 <> 0 THEN '{\"version\":1,\"exported_at\":\"2024-01-01T00:00:00Z\",\"whitelist_handles\":[\"alt' || (user_id % 5) || '\",\"user' || user_id || '\"]}' END AS payload FROM (SELECT DISTINCT user_id FROM events)")
+def whitelist_documents(spark, d):
+    u = F.col("user_id")
+    handles = F.when(u % 10 != 0, F.array(F.concat(F.lit("@User"), u.cast("string")), F.concat(F.lit("alt"), (u % 5).cast("string")))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "events").select("user_id").distinct().select(u, manifests.whitelist_export(handles, F.lit("2024-01-01T00:00:00Z")).alias("payload"))

@@ -1,8 +1,8 @@
 """The loop's commands, each a function over a catalog of versions, and the views that a review tool asks for.
 
-A relation's state is a folder of versions; the newest complete one holds. A command reads the current versions, works out
-the next ones as DataFrames, and writes them beside the old: nothing that is being read is overwritten, and a command that
-fails leaves the catalog as it was.
+A relation's state is a folder of versions, and a commit is a small file that names the version of every relation; the newest
+commit holds. A command reads the versions that it names, works out the next ones as DataFrames, writes them beside the old
+and then one commit: nothing that is being read is overwritten, and a command that fails leaves the catalog as it was.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from curatrix.functions.text import parse_time
 from curatrix.operators import catalog, families, labels, metrics, model, review, samples, splits
 from curatrix.schemas import RELATIONS, conform, empty
+from curatrix.shared import materialise
 from curatrix.sources import fetch, manifests, sinks
 
 
@@ -26,24 +27,34 @@ class Catalog:
     spark: SparkSession
     root: str
 
-    def _versions(self, relation: str) -> list[str]:
-        """Versions whose write was completed, oldest first."""
-        jvm = self.spark._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{relation}/version=*/_SUCCESS")
-        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
-        return sorted(s.getPath().getParent().toString() for s in found or [])
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> dict[str, str]:
+        """The version of each relation that the newest commit names."""
+        pattern, files = self._path("commits/*.json")
+        found = sorted(s.getPath().toString() for s in files.globStatus(pattern) or [])
+        return json.loads(self.spark.read.text(found[-1], wholetext=True).first()[0]) if found else {}
 
     def read(self, relation: str) -> DataFrame:
-        found = self._versions(relation)
-        if not found:
+        version = self.versions().get(relation)
+        if version is None:
             return empty(self.spark, relation)
-        return conform(self.spark.read.parquet(found[-1]), RELATIONS[relation])
+        return conform(self.spark.read.parquet(f"{self.root}/{relation}/version={version}"), RELATIONS[relation])
 
     def write(self, **next_: DataFrame) -> None:
-        """The next version of each relation given."""
+        """The next version of each relation given, and then the commit that makes them hold together."""
         version = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
         for relation, df in next_.items():
             sinks.write_version(conform(df, RELATIONS[relation]), f"{self.root}/{relation}", version)
+        text = json.dumps(self.versions() | dict.fromkeys(next_, version))
+        part, files = self._path(f"commits/.{version}")
+        out = files.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not files.rename(part, self._path(f"commits/{version}.json")[0]):
+            raise OSError(f"commit {version} could not be named")
 
 
 def _now():
@@ -79,16 +90,15 @@ def ingest(c: Catalog, folder: str, inputs: list[str] | None = None, force: bool
 def download_avatars(c: Catalog, get: fetch.Fetcher, retry_failed: bool = False, limit: int | None = None) -> None:
     wanted = catalog.pending_downloads(c.read("avatar_urls"), retry_failed, limit)
     rows = wanted.select(F.col("normalized_url").alias("key"), F.array("normalized_url", "original_url").alias("urls"))
-    done = fetch.fetch_all(rows, get).cache()  # a fetch is not repeated by the second write
+    done = materialise(fetch.fetch_all(rows, get, f"{c.root}/images"), "fetched")  # a fetch is not repeated by the second write
     outcomes = done.select(F.col("key").alias("normalized_url"), "sha256", "error")
-    got = done.filter("sha256 is not null").select("sha256", F.concat(F.lit(f"{c.root}/images/"), "sha256").alias("local_path"), "mime_type", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), "byte_size", F.col("key").alias("ord"))
+    got = done.filter("sha256 is not null").select("sha256", "local_path", "mime_type", "width", "height", "byte_size", F.col("key").alias("ord"))
     c.write(images=catalog.record_images(c.read("images"), got, _now()), avatar_urls=catalog.record_outcomes(c.read("avatar_urls"), outcomes, _now()))
-    done.unpersist()
 
 
 def download_collections(c: Catalog, wanted: DataFrame, existing: DataFrame, get: fetch.Fetcher, force: bool = False) -> DataFrame:
-    """Outcomes of tokens (key, urls); results by collection are samples.collection_results."""
-    return fetch.fetch_missing(wanted, existing, get, force)
+    """Outcomes of tokens (key, urls), whose files are kept by hash; results by collection are samples.collection_results."""
+    return materialise(fetch.fetch_missing(wanted, existing, get, force, f"{c.root}/collections"), "fetched")
 
 
 def build_dataset(c: Catalog, fingerprints: DataFrame, collections: DataFrame, path: str, prior: DataFrame | None = None, weight: float = samples.COLLECTION_WEIGHT, test_ratio: float = 0.15, val_ratio: float = 0.15, seed: int = 7) -> DataFrame:
@@ -99,13 +109,15 @@ def build_dataset(c: Catalog, fingerprints: DataFrame, collections: DataFrame, p
     manifest = families.split_manifest(rows, given.select("group_id", "split"))
     sinks.write_entries(samples.dataset_entries(manifest), f"{path}/entries")
     members = manifest.select("split", F.explode("members").alias("m")).select("split", "m.exported_sha")
-    c.write(images=catalog.set_splits(c.read("images"), members))
+    c.write(images=catalog.set_splits(c.read("images"), members, _now()))
     return given
 
 
 def train(entries: DataFrame, embeddings: DataFrame, run_id: str, floor: float = 0.995, epochs: int = 15):
     """Train on the train split and choose the threshold on val. Returns the model and its summary."""
-    rows = entries.join(embeddings, "id")
+    rows = materialise(entries.join(embeddings, "id", "left"), "training-rows")
+    if missing := rows.filter("embedding is null").count():
+        raise ValueError(f"{missing} entries have no embedding")
     fitted = model.train(rows.filter("split = 'train'"), epochs)
     scored = model.score(fitted, rows, "id").join(entries, "id")
     chosen = metrics.choose_threshold(scored.filter("split = 'val'"), floor).first()

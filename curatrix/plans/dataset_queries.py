@@ -93,12 +93,12 @@ def token_sample(spark, d):
     return splits.sample_tokens(table(spark, d, "part").select(F.col("p_partkey").alias("token_id")), 64, "s")
 
 
-@query(f"WITH {D.IMAGES}, {GROUPS} SELECT i.sha256, CASE WHEN doc_id % 2 = 0 THEN 'val' END AS split FROM images i JOIN groups ON group_id = sha256")
+@query(f"WITH {D.IMAGES}, {GROUPS} SELECT i.sha256, CASE WHEN doc_id % 2 = 0 THEN 'val' END AS split, strftime(CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '{D.NOW}' ELSE updated_at END, '%Y-%m-%d %H:%M:%S') AS updated_at FROM images i JOIN groups ON group_id = sha256")
 def split_write_back(spark, d):
     from curatrix.operators.catalog import set_splits
 
     members = _groups(spark, d).filter("doc_id % 2 = 0").select(F.col("group_id").alias("exported_sha"), F.lit("val").alias("split"))
-    return set_splits(D.images(spark, d), members).select("sha256", "split")
+    return set_splits(D.images(spark, d), members, D.at(D.NOW)).select("sha256", "split", D.said("updated_at").alias("updated_at"))
 
 
 @query(f"WITH {D.IMAGES} SELECT sha256, label FROM images WHERE label IN ('positive', 'negative') AND local_path IS NOT NULL AND label_source IN ('manual', 'model')")
@@ -188,13 +188,13 @@ def epoch_loss(spark, d):
     return metrics.epoch_loss(batches).select("epoch", F.round("loss", 9).alias("loss"))
 
 
-HISTORY = "h AS (SELECT p_partkey + 1 AS epoch, CASE WHEN p_partkey < 3 THEN 'head' ELSE 'finetune' END AS phase, (p_partkey * 7 % 11) / 11.0::DOUBLE AS recall, (p_partkey * 5 % 13) / 13.0::DOUBLE AS f1 FROM part WHERE p_partkey < 15)"
+HISTORY = "h AS (SELECT p_partkey // 15 AS run_id, p_partkey % 15 + 1 AS epoch, CASE WHEN p_partkey % 15 < 3 THEN 'head' ELSE 'finetune' END AS phase, (p_partkey * 7 % 11) / 11.0::DOUBLE AS recall, (p_partkey * 5 % 13) / 13.0::DOUBLE AS f1 FROM part)"
 
 
-@query(f"WITH {HISTORY}, b AS (SELECT *, coalesce((recall, f1) > max((recall, f1)) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM h), r AS (SELECT *, sum(better::INT) OVER (ORDER BY epoch) AS run_ FROM b), s AS (SELECT *, sum((phase = 'finetune' AND NOT better)::INT) OVER (PARTITION BY run_ ORDER BY epoch) AS stale FROM r), x AS (SELECT min(epoch) AS stop FROM s WHERE stale >= 3) SELECT arg_max(epoch, (recall, f1, -epoch)) AS best_epoch, max(stop) AS stop_epoch FROM s, x WHERE stop IS NULL OR epoch <= stop")
+@query(f"WITH {HISTORY}, b AS (SELECT *, coalesce((recall, f1) > max((recall, f1)) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM h), r AS (SELECT *, sum(better::INT) OVER (PARTITION BY run_id ORDER BY epoch) AS run_ FROM b), s AS (SELECT *, sum((phase = 'finetune' AND NOT better)::INT) OVER (PARTITION BY run_id, run_ ORDER BY epoch) AS stale FROM r), x AS (SELECT run_id, min(epoch) AS stop FROM s WHERE stale >= 3 GROUP BY run_id) SELECT s.run_id, arg_max(epoch, (recall, f1, -epoch)) AS best_epoch, max(stop) AS stop_epoch FROM s LEFT JOIN x ON s.run_id = x.run_id WHERE stop IS NULL OR epoch <= stop GROUP BY s.run_id")
 def best_epoch(spark, d):
     k = F.col("p_partkey")
-    history = table(spark, d, "part").filter(k < 15).select((k + 1).alias("epoch"), F.when(k < 3, "head").otherwise("finetune").alias("phase"), (k * 7 % 11 / 11.0).alias("recall"), (k * 5 % 13 / 13.0).alias("f1"))
+    history = table(spark, d, "part").select(F.floor(k / 15).alias("run_id"), (k % 15 + 1).alias("epoch"), F.when(k % 15 < 3, "head").otherwise("finetune").alias("phase"), (k * 7 % 11 / 11.0).alias("recall"), (k * 5 % 13 / 13.0).alias("f1"))
     return metrics.best_epoch(history)
 
 
@@ -226,7 +226,7 @@ def error_file_names(spark, d):
     return found.select("id", error_file_name(n, F.col("score"), F.col("id"), F.concat("path", F.lit(".PNG"))).alias("file_name"))
 
 
-@query(f"WITH {D.SAMPLES}, {D.ENTRIES} SELECT 'blind' AS eval_set, id FROM entries WHERE source = 'export' AND split <> 'train' UNION ALL SELECT 'all-manual', id FROM entries WHERE source = 'export' AND label_source = 'manual' UNION ALL SELECT 'all-exported', id FROM entries WHERE source = 'export'")
+@query(f"WITH {D.SAMPLES}, {D.ENTRIES} SELECT 'blind' AS eval_set, id FROM entries WHERE split IN ('val', 'test') UNION ALL SELECT 'all-manual', id FROM entries WHERE source = 'export' AND label_source = 'manual' UNION ALL SELECT 'all-exported', id FROM entries WHERE source = 'export'")
 def evaluation_sets(spark, d):
     e = D.entries(spark, d)
     out = None
@@ -272,8 +272,7 @@ def embedding_scores(spark, d):
     return model.score(model.train(rows), rows, "vec_id")
 
 
-@query("SELECT row_number() OVER (ORDER BY sha256('3:export:' || doc_id), doc_id)::BIGINT AS place, 'export:' || doc_id AS id FROM documents WHERE doc_id < 100")
+@query("SELECT row_number() OVER (ORDER BY sha256('3:export:' || doc_id), doc_id)::BIGINT AS place, 'export:' || doc_id AS id FROM documents")
 def training_order(spark, d):
-    rows = table(spark, d, "documents").filter("doc_id < 100").select(F.concat(F.lit("export:"), F.col("doc_id").cast("string")).alias("id"))
-    order = F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit("3:"), F.col("id")), 256), "id"))
-    return splits.training_order(rows, 3).select(order.cast("long").alias("place"), "id")
+    rows = table(spark, d, "documents").select(F.concat(F.lit("export:"), F.col("doc_id").cast("string")).alias("id"))
+    return splits.training_order(rows, 3).select("place", "id")

@@ -91,7 +91,7 @@ def manifest_rows(spark: SparkSession, d: str) -> DataFrame:
         F.array(text("user", e % 7), F.when(e % 11 == 0, "").otherwise(text("alt", u % 5))).alias("handles"), F.array(text("Name ", u % 9)).alias("display_names"), F.array(surface).alias("source_surfaces"),
         (e % 3 + 1).alias("seen_count"), ts.alias("first_seen_at"), (ts + F.expr("INTERVAL 1 MINUTE")).alias("last_seen_at"),
         F.when(e % 4 == 0, "").otherwise(text("https://p.example/", e)).alias("example_profile_url"), F.when(F.col("event_type") == "view", text("https://n.example/", e)).alias("example_notification_url"),
-        F.when(e % 5 == 0, text("https://t.example/", e)).alias("example_tweet_url"), (u % 25 == 0).alias("whitelisted"), F.floor(e / 1000).alias("file_rank"), (e % 1000).alias("position"), u.alias("user_id"), e.alias("event_id"), ts.alias("ts"), "event_type",
+        F.when(e % 5 == 0, text("https://t.example/", e)).alias("example_tweet_url"), (u % 23 == 0).alias("whitelisted"), F.floor(e / 1000).alias("file_rank"), (e % 1000).alias("position"), u.alias("user_id"), e.alias("event_id"), ts.alias("ts"), "event_type",
     )
 
 
@@ -99,7 +99,7 @@ ROWS = """manifest_rows AS (SELECT 'https://img.example/' || user_id || '/' || e
     ['user' || (event_id % 7), CASE WHEN event_id % 11 = 0 THEN '' ELSE 'alt' || (user_id % 5) END] AS handles, ['Name ' || (user_id % 9)] AS display_names, [CASE WHEN event_type = 'view' THEN 'notification-group' ELSE event_type END] AS source_surfaces,
     event_id % 3 + 1 AS seen_count, date_trunc('second', ts) AS first_seen_at, date_trunc('second', ts) + INTERVAL 1 MINUTE AS last_seen_at,
     CASE WHEN event_id % 4 = 0 THEN '' ELSE 'https://p.example/' || event_id END AS example_profile_url, CASE WHEN event_type = 'view' THEN 'https://n.example/' || event_id END AS example_notification_url,
-    CASE WHEN event_id % 5 = 0 THEN 'https://t.example/' || event_id END AS example_tweet_url, user_id % 25 = 0 AS whitelisted, event_id, user_id, date_trunc('second', ts) AS ts, event_type FROM events)"""
+    CASE WHEN event_id % 5 = 0 THEN 'https://t.example/' || event_id END AS example_tweet_url, user_id % 23 = 0 AS whitelisted, event_id, user_id, date_trunc('second', ts) AS ts, event_type FROM events)"""
 
 
 def merged_sql(name: str, where: str = "true") -> str:

@@ -8,6 +8,7 @@ from curatrix.operators import accounts, catalog, labels, review
 from curatrix.plans import domain as D
 from curatrix.plans.registry import query
 from curatrix.schemas import orphans
+from curatrix.shared import placed
 
 LISTS = ("handles", "display_names", "source_surfaces")
 
@@ -89,25 +90,23 @@ QUEUE_SQL = {
 }
 
 
-#: A queue's rows with their place in it, for the top; the order is what is tested.
-TOP = 500
-
-
 def _queue(name: str):
+    """A whole queue, with each item's place in it."""
+
     def run(spark, d):
-        head = review.queue(D.items(spark, d), name).limit(TOP)
-        return head.withColumn("place", review.numbered(review._order(name))).select(F.col("place").cast("long").alias("place"), "sha256", "score", "seen_count", "label")
+        return placed(D.items(spark, d).filter(review.queue_filter(name)), review._order(name)).select("place", "sha256", "score", "seen_count", "label")
 
     return run
 
 
 for _name, (_where, _by) in QUEUE_SQL.items():
-    query(f"WITH {D.items_sql()} SELECT row_number() OVER (ORDER BY {_by}, {TIES})::BIGINT AS place, sha256, score, seen_count, label FROM items WHERE {_where} ORDER BY place LIMIT {TOP}", f"queue_{_name}")(_queue(_name))
+    query(f"WITH {D.items_sql()} SELECT row_number() OVER (ORDER BY {_by}, {TIES})::BIGINT AS place, sha256, score, seen_count, label FROM items WHERE {_where}", f"queue_{_name}")(_queue(_name))
 
 
-@query(f"WITH {D.items_sql()} SELECT sha256, label, score, len(flags)::BIGINT AS n_flags FROM items WHERE label IS NOT NULL")
+@query(f"WITH {D.items_sql()} SELECT row_number() OVER (ORDER BY len(flags) DESC, coalesce(score, -1) DESC, seen_count DESC, labeled_at DESC NULLS LAST, {TIES})::BIGINT AS place, sha256, label, score, len(flags)::BIGINT AS n_flags FROM items WHERE label IS NOT NULL")
 def labeled_grid(spark, d):
-    return review.labeled_grid(D.items(spark, d)).select("sha256", "label", "score", F.size("flags").cast("long").alias("n_flags"))
+    found = review.labeled_grid(D.items(spark, d))
+    return placed(found, review._order("labeled")).select("place", "sha256", "label", "score", F.size("flags").cast("long").alias("n_flags"))
 
 
 @query(f"WITH {D.items_sql()} SELECT sha256, label FROM items WHERE label = 'unclear'")
@@ -135,7 +134,7 @@ def queue_counts(spark, d):
     return review.queue_counts(D.items(spark, d))
 
 
-@query("SELECT 'hard_negatives' AS queue")
+@query(f"WITH {D.items_sql()}, c AS (SELECT unnest({list(QUEUE_SQL)}) AS queue, unnest([{', '.join(f'count(*) FILTER (WHERE {w})' for w, _ in QUEUE_SQL.values())}]) AS n FROM items) SELECT arg_min(queue, list_position({list(review.PREFERRED)}, queue)) AS queue FROM c WHERE n > 0 AND list_contains({list(review.PREFERRED)}, queue)")
 def preferred_queue(spark, d):
     return review.preferred_queue(D.items(spark, d))
 
@@ -195,11 +194,11 @@ def score_upsert(spark, d):
     return catalog.upsert(old, new, ["run_id", "image_sha256"]).select("run_id", "image_sha256", "score")
 
 
-REQUESTS = "requests AS (SELECT DISTINCT sha256(CAST(user_id AS VARCHAR)) AS s, last_value(CASE WHEN event_type = 'error' THEN 'unclear' WHEN event_type IN ('click', 'purchase') THEN 'positive' ELSE 'negative' END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM events WHERE event_id % 7 = 0)"
+REQUESTS = "requests AS (SELECT DISTINCT sha256(CAST(user_id AS VARCHAR)) AS s, last_value(CASE WHEN event_type = 'error' THEN 'unclear' WHEN event_type IN ('click', 'purchase') THEN 'positive' ELSE 'negative' END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM events)"
 
 
 def _requests(spark, d):
-    events = D.label_events(spark, d).filter("(id - 1) % 7 = 0")
+    events = D.label_events(spark, d)
     return events.select(F.col("image_sha256").alias("sha256"), F.col("new_label").alias("label"), F.lit("n").alias("notes"), F.col("id").alias("ord"))
 
 
@@ -236,9 +235,10 @@ def label_history(spark, d):
     return labels.history(D.label_events(spark, d), D.items(spark, d)).select("id", "image_sha256", "new_label", "current_label", "predicted_label", "score", "seen_count")
 
 
-@query(f"WITH {D.IMAGES}, {D.SCORES} SELECT 'model_scores' AS child, count(*) AS orphans FROM scores WHERE image_sha256 NOT IN (SELECT sha256 FROM images)")
+@query(f"WITH {D.IMAGES}, {D.SCORES} SELECT 'model_scores' AS child, count(*) AS orphans FROM scores WHERE image_sha256 NOT IN (SELECT sha256 FROM images WHERE width % 7 <> 0)")
 def reference_check(spark, d):
-    return orphans(D.scores(spark, d), "image_sha256", D.images(spark, d), "sha256").agg(F.lit("model_scores").alias("child"), F.count("*").alias("orphans"))
+    """Some images are taken away first, so that scores are left without theirs."""
+    return orphans(D.scores(spark, d), "image_sha256", D.images(spark, d).filter("width % 7 <> 0"), "sha256").agg(F.lit("model_scores").alias("child"), F.count("*").alias("orphans"))
 
 
 @query("""WITH f AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'raw/' ELSE 'in/' END || o_orderkey || '.json' AS p, o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) SELECT 'in/' || o_orderkey || '.json' AS source_path FROM orders WHERE 'in/' || o_orderkey || '.json' NOT IN (SELECT p FROM f) AND 'raw/' || o_orderkey || '.json' NOT IN (SELECT p FROM f)""")
@@ -289,14 +289,14 @@ def stale_fingerprints(spark, d):
     return catalog.stale_fingerprints(files, cache).select("path")
 
 
-@query("WITH r AS (SELECT p_partkey AS position, 'v0.' || p_partkey AS name, 'run-' || p_partkey AS run_id FROM part WHERE p_partkey < 11) SELECT * FROM r UNION ALL SELECT max(position) + 1, 'WIP', 'run-99' FROM r")
+@query("WITH r AS (SELECT p_partkey AS position, 'v0.' || p_partkey AS name, 'run-' || p_partkey AS run_id FROM part) SELECT * FROM r UNION ALL SELECT max(position) + 1, 'WIP', 'run-wip' FROM r")
 def run_presets(spark, d):
     from curatrix.shared import table
 
     k = F.col("p_partkey")
     text = lambda x: F.concat(F.lit(x), k.cast("string"))
-    releases = table(spark, d, "part").filter(k < 11).select(k.alias("position"), text("v0.").alias("name"), text("run-").alias("run_id"))
-    return review.run_presets(releases, spark.createDataFrame([("run-99",), ("run-3",)], "run_id string"))
+    releases = table(spark, d, "part").select(k.alias("position"), text("v0.").alias("name"), text("run-").alias("run_id"))
+    return review.run_presets(releases, spark.createDataFrame([("run-wip",), ("run-3",)], "run_id string"))
 
 
 @query(f"WITH {D.ROWS}, {D.merged_sql('merged')}, o AS (SELECT normalized_url, CASE WHEN user_id % 3 = 0 THEN 'failed' ELSE 'downloaded' END AS download_status, CASE WHEN user_id % 3 = 0 THEN 'status 404' END AS last_download_error, CASE WHEN user_id % 3 <> 0 THEN sha256(normalized_url) END AS image_sha256 FROM merged WHERE user_id % 2 = 0) SELECT m.normalized_url, coalesce(o.download_status, CASE WHEN user_id % 5 <> 0 THEN 'downloaded' WHEN user_id % 2 = 0 THEN 'failed' ELSE 'pending' END) AS download_status, o.last_download_error, coalesce(o.image_sha256, CASE WHEN user_id % 5 <> 0 THEN sha256(CAST(user_id AS VARCHAR)) END) AS image_sha256 FROM merged m LEFT JOIN o ON m.normalized_url = o.normalized_url")
@@ -305,6 +305,7 @@ def download_outcomes(spark, d):
     user = F.split_part("normalized_url", F.lit("/"), F.lit(4)).cast("long")
     bad = user % 3 == 0
     outcomes = urls.filter(user % 2 == 0).select("normalized_url", F.when(~bad, F.sha2("normalized_url", 256)).alias("sha256"), F.when(bad, "status 404").alias("error"))
+    outcomes = outcomes.unionByName(urls.filter(user % 4 == 0).select("normalized_url", F.lit(None).cast("string").alias("sha256"), F.lit("status 404").alias("error")))  # tried twice
     return catalog.record_outcomes(urls, outcomes, D.at(D.NOW)).select("normalized_url", "download_status", "last_download_error", "image_sha256")
 
 
@@ -317,4 +318,4 @@ def export_rename(spark, d):
     path = lambda x: F.concat(F.lit(x), k, F.lit(".json"))
     orders = table(spark, d, "orders")
     ledger = orders.filter("o_orderkey % 3 <> 0").select(F.when(F.col("o_orderkey") % 2 == 0, path("raw/")).otherwise(path("in/")).alias("export_path"))
-    return catalog.rename_archived(ledger, orders.select(path("in/").alias("source_path"), path("raw/").alias("stored_path"))).select("export_path")
+    return catalog.rename_archived(ledger, orders.unionByName(orders.filter("o_orderkey % 4 = 0")).select(path("in/").alias("source_path"), path("raw/").alias("stored_path"))).select("export_path")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with more than one row in HOT_SHARE of all rows is hot; so at most HOT_SHARE keys are.
@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all tasks share the driver's disk."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="curatrix-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -43,6 +45,17 @@ def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def placed(df: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """df with each row's place in a total order, from 1, and materialised. Rows are sorted by ranges in many tasks; a row's
+    place is that in its range after the sizes of the ranges before, of which there is one a partition."""
+    number = F.monotonically_increasing_id()
+    rows = materialise(df.orderBy(*order).withColumn("__place_id", number), "placed")
+    part, at = F.shiftright("__place_id", 33), F.col("__place_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("__place_part")).agg(F.count("*").alias("__place_n"))
+    before = sizes.select("__place_part", (F.sum("__place_n").over(Window.orderBy("__place_part")) - F.col("__place_n")).alias("__place_before"))
+    return rows.join(F.broadcast(before), part == F.col("__place_part")).withColumn(name, (F.col("__place_before") + at + 1).cast("long")).drop("__place_id", "__place_part", "__place_before", "__place_n")
+
+
 def attach(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """left join of right, which has one row per key and, in size, the key's rows in left. Both are materialised.
 

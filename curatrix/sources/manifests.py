@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import EPOCH, filter_mode, no_strings, parse_time, read_number, unique_strings, whitelist_handles
 from curatrix.schemas import COLLECTIONS, DATASET_ENTRY, MANIFEST, schema
+from curatrix.shared import small
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -29,9 +32,19 @@ def read_manifests(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row a file with its place among the paths; text of a wrong type fails the read."""
     if not paths:
         return spark.createDataFrame([], schema(MANIFEST + ", path STRING, file_rank INT"))
-    order = spark.createDataFrame([(p.split("/")[-1], i) for i, p in enumerate(paths)], "name string, file_rank int")
+    order = spark.createDataFrame([(_whole(spark, p), i) for i, p in enumerate(paths)], "name string, file_rank int")
     rows = spark.read.schema(schema(MANIFEST)).option("multiLine", True).option("mode", "FAILFAST").json(paths).withColumn("path", F.input_file_name())
-    return rows.join(F.broadcast(order), F.element_at(F.split("path", "/"), -1) == F.col("name")).drop("name")
+    return rows.join(small(order), F.regexp_replace("path", SCHEME, "$1:/") == F.col("name")).drop("name")
+
+
+#: A path's scheme, whose slashes differ between what names the same file.
+SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):/+"
+
+
+def _whole(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its file system, as a reader names its file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub(SCHEME, r"\1:/", p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString())
 
 
 def manifest_rows(manifests: DataFrame) -> DataFrame:
@@ -92,6 +105,32 @@ def whitelist_import(text: Column) -> Column:
     return F.when(found.isNotNull(), whitelist_handles(found)).otherwise(F.raise_error(F.lit("not a whitelist")).cast("array<string>"))
 
 
+def whitelist_export(handles: Column, exported_at: Column) -> Column:
+    """A whitelist as a document: version, time and handles in their normal form; null for an empty list."""
+    known = whitelist_handles(handles)
+    text = F.to_json(F.struct(F.lit(1).alias("version"), exported_at.alias("exported_at"), known.alias("whitelist_handles")))
+    return F.when(F.size(known) > 0, text)
+
+
+#: What a reset leaves, as stored.
+CLIENT_DEFAULTS = {"settings": '{"mode":"hide","whitelistHandles":[]}', "stats": '{"tweetsScanned":0,"avatarsChecked":0,"cacheHits":0,"postsMatched":0,"modelMatches":0,"errors":0,"lastMatchAt":null}', "matchedAccounts": "{}", "collectedAvatars": "{}"}
+
+
+def reset_client(stored: DataFrame, keys: tuple[str, ...] = tuple(CLIENT_DEFAULTS)) -> DataFrame:
+    """Stored values (key, value) with the defaults for the keys given, whether stored before or not."""
+    spark = stored.sparkSession
+    defaults = spark.createDataFrame([(k, CLIENT_DEFAULTS[k]) for k in keys], "key string, value string")
+    return stored.filter(~F.col("key").isin(*keys)).select("key", "value").unionByName(defaults)
+
+
+def runtime_config(text: Column) -> Column:
+    """What a scorer needs of a model's metadata document: five fields; the document is checked as it is read."""
+    kind = "input_size INT, channels INT, mean ARRAY<DOUBLE>, std ARRAY<DOUBLE>, positive_index INT"
+    read = F.from_json(text, kind, {"mode": "FAILFAST"})
+    whole = (F.size(read["mean"]) == read["channels"]) & (F.size(read["std"]) == read["channels"]) & read["input_size"].isNotNull() & read["positive_index"].isNotNull()
+    return F.when(whole, read).otherwise(F.raise_error(F.lit("model metadata is not whole")).cast("struct<" + kind.replace(" INT", ": INT").replace(" ARRAY", ": ARRAY") + ">"))
+
+
 def client_stats(text: Column) -> Column:
     """Counters with defaults: what is missing or no number is 0."""
     names = ("tweetsScanned", "avatarsChecked", "cacheHits", "postsMatched", "modelMatches", "errors")

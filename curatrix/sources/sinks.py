@@ -1,4 +1,4 @@
-"""Writing documents, datasets and state. Every write is a new version; a pointer names the one that holds."""
+"""Writing documents, datasets and state. Every write is a new version; the catalog's commits name those that hold."""
 
 from __future__ import annotations
 

@@ -6,6 +6,8 @@ tweet_url, matched, score_source. State grows with the number of keys, as there
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -67,8 +69,10 @@ def cache_hits(events: DataFrame) -> DataFrame:
 
 
 def notification_entries(events: DataFrame) -> DataFrame:
-    """One entry for each handle and URL."""
-    return events.dropDuplicates(["handle", "normalized_url"])
+    """One entry for each handle and URL, the last; of the same time the one that is greatest in its other columns."""
+    rest = [c for c in events.columns if c not in ("handle", "normalized_url", "ts")]
+    last = events.groupBy("handle", "normalized_url").agg(F.max(F.struct("ts", *rest)).alias("__last"))
+    return last.select("handle", "normalized_url", "__last.*").select(*events.columns)
 
 
 def changed_elements(events: DataFrame) -> DataFrame:
@@ -106,9 +110,34 @@ def flush_to(df: DataFrame, path: str, checkpoint: str, interval: str = "350 mil
 
 
 def apply_settings(events: DataFrame, settings: DataFrame) -> DataFrame:
-    """Events with the settings (mode, whitelist_handles) that hold when their micro-batch is read: one row, broadcast."""
+    """Events of a batch with the settings (mode, whitelist_handles) that are given: one row, broadcast."""
     from curatrix.operators.accounts import mode_decision
 
     both = events.crossJoin(F.broadcast(settings.limit(1)))
     listed = F.array_contains("whitelist_handles", F.col("handle"))
     return both.withColumn("decision", mode_decision(F.col("mode"), F.col("matched"), listed, F.lit(False)))
+
+
+def decide(events: DataFrame, read_settings: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Each micro-batch with the settings that are read when it comes, so a change takes effect with the next one."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        write(apply_settings(batch, read_settings()), epoch)
+
+    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(run).start()
+
+
+def keep_latest(changed: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+    """A keyed state from a stream in update mode: each micro-batch's changed rows replace those with their keys in the next
+    version, so what is aggregated again are changed keys only. A repeated micro-batch writes its version again."""
+    from curatrix.operators.catalog import upsert
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        version = f"{path.rstrip('/')}/epoch={epoch:012d}"
+        spark = batch.sparkSession
+        state = batch
+        if epoch:
+            state = upsert(spark.read.schema(batch.schema).parquet(f"{path.rstrip('/')}/epoch={epoch - 1:012d}"), batch, keys)
+        state.write.mode("overwrite").parquet(version)
+
+    return changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(run).start()

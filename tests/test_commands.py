@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ def test_loop(spark, tmp_path):
 
     commands.download_avatars(c, get)
     images = c.read("images")
+    assert all(Path(r.local_path).read_bytes().decode() in {f"u{i}" for i in range(6)} for r in images.collect())
     assert images.count() == 6 and {r.download_status for r in c.read("avatar_urls").filter("normalized_url = 'bad'").collect()} == {"failed"}
 
     shas = sorted(r.sha256 for r in images.collect())
@@ -78,3 +80,34 @@ def test_training_and_evaluation(spark):
     scored = entries.withColumn("run_id", F.lit("a")).withColumn("score", (F.col("label") == "positive").cast("double")).unionByName(entries.withColumn("run_id", F.lit("b")).withColumn("score", F.lit(1.0)))
     got = {r.run_id: r.verdict for r in commands.evaluate(scored, {"a": 0.5, "b": 0.5}, "a").collect()}
     assert got == {"a": "baseline", "b": "worse"}
+
+
+def test_a_command_that_fails_leaves_the_catalog_as_it_was(spark, tmp_path, monkeypatch):
+    from curatrix.sources import sinks
+
+    c = commands.Catalog(spark, str(tmp_path / "catalog"))
+    (tmp_path / "in").mkdir()
+    _manifest(tmp_path / "in" / "a.json", [("u0", 1)])
+    commands.ingest(c, str(tmp_path / "in"))
+    before = c.versions()
+    _manifest(tmp_path / "in" / "b.json", [("u0", 10)])
+    real, calls = sinks.write_version, []
+
+    def second_fails(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise OSError("disk full")
+        return real(*args)
+
+    monkeypatch.setattr(sinks, "write_version", second_fails)
+    with pytest.raises(OSError):
+        commands.ingest(c, str(tmp_path / "in"))
+    assert c.versions() == before and c.read("exports").count() == 1 and c.read("avatar_urls").first().seen_count == 1
+    monkeypatch.setattr(sinks, "write_version", real)
+    assert commands.ingest(c, str(tmp_path / "in")) == 1 and c.read("avatar_urls").first().seen_count == 11
+
+
+def test_training_wants_an_embedding_for_each_entry(spark):
+    entries = spark.createDataFrame([("a", "positive", "export", "train", "manual", 1.0), ("b", "negative", "export", "val", "manual", 1.0)], "id string, label string, source string, split string, label_source string, sample_weight double")
+    with pytest.raises(ValueError, match="1 entries"):
+        commands.train(entries, spark.createDataFrame([("a", [1.0])], "id string, embedding array<float>"), "r")

@@ -320,7 +320,7 @@ def test_metrics_without_rows_and_comparison(spark):
     assert got["close"].precision_delta == "=" and got["better"].recall_delta == "↑0.1000" and got["mixed"].fn_delta == "↑4"
     assert "run_id" in sinks.comparison_table(spark.createDataFrame(rows, "run_id string, precision double, recall double, fp double, fn double"))
     history = [(1, "head", 0.5, 0.5), (2, "finetune", 0.6, 0.1), (3, "finetune", 0.6, 0.1), (4, "finetune", 0.5, 0.9), (5, "finetune", 0.6, 0.0), (6, "finetune", 0.9, 0.9)]
-    best = metrics.best_epoch(spark.createDataFrame(history, "epoch int, phase string, recall double, f1 double"), 3).first()
+    best = metrics.best_epoch(spark.createDataFrame([("r", *h) for h in history], "run_id string, epoch int, phase string, recall double, f1 double"), 3).first()
     assert (best.best_epoch, best.stop_epoch) == (2, 5)
     fresh = metrics.freshness(spark.createDataFrame([], "updated_at timestamp"), now(), F.timestamp_seconds(F.unix_timestamp(now()) + 1)).first()
     assert fresh.reasons == ["collections changed after the manifest"] and not fresh.fresh
@@ -446,5 +446,80 @@ def test_run_presets_and_training_order(spark):
     assert [x.run_id for x in r.run_presets(releases).collect()] == ["a", "b"]
     assert [x.name for x in r.run_presets(releases, wip("c")).collect()] == ["v1", "v2", "WIP"] and r.run_presets(releases, wip("a")).count() == 2
     entries = spark.createDataFrame([(str(i),) for i in range(20)], "id string")
-    once = [x.id for x in splits.training_order(entries, 1).collect()]
-    assert once == [x.id for x in splits.training_order(entries.repartition(3), 1).collect()] != [x.id for x in splits.training_order(entries, 2).collect()]
+    order = lambda df, seed: [x.id for x in splits.training_order(df, seed).orderBy("place").collect()]
+    assert order(entries, 1) == order(entries.repartition(3), 1) != order(entries, 2)
+    assert [x.place for x in splits.training_order(entries, 1).orderBy("place").collect()] == list(range(1, entries.count() + 1))
+
+
+def test_manifests_of_equal_names_are_two_files(spark, tmp_path):
+    from curatrix.sources import manifests
+
+    for k, folder in enumerate(("a", "b c")):
+        (tmp_path / folder).mkdir()
+        row = {"normalized_url": f"u{k}", "original_url": "o", "handles": [], "display_names": [], "source_surfaces": [], "seen_count": 1, "first_seen_at": None, "last_seen_at": None, "example_profile_url": None, "example_notification_url": None, "example_tweet_url": None, "whitelisted": False}
+        (tmp_path / folder / "x.json").write_text(json.dumps({"version": 1, "exported_at": "2024-01-01T00:00:00Z", "avatar_count": 1, "total_sightings": 1, "avatars": [row]}))
+    rows = manifests.manifest_rows(manifests.read_manifests(spark, [str(tmp_path / "b c" / "x.json"), str(tmp_path / "a" / "x.json")]))
+    assert sorted((r.file_rank, r.normalized_url) for r in rows.collect()) == [(0, "u1"), (1, "u0")]
+
+
+def test_documents_of_the_client_and_of_a_model(spark):
+    from curatrix.sources import manifests
+
+    meta = {"architecture": "m", "class_names": ["a", "b"], "input_size": 128, "channels": 3, "mean": [0.5, 0.5, 0.5], "std": [0.5, 0.25, 0.5], "positive_index": 1, "generated_at": "t", "threshold": 0.4, "run_id": "r"}
+    read = lambda text: spark.createDataFrame([(text,)], "t string").select(manifests.runtime_config(F.col("t")).alias("c")).first().c
+    assert read(json.dumps(meta)).asDict() == {"input_size": 128, "channels": 3, "mean": [0.5] * 3, "std": [0.5, 0.25, 0.5], "positive_index": 1}
+    for broken in ({**meta, "mean": [0.5]}, {k: v for k, v in meta.items() if k != "positive_index"}):
+        with pytest.raises(Exception, match="not whole"):
+            read(json.dumps(broken))
+    df = spark.createDataFrame([(["@B", "a", "b"],), ([],)], "h array<string>")
+    out = [r.t for r in df.select(manifests.whitelist_export(F.col("h"), F.lit("2024-01-01T00:00:00Z")).alias("t")).collect()]
+    assert json.loads(out[0]) == {"version": 1, "exported_at": "2024-01-01T00:00:00Z", "whitelist_handles": ["a", "b"]} and out[1] is None
+    stored = spark.createDataFrame([("stats", "x"), ("other", "y"), ("settings", "z")], "key string, value string")
+    left = {r.key: r.value for r in manifests.reset_client(stored, ("stats", "matchedAccounts")).collect()}
+    assert left["other"] == "y" and left["settings"] == "z" and json.loads(left["stats"])["errors"] == 0 and left["matchedAccounts"] == "{}"
+
+
+def test_picture_headers():
+    from curatrix.sources.fetch import picture_header
+
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (8).to_bytes(4, "big") + (12).to_bytes(4, "big")
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + (12).to_bytes(2, "big") + (8).to_bytes(2, "big")
+    gif = b"GIF89a" + (8).to_bytes(2, "little") + (12).to_bytes(2, "little")
+    webp = b"RIFF....WEBPVP8X" + b"\0" * 8 + (7).to_bytes(3, "little") + (11).to_bytes(3, "little")
+    assert [picture_header(x) for x in (png, jpeg, gif, webp, b"<html>", b"")] == [("image/png", 8, 12), ("image/jpeg", 8, 12), ("image/gif", 8, 12), ("image/webp", 8, 12), (None, None, None), (None, None, None)]
+
+
+def test_places_are_those_of_a_sort(spark):
+    from curatrix.shared import placed
+
+    df = spark.range(0, 5000, 1, 7).select(F.pmod(F.xxhash64("id"), F.lit(900)).alias("k"), "id")
+    got = [(r.place, r.k, r.id) for r in placed(df, [F.desc("k"), F.col("id")]).orderBy("place").collect()]
+    assert [g[0] for g in got] == list(range(1, 5001)) and [g[1:] for g in got] == sorted(((k, i) for _, k, i in got), key=lambda x: (-x[0], x[1]))
+    assert placed(df.limit(0), [F.col("id")]).count() == 0
+
+
+def test_state_by_changed_keys_and_settings_at_each_batch(spark, tmp_path):
+    """Three input files, a micro-batch each: the state is that of all, and settings are read when a batch comes."""
+    from curatrix.streaming import collector
+
+    source = str(tmp_path / "in")
+    for k in range(3):
+        spark.createDataFrame([(f"h{i % 4}", i + 10 * k) for i in range(5 * (k + 1))], "handle string, n long").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("handle string, n long").option("maxFilesPerTrigger", 1).parquet(source)
+    collector.keep_latest(stream.groupBy("handle").agg(F.sum("n").alias("n")), str(tmp_path / "state"), ["handle"], str(tmp_path / "ck")).awaitTermination()
+    last = sorted((tmp_path / "state").iterdir())[-1]
+    want = {r.handle: r.n for r in spark.read.parquet(source).groupBy("handle").agg(F.sum("n").alias("n")).collect()}
+    assert {r.handle: r.n for r in spark.read.parquet(str(last)).collect()} == want
+    modes, seen = iter(["hide", "fade", "off", "off"]), []
+    settings = lambda: spark.createDataFrame([(next(modes), [])], "mode string, whitelist_handles array<string>")
+    events = stream.withColumn("matched", F.lit(True))
+    collector.decide(events, settings, lambda df, epoch: seen.append({r.decision for r in df.select("decision").collect()}), str(tmp_path / "ck2")).awaitTermination()
+    assert seen == [{"hide"}, {"fade"}, {"show"}]
+
+
+def test_an_entry_for_notifications_is_the_last(spark):
+    from curatrix.streaming import collector
+
+    rows = [("a", "u", 1, "old"), ("a", "u", 3, "new"), ("a", "v", 2, "x"), ("a", "u", 2, "mid")]
+    df = spark.createDataFrame(rows, "handle string, normalized_url string, ts int, name string")
+    assert sorted(map(tuple, collector.notification_entries(df).collect())) == [("a", "u", 3, "new"), ("a", "v", 2, "x")]
