@@ -106,7 +106,7 @@ def _followed(shared, size: int, contexts: bool):
         codes, held = [], 0
         for batch in batches:
             for t in batch.column(0):
-                place = np.concatenate(([0], words.places(tokens_of(t.as_py())), [0]))
+                place = np.concatenate(([0], np.frombuffer(t.as_buffer(), np.int32), [0]))
                 kind = words.kind[place]
                 codes.append(kind[:-1] * size + kind[1:])
                 if contexts:
@@ -222,31 +222,49 @@ class Model:
 
 
 ROW_SHIFT = 36
+ENCODED = "doc_id long, held_out boolean, row long, places binary, rare array<struct<word: binary, n: long>>"
+
+
+def _encoded(shared):
+    """Texts as places of their words, which are read again and again, and the words that have no place of their own."""
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Words = shared.value
+        n_known = len(words.kind) - ENDINGS
+        row = TaskContext.get().partitionId() << ROW_SHIFT
+        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+        for batch in batches:
+            places, rare = [], []
+            for t in batch.column(2):
+                found = tokens_of(t.as_py())
+                place = words.places(found)
+                places.append(place.astype("<i4").tobytes())
+                rare.append([{"word": w, "n": n} for w, n in Counter([found[i] for i in np.flatnonzero(place >= n_known).tolist()]).items()])
+            rows = pa.array(range(row, row + len(places)), pa.int64())
+            row += len(places)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows, pa.array(places, pa.binary()), pa.array(rare, kind)], ["doc_id", "held_out", "row", "places", "rare"])
+
+    return encoded
 
 
 def _partly_scored(shared):
-    """All of a score but what the counts of its rare words say: those words go along."""
+    """All of a score but what the counts of its rare words say."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        row = TaskContext.get().partitionId() << ROW_SHIFT
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for t in batch.column(2):
-                words = tokens_of(t.as_py())
-                place = m.words.places(words)
+            out: list[list] = [[] for _ in range(4)]
+            for t in batch.column(3):
+                place = np.frombuffer(t.as_buffer(), np.int32)
                 cls = m.words.kind[place]
                 score = m.transition[np.concatenate(([0], cls)), np.concatenate((cls, [0]))].sum()
                 known = place < len(m.emission)
                 frequent = place[known]
                 score += m.emission[frequent].sum() + m.emission[0] - m.class_total[cls[~known]].sum()
-                rare = Counter([words[i] for i in np.flatnonzero(~known).tolist()])
-                for column, value in zip(out, (row, len(words) + 1, len(frequent) + 1, m.base[frequent].sum() + m.base[0], score, list(rare.items()))):
+                for column, value in zip(out, (len(place) + 1, len(frequent) + 1, m.base[frequent].sum() + m.base[0], score)):
                     column.append(value)
-                row += 1
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-            rare = pa.array([[{"word": w, "n": n} for w, n in r] for r in out[5]], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.float64()), pa.array(out[4], pa.float64()), rare], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare"])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(out, kinds)]], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score"])
 
     return scored
 
@@ -256,10 +274,10 @@ def _training(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, texts.filter("not held_out").select("text")
 
 
-def fitted(docs: DataFrame, frequent: int = FREQUENT, moves: int = MOVES) -> tuple[Model, DataFrame]:
-    """The model of the training texts, and the counts of all their words."""
+def fitted(docs: DataFrame, frequent: int = FREQUENT, moves: int = MOVES) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of the training texts, the counts of all their words, and all texts as places of words."""
     sc = docs.sparkSession.sparkContext
-    training = _training(docs)[1]
+    texts, training = _training(docs)
     counts = materialise(training.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("words"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
     n_train, n_words = totals["tokens"], totals["words"]
@@ -285,6 +303,8 @@ def fitted(docs: DataFrame, frequent: int = FREQUENT, moves: int = MOVES) -> tup
     kind = np.array([i if i <= CLUSTERED else 1 + CLUSTERED + ending(w) for i, w in enumerate(top_words)] + [1 + CLUSTERED + e for e in range(ENDINGS)])
     words = Words({w: i for i, w in enumerate(top_words) if i}, kind)
 
+    encoded = materialise(texts.mapInArrow(_encoded(sc.broadcast(words)), ENCODED), "encoded")
+    training = encoded.filter("not held_out").select("places")
     # Where clustering starts: N_KINDS squared counts at most.
     rows = training.mapInArrow(_followed(sc.broadcast(words), N_KINDS, False), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(N_KINDS * N_KINDS)
@@ -335,7 +355,7 @@ def fitted(docs: DataFrame, frequent: int = FREQUENT, moves: int = MOVES) -> tup
     if not end_count:
         emission[0] = 0.0
     base_total = n_train + n_words + 1
-    return Model(words, transition, np.log10((top_n + 1) / base_total), emission, np.log10(class_total), np.log10(np.maximum(unknown, 1e-9)), discount, base_total, n_train, end_count), counts
+    return Model(words, transition, np.log10((top_n + 1) / base_total), emission, np.log10(class_total), np.log10(np.maximum(unknown, 1e-9)), discount, base_total, n_train, end_count), counts, encoded
 
 
 def language_scores(docs: DataFrame, frequent: int = FREQUENT, moves: int = MOVES) -> DataFrame:
@@ -348,10 +368,10 @@ def language_scores(docs: DataFrame, frequent: int = FREQUENT, moves: int = MOVE
     gives an empty result.
     """
     sc = docs.sparkSession.sparkContext
-    model, counts = fitted(docs, frequent, moves)
-    part_kind = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: long>>"
-    part = materialise(_training(docs)[0].mapInArrow(_partly_scored(sc.broadcast(model)), part_kind), "partly-scored")
-    rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
+    model, counts, encoded = fitted(docs, frequent, moves)
+    part_kind = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double"
+    part = encoded.select("doc_id", "held_out", "row", "places").mapInArrow(_partly_scored(sc.broadcast(model)), part_kind)
+    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     of_ending = model.words.kind[-ENDINGS:]
     unknown_of = F.element_at(F.lit([float(model.unknown[c]) for c in of_ending]), (F.crc32(F.expr("substring(word, -3, 3)")) % ENDINGS + 1).cast("int"))
     found = rare.join(counts, "word", "left")
@@ -360,6 +380,6 @@ def language_scores(docs: DataFrame, frequent: int = FREQUENT, moves: int = MOVE
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.base_total)))).alias("more_base"),
         F.sum(F.col("times") * F.coalesce(F.log10(F.col("n") - F.lit(model.discount)), unknown_of)).alias("more_score"),
     )
-    out = part.drop("rare").join(sums, "row", "left")
+    out = part.join(sums, "row", "left")
     zero = F.lit(0)
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", zero) - F.lit(0 if model.end_count else 1)).alias("n_known"), F.lit(model.n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("more_score", zero)).alias("score"))

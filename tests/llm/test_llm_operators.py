@@ -303,7 +303,7 @@ def test_score_by_hand_and_probabilities_that_sum_to_one(spark):
 
     texts = [*TEXTS, *[prose(s, 60 + s) for s in range(40)], "w1 w2 " * 30, "zq " * 9]
     frame = docs(spark, texts)
-    model, _ = L.fitted(frame)
+    model, _, _ = L.fitted(frame)
     fold = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     tokens = [[w.encode() for w in re.split("[\x20\x09-\x0d]+", lower(t)) if w] for t in texts]
     c = Counter(w for ws, f in zip(tokens, fold) if not f for w in [*ws, b"\n"])
