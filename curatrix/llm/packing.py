@@ -11,8 +11,10 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,9 @@ REMEMBERED = 900_000
 #: The white space that the tokenizer drops, and how it cuts the rest.
 WORD = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+MARKS = string.punctuation
+#: Words that are not composed already, or not lowered letter by letter, or have a special token, are encoded as they are.
+SPECIAL = re.compile("[^\x00-\u024f]|İ|<\\|")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -43,6 +48,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pieces_of(low: str) -> tuple | list:
+    """A word in lower case cut as PIECE does; most are letters, or letters and then marks."""
+    if low.isalpha():
+        return (low,)
+    body = low.rstrip(MARKS)
+    return (body, low[len(body) :]) if body.isalpha() else PIECE.findall(low)
+
+
 class Encoder:
     """A text's ids as bytes (little-endian, 4 an id). White space parts a text into words that are encoded alone, so
     every word is encoded once as long as it is remembered."""
@@ -73,16 +86,23 @@ class Encoder:
         return out
 
     def learn(self, new: set[str]) -> None:
-        plain = [w for w in new if max(w) < "ɐ" and "<|" not in w and "İ" not in w]  # composed already, and lower case letter by letter
-        cut = {w: PIECE.findall(w.lower()) for w in plain}
-        parts = set().union(*cut.values()) - self.parts.keys()
-        runs = [p for p in parts if p[0].isalpha()]
+        plain = list(new)
+        if SPECIAL.search("\n".join(plain)):
+            plain = [w for w in plain if not SPECIAL.search(w)]
+        low = "\n".join(plain).lower().split("\n") if plain else []
+        cut = [pieces_of(w) for w in low]
+        parts = set(chain.from_iterable(cut)) - self.parts.keys()
+        runs = [p for p in parts if p.isalpha()]
         self.parts.update(zip(runs, self._encode_runs(runs)))
-        others = [p for p in parts if not p[0].isalpha()]
+        others = list(parts.difference(runs))
         self.parts.update(zip(others, self._encode(others)))
-        self.words.update((w, b"".join([self.parts[p] for p in x])) for w, x in cut.items())
-        rest = [w for w in new if w not in cut]
-        self.words.update(zip(rest, self._encode(rest)))
+        known, words = self.parts, self.words
+        for w, x in zip(plain, cut):
+            n = len(x)
+            words[w] = known[x[0]] if n == 1 else known[x[0]] + known[x[1]] if n == 2 else b"".join([known[p] for p in x])
+        if len(plain) < len(new):
+            rest = list(new.difference(plain))
+            words.update(zip(rest, self._encode(rest)))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """One after the other, a bounded stretch of text at a time."""
