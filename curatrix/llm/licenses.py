@@ -58,7 +58,9 @@ TEMPLATES = [
 #: A line that names a licence by its identifier is a template of its own for each label.
 TEMPLATES += [(label, text, [text]) for label in sorted({t[0] for t in TEMPLATES}) for text in ["spdx license identifier " + label.replace("-", " ").replace(".", " ")]]
 #: Words of no use for an index.
-COMMON = frozenset("a and any are by for in is it may not of on or the this to under use with without you".split())
+COMMON = frozenset("a above all and any are as at be by can either for from if in is it its later may must no nor not of on one option or other see that the this to under use was will with without you your".split())
+#: So many files that are found by the index have their texts looked up by broadcast; more by a shuffle.
+FEW_FILES = 1_000_000
 #: So many of each template's words, those with the highest inverse document frequency, are in the index.
 RAREST = 16
 #: Votes agree if their places differ by less; texts put a name or a line's mark between a template's words.
@@ -103,7 +105,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split()} - COMMON)
     phrase = "(?<= )(?:" + "|".join(BASE) + ")(?= )"
 
-    norm = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), normal_text().alias("norm"))
+    norm = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), normal_text().alias("norm"))
     padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
     maybe = F.contains("norm", F.lit("license")) | F.contains("norm", F.lit("cc by"))
     rows = norm.withColumn("padded", padded).withColumn("found", F.when(maybe, F.regexp_extract_all("padded", F.lit(phrase), F.lit(0))).otherwise(F.array().cast("array<string>")))
@@ -113,7 +115,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     any_base = F.size("found") > 0
     words = F.split("norm", " ")
     digest = rows.select(
-        "doc_id", "text_hash", "n_words", F.size("found").cast("long").alias("n_base"),
+        "doc_id", "row", "n_words", F.size("found").cast("long").alias("n_base"),
         F.when(any_base, _spaces(F.element_at(around, 1)) - 1).alias("first_word"),
         F.when(any_base, F.col("n_words") - (_spaces(F.element_at(around, -1)) - 1) - (_spaces(last_phrase) + 1)).alias("last_word"),
         F.transform(F.array_distinct("found"), lambda p: F.element_at(F.create_map(*[F.lit(x) for kv in BASE.items() for x in kv]), p)).alias("base"),
@@ -128,22 +130,22 @@ def license_scan(docs: DataFrame) -> DataFrame:
     index = F.broadcast(spark.createDataFrame(postings, "word string, template int, at int, weight double, whole double"))
     indexed = sorted({p[0] for p in postings})
 
-    id_of, no_id = F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id")
-    file = ["id", "no_id", "text_hash"]
-    files = digest.filter("norm is not null").select(id_of, no_id, "text_hash", "licence_words", "norm").filter(F.arrays_overlap("licence_words", F.lit(indexed))).dropDuplicates(file)
-    looked = files.select(*file, F.posexplode(F.split("norm", " ")).alias("place", "word")).join(index, "word")
+    files = digest.filter("norm is not null").filter(F.arrays_overlap("licence_words", F.lit(indexed)))
+    looked = files.select("row", F.posexplode(F.split("norm", " ")).alias("place", "word")).join(index, "word")
     # A place counts in two ranges that overlap, so that votes that differ by less than half of DRIFT meet in one.
     start = F.col("place") - F.col("at")
     votes = looked.withColumn("range", F.explode(F.array(2 * F.floor(start / DRIFT), 2 * F.floor((start + DRIFT // 2) / DRIFT) + 1)))
-    agreed = votes.groupBy(*file, "template", "range", "whole").agg(F.collect_set(F.struct("at", "weight")).alias("hit"))
+    agreed = votes.groupBy("row", "template", "range", "whole").agg(F.collect_set(F.struct("at", "weight")).alias("hit"))
     share = F.least(F.lit(1.0), F.aggregate("hit", F.lit(0.0), lambda a, h: a + h["weight"]) / F.col("whole"))
-    able = agreed.groupBy(*file, "template").agg(F.max(share).alias("share")).filter(F.col("share") >= SHARE)
+    able = materialise(agreed.groupBy("row", "template").agg(F.max(share).alias("share")).filter(F.col("share") >= SHARE), "licence-candidates")
+    wanted = able.select("row").distinct()
+    texts = files.join(F.broadcast(wanted) if wanted.count() <= FEW_FILES else wanted, "row", "left_semi").select("row", F.concat(F.lit(" "), "norm", F.lit(" ")).alias("padded"))
     keys = F.array(*[F.array(*[F.lit(f" {k} ") for k in t[2]]) for t in TEMPLATES])
-    verified = able.join(files.select(*file, F.concat(F.lit(" "), "norm", F.lit(" ")).alias("padded")), file).filter(F.forall(F.element_at(keys, F.col("template") + 1), lambda k: F.contains("padded", k)))
+    verified = able.join(texts, "row").filter(F.forall(F.element_at(keys, F.col("template") + 1), lambda k: F.contains("padded", k)))
     names = F.array(*[F.lit(t[0]) for t in TEMPLATES])
-    method = verified.groupBy(*file).agg(F.collect_set(F.element_at(names, F.col("template") + 1)).alias("method"), F.max("share").alias("share"))
+    method = verified.groupBy("row").agg(F.collect_set(F.element_at(names, F.col("template") + 1)).alias("method"), F.max("share").alias("share"))
 
-    out = digest.withColumn("id", F.coalesce("doc_id", F.lit(-1).cast("long"))).withColumn("no_id", F.col("doc_id").isNull()).drop("norm", "licence_words").join(method, file, "left")
+    out = digest.drop("norm", "licence_words").join(method, "row", "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("method", F.array().cast("array<string>"))))
     score = F.coalesce("share", F.when(F.col("n_base") > 0, 0.5).otherwise(0.0))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
