@@ -76,15 +76,16 @@ ORACLES: dict[str, str] = {
     "op1_perspectives": r"""
         WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, 0) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
         p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
-        s AS (SELECT t.conv_id, CAST(floor(turn / 64) AS BIGINT) AS part, speaker, turn, role, text, role = speaker AS own,
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS turns FROM t),
+        s AS (SELECT n.conv_id, place // 64 AS part, (turns + 63) // 64 AS n_parts, speaker, turn, role, text, role = speaker AS own,
             CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS header,
-            text || chr(10) || '<|end|>' AS body FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-        o AS (SELECT *, sum(length(header) + length(body) + 1) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, role, text) - 1 AS till FROM s)
-        SELECT conv_id, part, speaker, count(*) AS n_turns, CAST(max(till) + 1 AS BIGINT) AS n_chars,
-            CAST(sum(CASE WHEN own THEN length(body) ELSE 0 END) AS BIGINT) AS n_learned,
+            text || chr(10) || '<|end|>' AS body FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
+        o AS (SELECT *, sum(length(header) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY turn, role, text) - 1 AS till FROM s)
+        SELECT conv_id, speaker, part, n_parts, count(*) AS n_turns, CAST(min(till - length(header) - length(body)) AS BIGINT) AS start,
+            CAST(sum(length(header) + length(body) + 1) AS BIGINT) AS n_chars, CAST(sum(CASE WHEN own THEN length(body) ELSE 0 END) AS BIGINT) AS n_learned,
             coalesce(string_agg(CASE WHEN own THEN CAST(till - length(body) AS BIGINT) || '-' || CAST(till AS BIGINT) END, ',' ORDER BY turn, role, text), '') AS mask,
             string_agg(header || body, chr(10) ORDER BY turn, role, text) || chr(10) AS text
-        FROM o GROUP BY conv_id, part, speaker""",
+        FROM o GROUP BY conv_id, part, n_parts, speaker""",
     "op3_exact_dedup": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS norm FROM documents),
         w AS (SELECT *, count(*) OVER (PARTITION BY norm) AS group_size, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id FROM t)

@@ -330,8 +330,8 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     found = connected_components(links)
     components = materialise(found.unionByName(found.select(F.col("component").alias("id"), "component").distinct()), "fingerprint-components")
     linked = classes.join(components, F.col("fp") == F.col("id"))
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    of = components.join(least, "component").select("id", "least")
+    least = materialise(linked.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("members")), "component-least")
+    of = attach(components, least, "component", "members", components.count()).select("id", "least")
     named = materialise(classes.join(of, F.col("fp") == F.col("id"), "left").select("fp", "n", F.when(F.col("id").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")), "components")
     joined = attach(marks, named, "fp", "n", marks.count())
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

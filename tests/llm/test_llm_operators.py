@@ -44,23 +44,49 @@ def lower(t):
 # 1
 
 
-def test_perspectives(spark):
-    from curatrix.llm.chat import perspectives
+def _dialogues(rows):
+    """Of each conversation and participant the whole text and its spans, in plain loops."""
+    plain = lambda t: t.replace("<|", "< |")
+    talks = {}
+    for conv, turn, role, text in {(c, t or 0, plain(r if r is not None else "unknown"), plain(x or "")) for c, t, r, x in rows}:
+        talks.setdefault(conv, []).append((turn, role, text))
+    out = {}
+    for conv, turns in talks.items():
+        for speaker in {r for _, r, _ in turns} - {"system"}:
+            text, spans = "", []
+            for _, role, x in sorted(turns, key=lambda t: (t[0], t[1].encode(), t[2].encode())):
+                text += ("<|system|>" if role == "system" else "<|assistant|>" if role == speaker else f"<|user name={role}|>") + "\n"
+                if role == speaker:
+                    spans.append((len(text), len(text) + len(x) + len("\n<|end|>")))
+                text += x + "\n<|end|>\n"
+            out[conv, speaker] = text, spans
+    return out
+
+
+@pytest.mark.parametrize("together", [1024, 2])
+def test_perspectives(spark, monkeypatch, together):
+    """Whole dialogues, put together from parts, against plain loops: 200 turns, ties, very long texts, nulls."""
+    from curatrix.llm import chat
 
+    monkeypatch.setattr(chat, "TOGETHER", together)
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 1, "assistant", "yo"), (1, 2, None, None), (1, 70, "user", "bye <|end|>"), (2, 0, "system", "be good"), (None, 0, "user", "lost"), (3, None, "amy", ""), (3, 1, "system", "s")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("x")).withColumn("said", F.lit("y"))
-    got = {(r.conv_id, r.part, r.speaker): r for r in perspectives(df).collect()}
-    assert set(got) == {(1, 0, "user"), (1, 0, "assistant"), (1, 0, "unknown"), (1, 1, "user"), (1, 1, "assistant"), (1, 1, "unknown"), (None, 0, "user"), (3, 0, "amy")}
-    r = got[1, 0, "assistant"]
-    assert r.text == "<|user name=user|>\nhi\n<|end|>\n<|assistant|>\nyo\n<|end|>\n<|user name=unknown|>\n\n<|end|>\n"
-    assert r.n_turns == 3 and r.n_chars == len(r.text)
-    a, b = map(int, r.mask.split("-"))
-    assert r.text[a:b] == "yo\n<|end|>" and r.n_learned == b - a
-    assert got[1, 1, "user"].text == "<|assistant|>\nbye < |end|>\n<|end|>\n" and got[1, 1, "assistant"].mask == ""
-    for r in got.values():
-        own = [p for p in r.mask.split(",") if p]
-        assert sum(int(p.split("-")[1]) - int(p.split("-")[0]) for p in own) == r.n_learned
-    assert perspectives(df.limit(0)).count() == 0
+    rows += [(4, k, "system" if not k else ("ann", "bob", "é<|")[k % 3], f"turn {k} " + "x" * (k % 7)) for k in range(200)]
+    rows += [(5, 7, r, x) for r in ("a", "b") for x in ("tie", "tied", "", "z" * 200_000)] + [(6, 9, "solo", str(k)) for k in range(150)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("x")).withColumn("said", F.lit("y")).withColumn("place", F.lit(0))
+    got = {}
+    for r in chat.perspectives(df).collect():
+        assert r.n_chars == len(r.text) and r.n_turns <= 64
+        got.setdefault((r.conv_id, r.speaker), []).append(r)
+    want = _dialogues(rows)
+    assert set(got) == set(want) and len(got[4, "ann"]) == 4
+    for k, parts in got.items():
+        parts.sort(key=lambda r: r.part)
+        text = "".join(r.text for r in parts)
+        assert text == want[k][0] and [r.part for r in parts] == list(range(parts[0].n_parts))
+        assert [r.start for r in parts] == [sum(len(q.text) for q in parts[:i]) for i in range(len(parts))]
+        spans = [tuple(map(int, p.split("-"))) for r in parts for p in r.mask.split(",") if p]
+        assert spans == want[k][1] and sum(b - a for a, b in spans) == sum(r.n_learned for r in parts)
+    assert chat.perspectives(df.limit(0)).count() == 0
 
 
 # 2
