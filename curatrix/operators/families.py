@@ -31,12 +31,17 @@ def families(samples: DataFrame) -> DataFrame:
     return attach(rows, named, "__a", "__n", rows.count()).drop("__n")
 
 
+def _found(samples: DataFrame) -> DataFrame:
+    """Samples that have their families already are taken as they are."""
+    return samples if "group_key" in samples.columns else families(samples)
+
+
 def group_records(samples: DataFrame) -> DataFrame:
     """One row a family: group_id, label, size, n_labels, eligible (all members are), collection_only, canonical.
 
     group_id is the SHA-256 of the family's sorted content keys. A family with more than one label is a conflict.
     """
-    found = families(samples)
+    found = _found(samples)
     one = found.groupBy("group_key").agg(
         F.collect_set("__a").alias("__as"), F.collect_set("__b").alias("__bs"), F.count("*").alias("size"), F.min("label").alias("label"),
         F.count_distinct("label").alias("n_labels"), F.bool_and("blind_eval_eligible").alias("eligible"), F.bool_and(F.col("source") != "export").alias("collection_only"),
@@ -48,7 +53,7 @@ def group_records(samples: DataFrame) -> DataFrame:
 
 def label_conflicts(samples: DataFrame) -> DataFrame:
     """Members of families with more than one label; a dataset is only built when there are none."""
-    found = families(samples)
+    found = _found(samples)
     bad = found.groupBy("group_key").agg(F.count_distinct("label").alias("n_labels")).filter("n_labels > 1").select("group_key")
     return found.join(bad, "group_key", "left_semi").select("group_key", "sample_id", "label")
 
@@ -61,7 +66,7 @@ def require_no_conflicts(samples: DataFrame) -> None:
 def split_manifest(samples: DataFrame, splits: DataFrame) -> DataFrame:
     """Nested rows (group_id, label, split, canonical, members) in order of the canonical's id; splits: (group_id, split).
     Members are collected by family, so this is for families that fit a row."""
-    found = families(samples)
+    found = _found(samples)
     members = found.groupBy("group_key").agg(F.sort_array(F.collect_list(F.struct(*MEMBER))).alias("members"))
-    groups = group_records(samples).join(members, "group_key").join(splits, "group_id")
+    groups = group_records(found).join(members, "group_key").join(splits, "group_id")
     return groups.select("group_id", "label", "split", "canonical", "members").orderBy("canonical.sample_id")

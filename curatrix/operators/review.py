@@ -30,8 +30,8 @@ def url_rollup(avatar_urls: DataFrame) -> DataFrame:
 
 def latest_scores(scores: DataFrame) -> DataFrame:
     """Each image's scores of its latest time; ties stay."""
-    last = scores.groupBy("image_sha256").agg(F.max("created_at").alias("created_at"))
-    return scores.join(last, ["image_sha256", "created_at"], "left_semi")
+    last = F.max("created_at").over(Window.partitionBy("image_sha256"))
+    return scores.withColumn("__last", last).filter(F.col("created_at") == F.col("__last")).drop("__last")
 
 
 def distance(score: Column, threshold: Column) -> Column:

@@ -103,7 +103,7 @@ def download_collections(c: Catalog, wanted: DataFrame, existing: DataFrame, get
 
 def build_dataset(c: Catalog, fingerprints: DataFrame, collections: DataFrame, path: str, prior: DataFrame | None = None, weight: float = samples.COLLECTION_WEIGHT, test_ratio: float = 0.15, val_ratio: float = 0.15, seed: int = 7) -> DataFrame:
     """Samples, families and splits; writes entries by split, and the splits of the images. Returns (group_id, split)."""
-    rows = samples.samples(c.read("images"), fingerprints, collections, weight)
+    rows = materialise(families.families(samples.samples(c.read("images"), fingerprints, collections, weight)), "families")  # once for all steps
     families.require_no_conflicts(rows)
     given = splits.assign_splits(families.group_records(rows), prior, test_ratio, val_ratio, seed)
     manifest = families.split_manifest(rows, given.select("group_id", "split"))

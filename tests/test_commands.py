@@ -111,3 +111,24 @@ def test_training_wants_an_embedding_for_each_entry(spark):
     entries = spark.createDataFrame([("a", "positive", "export", "train", "manual", 1.0), ("b", "negative", "export", "val", "manual", 1.0)], "id string, label string, source string, split string, label_source string, sample_weight double")
     with pytest.raises(ValueError, match="1 entries"):
         commands.train(entries, spark.createDataFrame([("a", [1.0])], "id string, embedding array<float>"), "r")
+
+
+def test_command_line(spark, tmp_path):
+    from curatrix.__main__ import run
+
+    root = str(tmp_path / "catalog")
+    (tmp_path / "in").mkdir()
+    _manifest(tmp_path / "in" / "a.json", [(f"u{i}", i + 1) for i in range(3)])
+    assert run(spark, [root, "ingest", str(tmp_path / "in")]) == "1 ingested"
+    c = commands.Catalog(spark, root)
+    commands.download_avatars(c, lambda url: (200, "image/png", url.split("?")[0].encode()))
+    sha = sorted(r.sha256 for r in c.read("images").collect())
+    spark.createDataFrame([(s, 0.9) for s in sha], "image_sha256 string, score double").write.parquet(str(tmp_path / "scored"))
+    assert run(spark, [root, "score", str(tmp_path / "scored"), "r1", "--threshold", "0.5"]) == "scored"
+    assert json.loads(run(spark, [root, "summary"]))["total"] == 3
+    run(spark, [root, "label", sha[0], "negative", "--notes", "n"])
+    assert json.loads(run(spark, [root, "queue", "hard_negatives"]))["sha256"] == sha[0]
+    assert run(spark, [root, "undo"]) == "undone" and run(spark, [root, "queue", "hard_negatives"]) == ""
+    assert json.loads(run(spark, [root, "export-model", "r1", "--threshold", "0.5"]))["threshold"] == 0.5
+    with pytest.raises(SystemExit):
+        run(spark, [root, "nothing"])
