@@ -207,7 +207,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
-    """Fit on sample labelled rows at most, none with crc32(doc_id) mod FOLDS = 0; of several labels of an id the mean counts."""
+    """Fit on sample labelled rows at most, none with crc32(doc_id) mod FOLDS = 0; of several labels of an id the mean counts,
+    of several rows of an id the one with the smallest text."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("mean"))
     known = known.select("doc_id", (F.col("mean") >= 0.5).cast("double").alias("label"))
     open_ = known.filter(crc32_mod("doc_id", FOLDS) != 0).withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
@@ -215,7 +216,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> A
     bound = (1 << 30) * 2 * sample // max(1, open_.count())
     picked = open_.filter(F.col("hash") < bound).orderBy("hash", "doc_id").limit(sample).select("doc_id", "label")
     few = F.broadcast(picked)  # sample rows of 16 bytes
-    rows = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "label", "text").mapInArrow(_measured, "doc_id long, label double, measures array<double>").toArrow()
+    known_texts = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    rows = known_texts.select("doc_id", "label", "text").mapInArrow(_measured, "doc_id long, label double, measures array<double>").toArrow()
     order = np.argsort(ids := np.array(rows["doc_id"].to_pylist(), np.int64), kind="stable")
     x = np.array(rows["measures"].to_pylist(), float).reshape(len(ids), len(MEASURES))[order]
     y = np.array(rows["label"].to_pylist(), float)[order]
@@ -247,7 +249,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are predicted 1, with all their columns."""
+    """The rows of docs that are predicted 1 by quality_scores, with all their columns. Rows are judged by their texts, so
+    repeated rows stay or go together, and rows without an id are judged like all others; without any label all stay, as
+    every score is 0.5. An empty table gives an empty result."""
     model = docs.sparkSession.sparkContext.broadcast(learn_quality(docs, labels))
 
     @F.pandas_udf("double")

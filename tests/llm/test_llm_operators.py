@@ -777,6 +777,11 @@ def test_quality_on_held_out_rows(spark):
     assert kept.columns == d.columns and {x.doc_id for x in kept.select("doc_id").collect()} == {i for i, x in got.items() if x.predicted}
     assert {x.score for x in quality_scores(d.limit(5), labels.limit(0)).collect()} == {0.5}
     assert quality_scores(d.limit(0), labels).count() == 0
+    assert keep_good(d.limit(0), labels).count() == 0 and keep_good(d.limit(5), labels.limit(0)).count() == 5
+    # Rows that repeat an id count once for the fit, as the smallest text; each is scored.
+    twice = d.unionByName(d.filter("text is not null").withColumn("text", F.concat("text", F.lit("~"))))
+    again = Counter((x.doc_id, x.score) for x in quality_scores(twice, labels).collect())
+    assert sum(again.values()) == twice.count() and all(again[i, x.score] >= 1 for i, x in got.items())
 
 
 # 9
@@ -1001,6 +1006,28 @@ def test_network_gradients():
 # pipeline
 
 
+ODD = ["", None, "a", " \n", "x" * 50_000, prose(1, 300), prose(1, 300), prose(1, 300) + " end", prose(5, 200)]
+
+
+@pytest.mark.parametrize("case", ["odd rows", "empty"])
+def test_pipeline_stages_on_odd_and_empty_tables(spark, case):
+    """Nulls in any column, empty and long texts, repeated rows and ids, ties, clashing names: each stage keeps the columns,
+    adds no row, and the last gives a piece for each document."""
+    import corpus_pipeline
+
+    d = docs(spark, ODD + ODD[:3] + ["b"] * 3, [*range(len(ODD)), 0, 1, 2, None, None, 4], clash=True).withColumn("lang", F.lit(None).cast("string"))
+    d = d.limit(0) if case == "empty" else d
+    steps = [d]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, steps[-1], "/root/testdata/sf0.001")
+        rows = out.collect()
+        if name != "best_fit_packing":
+            assert out.columns == d.columns and len(rows) <= steps[-1].count()
+            steps.append(spark.createDataFrame(rows, d.schema))
+        else:
+            assert len(rows) >= steps[-1].count() and (case == "empty") == (not rows) or not steps[-1].count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from curatrix.llm.packing import token_pieces, default_tokenizer
