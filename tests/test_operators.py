@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import random
 
 import pytest
@@ -523,3 +524,58 @@ def test_an_entry_for_notifications_is_the_last(spark):
     rows = [("a", "u", 1, "old"), ("a", "u", 3, "new"), ("a", "v", 2, "x"), ("a", "u", 2, "mid")]
     df = spark.createDataFrame(rows, "handle string, normalized_url string, ts int, name string")
     assert sorted(map(tuple, collector.notification_entries(df).collect())) == [("a", "u", 3, "new"), ("a", "v", 2, "x")]
+
+
+def _proto(*fields):
+    """A protobuf message of (number, value): bytes, text, messages and small integers."""
+    out = b""
+    for number, value in fields:
+        if isinstance(value, int):
+            out += bytes([number << 3, value])
+        else:
+            body = value.encode() if isinstance(value, str) else value
+            out += bytes([number << 3 | 2, len(body)]) + body
+    return out
+
+
+def _identity_model(rows):
+    """An ONNX model that gives back its input of two columns; rows: a name or a fixed number."""
+    dim = _proto((2, rows)) if isinstance(rows, str) else _proto((1, rows))
+    kind = _proto((1, _proto((1, 1), (2, _proto((1, dim), (1, _proto((1, 2))))))))
+    graph = _proto((1, _proto((1, "x"), (2, "y"), (4, "Identity"))), (2, "g"), (11, _proto((1, "x"), (2, kind))), (12, _proto((1, "y"), (2, kind))))
+    return _proto((1, 7), (7, graph), (8, _proto((2, 13))))
+
+
+@pytest.mark.parametrize("rows", ["n", 1])
+def test_onnx_scores_go_together_and_fail_alone(spark, rows):
+    pytest.importorskip("onnxruntime")
+    from curatrix.operators import model
+
+    data = [(f"k{i}", [0.0, float(i)], [1, 2]) for i in range(5)] + [("short", [1.0], [1, 2]), ("null", None, None), ("other", [1.0, 2.0, 3.0], [1, 3])]
+    df = spark.createDataFrame(data, "key string, tensor array<float>, shape array<int>").coalesce(1)
+    got = {r.key: (r.score, r.error) for r in model.score_onnx(df, "key", _identity_model(rows), together=3).collect()}
+    for i in range(5):
+        assert got[f"k{i}"][1] is None and abs(got[f"k{i}"][0] - 1 / (1 + math.exp(-i))) < 1e-6
+    assert all(got[k][0] is None and got[k][1] for k in ("short", "null", "other")) and len(got) == 8
+
+
+def test_training_items_have_their_sources_crop(spark):
+    """A file of 4 by 6 pixels, cropped from the top for one source and around the center for the other."""
+    import numpy as np
+
+    from curatrix.operators import model
+
+    picture = np.arange(4 * 6 * 3, dtype=np.uint8).reshape(6, 4, 3)
+
+    def decode(content, box, size):
+        left, top, width, height = box
+        assert (width, height) == (size, size)
+        return np.frombuffer(content, np.uint8).reshape(6, 4, 3)[top : top + height, left : left + width].tobytes()
+
+    files = spark.createDataFrame([("p", picture.tobytes(), "tops", 4, 6), ("p", picture.tobytes(), "export", 4, 6), ("bad", b"x", "export", 4, 6)], "path string, content binary, source string, width int, height int")
+    variants = model.image_variants(files, decode, 4, ("tops",))
+    entries = spark.createDataFrame([("a", "p", "positive", "tops", 0.5), ("b", "p", "negative", "export", 1.0), ("c", "bad", "positive", "export", 1.0)], "id string, path string, label string, source string, sample_weight double")
+    got = {r.id: r for r in model.training_items(entries, variants, ("tops",), [0.5] * 3, [0.5] * 3).collect()}
+    want = lambda top: ((picture[top : top + 4] / 255.0 - 0.5) / 0.5).transpose(2, 0, 1).ravel()
+    assert np.allclose(got["a"].tensor, want(0)) and np.allclose(got["b"].tensor, want(1)) and got["c"].tensor is None
+    assert [(got[k].target, got[k].weight) for k in "abc"] == [(1, 0.5), (0, 1.0), (1, 1.0)]
