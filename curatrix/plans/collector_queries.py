@@ -18,18 +18,17 @@ from curatrix.sources.manifests import whitelist_import as whitelist_import_
 from curatrix.streaming import collector
 
 
-def _streamed(spark, d, make, keep: list[str]):
+def _streamed(spark, d, make, keep: list[str], keys: list[str]):
     """The final state of a stream over the events, which arrive in several micro-batches."""
     source = table(spark, d, "events")
     path = f"{shared_folder(spark)}/curatrix/stream-{uuid.uuid4().hex}"
     source.repartitionByRange(4, "event_id").write.parquet(f"{path}/in")
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     out = make(D.sighting_events(stream))
-    query = out.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch:06d}")).start()
-    query.awaitTermination()
-    state = spark.read.parquet(f"{path}/out")
-    last = state.agg(F.max("epoch")).first()[0]
-    return state.filter(F.col("epoch") == last).select(*keep)
+    # Only keys that a micro-batch changes leave the aggregation; they replace those in the state's next version.
+    collector.keep_latest(out, f"{path}/out", keys, f"{path}/state").awaitTermination()
+    last = spark.read.parquet(f"{path}/out").agg(F.max("epoch")).first()[0]
+    return spark.read.parquet(f"{path}/out").filter(F.col("epoch") == last).select(*keep)
 
 
 URL_STATE = """SELECT normalized_url, arg_max(original_url, ts) AS original_url, array_to_string(list_sort(list(DISTINCT handle)), ',') AS handles, coalesce(array_to_string(list_sort(list(DISTINCT display_name) FILTER (WHERE display_name IS NOT NULL)), ','), '') AS display_names, array_to_string(list_sort(list(DISTINCT surface)), ',') AS source_surfaces, count(*) AS seen_count,
@@ -47,7 +46,7 @@ def sighting_state(spark, d):
 
 @query(f"WITH {D.SIGHTINGS} {URL_STATE}")
 def sighting_stream(spark, d):
-    return _streamed(spark, d, _urls, ["normalized_url", "original_url", "handles", "display_names", "source_surfaces", "seen_count", "example_tweet_url", "whitelisted"])
+    return _streamed(spark, d, _urls, ["normalized_url", "original_url", "handles", "display_names", "source_surfaces", "seen_count", "example_tweet_url", "whitelisted"], ["normalized_url"])
 
 
 ACCOUNTS = "SELECT handle, arg_max(display_name, ts) FILTER (WHERE display_name IS NOT NULL) AS display_name, count(*) AS posts_matched FROM sightings WHERE matched AND NOT whitelisted GROUP BY handle"
@@ -60,7 +59,7 @@ def account_counters(spark, d):
 
 @query(f"WITH {D.SIGHTINGS} {ACCOUNTS}")
 def account_stream(spark, d):
-    return _streamed(spark, d, collector.matched_accounts, ["handle", "display_name", "posts_matched"])
+    return _streamed(spark, d, collector.matched_accounts, ["handle", "display_name", "posts_matched"], ["handle"])
 
 
 STATS = "SELECT count(*) AS tweets_scanned, count(normalized_url) AS avatars_checked, count(*) FILTER (WHERE score_source = 'cache') AS cache_hits, count(*) FILTER (WHERE matched AND NOT whitelisted) AS posts_matched, count(*) FILTER (WHERE matched AND NOT whitelisted AND score_source = 'model') AS model_matches, count(*) FILTER (WHERE score_source = 'error') AS errors FROM sightings"
@@ -74,7 +73,7 @@ def detection_stats(spark, d):
 
 @query(f"WITH {D.SIGHTINGS} {STATS}")
 def detection_stats_stream(spark, d):
-    return _streamed(spark, d, collector.detection_stats, STAT_NAMES)
+    return _streamed(spark, d, collector.detection_stats, STAT_NAMES, [])
 
 
 @query(f"WITH {D.SIGHTINGS} SELECT normalized_url, count(*) - 1 AS hits FROM sightings GROUP BY 1")

@@ -136,7 +136,7 @@ def keep_latest(changed: DataFrame, path: str, keys: list[str], checkpoint: str)
         version = f"{path.rstrip('/')}/epoch={epoch:012d}"
         spark = batch.sparkSession
         state = batch
-        if epoch:
+        if epoch and keys:  # without keys the state is one row
             state = upsert(spark.read.schema(batch.schema).parquet(f"{path.rstrip('/')}/epoch={epoch - 1:012d}"), batch, keys)
         state.write.mode("overwrite").parquet(version)
 
