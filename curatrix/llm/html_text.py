@@ -33,9 +33,14 @@ CHROME = frozenset("nav footer aside form button menu dialog search".split())
 CONTENT = frozenset("article main".split())
 CONTAINERS = frozenset("article body center div fieldset main section td".split())
 #: Words of class names and ids that say what is left out; they count where all other words of the name are in PLAIN_NAMES.
-CHROME_NAMES = frozenset("ad ads adsense advert adverts advertisement advertisements advertising alert alerts breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup popups promo promos promoted promotion recommendations recommended related replies reply respond share sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe subscription toast toolbar trending widget widgets".split())
+CHROME_NAMES = frozenset("ad ads adsbygoogle adsense advert adverts advertisement advertisements advertising alert alerts breadcrumb breadcrumbs comment comments commentlist consent cookie cookiebanner cookiebar cookieconsent cookienotice cookies copyright disqus footer gdpr login menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup popups promo promos promoted promotion recommendations recommended related replies reply respond responses share sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe subscription toast toolbar trending widget widgets".split())
 HEADER_NAMES = frozenset("banner header masthead topbar".split())
-PLAIN_NAMES = CHROME_NAMES | HEADER_NAMES | frozenset("above area articles bar below block bottom box btn button buttons col column container content data float form global google group holder icon icons inline inner item items layout left link links list main media message module outer page panel popular post posts primary reader readers right rows section secondary site slot small stories sticky story tab thread top unit user users wrap wrapper".split())
+PLAIN_NAMES = CHROME_NAMES | HEADER_NAMES | frozenset("above area articles author avatar bar below block body bottom box btn button buttons col column container content data date float form global google group holder icon icons inline inner item items left link links list main media message meta module outer page panel popular post posts primary reader readers right rows section secondary site slot small stories sticky story tab text thread top unit user users wrap wrapper".split())
+#: Words of the class names of an article's own header.
+OWN_HEADER = frozenset("article entry post story".split())
+#: Whole class names of parts that are left out, and of text that is not shown.
+CHROME_WHOLE = frozenset("back-to-top more-articles more-stories read-next see-also skip-link skip-to-content top-bar you-may-also-like".split())
+HIDDEN_NAMES = frozenset("screen-reader-text sr-only visually-hidden visuallyhidden".split())
 #: Whole class names of articles that are no article.
 OTHER_ARTICLES = frozenset("ad advert comment comments promo related reply sponsored teaser".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -52,6 +57,8 @@ ENDS_P = BLOCKS - {"li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "tfoot"
 def is_chrome(names: str, words: frozenset) -> bool:
     """Whether a class name or id is made of words that say what is left out; "share-price" and "has-sidebar" are not."""
     for name in names.lower().split():
+        if name in CHROME_WHOLE:
+            return True
         parts = SPLIT.split(name)
         if not words.isdisjoint(parts) and all(p in PLAIN_NAMES or p.isdigit() for p in parts):
             return True
@@ -117,8 +124,8 @@ class Lines(HTMLParser):
         names = f"{given.get('class', '')} {given.get('id', '')} {given.get('aria-label', '').replace(' ', '-')}" if given else ""
         role, whole = given.get("role"), tag in ("html", "body", "main")
         marked = tag in CONTENT or role in ("main", "article") or given.get("itemprop") == "articleBody"
-        in_article = weight >= IN_ARTICLE
-        if tag in UNSEEN or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
+        own_header = weight >= IN_ARTICLE or not OWN_HEADER.isdisjoint(SPLIT.split(names.lower().replace(" ", "-")))
+        if tag in UNSEEN or names and not HIDDEN_NAMES.isdisjoint(names.lower().split()) or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
             unseen = True
         elif tag == "article":
             other = not OTHER_ARTICLES.isdisjoint(names.lower().split())
@@ -128,9 +135,9 @@ class Lines(HTMLParser):
                 out, by_name = True, False
         elif tag == "main" and by_name:
             out = by_name = False
-        elif (by_name or not out) and (tag in CHROME or role in CHROME_ROLES or tag == "header" and not in_article):
+        elif (by_name or not out) and (tag in CHROME or role in CHROME_ROLES or tag == "header" and not own_header):
             out, by_name = True, False
-        elif not out and not whole and (is_chrome(names, CHROME_NAMES) or not in_article and is_chrome(names, HEADER_NAMES)):
+        elif not out and not whole and (is_chrome(names, CHROME_NAMES) or not own_header and is_chrome(names, HEADER_NAMES)):
             out, by_name = True, True
         if marked and not out:
             weight = max(weight, IN_MAIN if tag == "main" or role == "main" else IN_ARTICLE)

@@ -683,6 +683,24 @@ def test_main_text_where_tags_are_left_out_or_chrome_stands_in_a_line():
     assert main_text(f"<body><h1>The title</h1><div class=entry>{inner}</div><div class=links><a href=x>One</a> <a href=y>Two</a></div></body>") == "The title\n" + told
 
 
+def test_main_text_of_a_page_as_publishing_systems_write_it():
+    from curatrix.llm.html_text import main_text
+
+    told = [prose(s, 40) for s in range(4)]
+    page = f"""<!doctype html><html class="no-js"><head><meta charset="utf-8"><title>T</title><link rel=stylesheet href=x><script>var a = "<p>";</script><style>p {{}}</style><noscript><img src=x></noscript></head>
+    <body class="single has-sidebar"><a class="skip-link screen-reader-text" href="#c">Skip to content</a><div id="page" class="site hfeed"><header id="masthead" class="site-header"><p class="site-title">Site</p>
+    <nav class="main-navigation"><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav></header><div class="cookie-banner"><p>We use cookies to serve you better on this site.</p><button>OK</button></div>
+    <div id="content" class="site-content"><div id="primary" class="content-area"><main id="main"><article id="post-1" class="post type-post hentry"><header class="entry-header"><h1 class="entry-title">The &ldquo;title&rdquo;</h1></header>
+    <div class="entry-content"><p>{told[0]}<p>{told[1]}<div class="advert-slot"><p>Buy this now, it is cheap and good for you.</p></div><blockquote>{told[2]}</blockquote><ul class="share-buttons"><li><a href=x>Tweet</a></ul><p>{told[3]}</p></div>
+    <footer class="entry-footer">Filed under news</footer></article><nav class="post-navigation"><a href=p>Earlier</a></nav><div id="comments" class="comments-area"><ol class="comment-list"><li class="comment"><article class="comment-body"><p>{prose(77, 60)}</p></article></ol>
+    <form id="commentform"><label>Name</label><input></form></div></main></div><aside id="secondary" class="widget-area"><section class="widget"><p>{prose(78, 30)}</p></section></aside></div>
+    <footer class="site-footer"><p>&copy; 2024 Site. All rights reserved by the site and its owners.</p></footer></div></body></html>"""
+    want = "The \u201ctitle\u201d\n" + "\n".join(told)
+    assert main_text(page) == want
+    divs = page.replace("<article id", "<div id").replace("</article><nav", "</div><nav").replace('<main id="main">', "<div>").replace("</main>", "</div>")
+    assert main_text(divs) == want  # without any mark of content
+
+
 def test_main_text_takes_time_in_proportion():
     import time
 
