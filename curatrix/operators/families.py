@@ -63,6 +63,14 @@ def require_no_conflicts(samples: DataFrame) -> None:
         raise ValueError("conflicting labels in a family: " + ", ".join(f"{r['sample_id']}={r['label']}" for r in some))
 
 
+def split_members(samples: DataFrame, splits: DataFrame) -> DataFrame:
+    """One row a sample: group_id, split and the columns of MEMBER. Families of any size stay spread, as a family's record goes
+    to where its samples are; splits: (group_id, split)."""
+    found = materialise(_found(samples), "found")
+    groups = group_records(found).join(splits, "group_id").select("group_key", "group_id", "split", F.col("size").alias("__size"))
+    return attach(found, materialise(groups, "family-splits"), "group_key", "__size", found.count()).filter("group_id is not null").select("group_id", "split", *MEMBER)
+
+
 def split_manifest(samples: DataFrame, splits: DataFrame) -> DataFrame:
     """Nested rows (group_id, label, split, canonical, members) in order of the canonical's id; splits: (group_id, split).
     Members are collected by family, so this is for families that fit a row."""

@@ -108,7 +108,7 @@ def build_dataset(c: Catalog, fingerprints: DataFrame, collections: DataFrame, p
     given = splits.assign_splits(families.group_records(rows), prior, test_ratio, val_ratio, seed)
     manifest = families.split_manifest(rows, given.select("group_id", "split"))
     sinks.write_entries(samples.dataset_entries(manifest), f"{path}/entries")
-    members = manifest.select("split", F.explode("members").alias("m")).select("split", "m.exported_sha")
+    members = families.split_members(rows, given.select("group_id", "split")).select("split", "exported_sha")
     c.write(images=catalog.set_splits(c.read("images"), members, _now()))
     return given
 

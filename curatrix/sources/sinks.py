@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.operators.accounts import export_payload, ordered_avatars
+
 
 def write_document(one_row: DataFrame, path: str, column: str = "payload") -> None:
     """A document of one row as one text file."""
@@ -38,3 +40,18 @@ def comparison_table(rows: DataFrame) -> str:
     body = [[f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in rows.collect()]
     width = [max(len(x) for x in column) for column in zip(head, *body)]
     return "\n".join("  ".join(x.ljust(w) for x, w in zip(line, width)).rstrip() for line in [head, *body])
+
+
+#: Avatars that an export holds in one document; more are written as lines.
+DOCUMENT_ROWS = 100_000
+
+
+def write_export(avatars: DataFrame, exported_at: str, path: str, most: int = DOCUMENT_ROWS) -> bool:
+    """The export as one document, as the contract has it, if it has at most so many avatars, which are counted; else as JSON
+    lines in the same order. Returns whether it is one document."""
+    whole = avatars.limit(most + 1).count() <= most
+    if whole:
+        write_document(export_payload(avatars, exported_at), path)
+    else:
+        write_jsonl(ordered_avatars(avatars), path)
+    return whole

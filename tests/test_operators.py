@@ -579,3 +579,25 @@ def test_training_items_have_their_sources_crop(spark):
     want = lambda top: ((picture[top : top + 4] / 255.0 - 0.5) / 0.5).transpose(2, 0, 1).ravel()
     assert np.allclose(got["a"].tensor, want(0)) and np.allclose(got["b"].tensor, want(1)) and got["c"].tensor is None
     assert [(got[k].target, got[k].weight) for k in "abc"] == [(1, 0.5), (0, 1.0), (1, 1.0)]
+
+
+def test_flat_members_are_those_of_the_manifest(spark):
+    from curatrix.operators import families
+    from curatrix.plans import domain as D
+
+    rows = D.samples(spark, "/root/testdata/sf0.001")
+    groups = families.group_records(rows)
+    given = groups.select("group_id", F.when(F.crc32("group_id") % 2 == 0, "train").otherwise("val").alias("split")).filter(F.crc32("group_id") % 5 != 0)
+    flat = {(r.group_id, r.split, r.sample_id) for r in families.split_members(rows, given).collect()}
+    nested = families.split_manifest(rows, given).select("group_id", "split", F.explode("members.sample_id").alias("s"))
+    assert flat == {tuple(r) for r in nested.collect()} and len(flat) > 50
+
+
+def test_an_export_is_a_document_or_lines(spark, tmp_path):
+    from curatrix.plans import domain as D
+    from curatrix.sources import sinks
+
+    avatars = D.merged(spark, "/root/testdata/sf0.001")
+    n = avatars.count()
+    assert sinks.write_export(avatars, "t", str(tmp_path / "one"), n) and not sinks.write_export(avatars, "t", str(tmp_path / "lines"), n - 1)
+    assert json.loads(spark.read.text(str(tmp_path / "one")).first()[0])["avatar_count"] == n == spark.read.text(str(tmp_path / "lines")).count()
