@@ -31,7 +31,7 @@ END_ID = 0
 #: this share of the tokens, in its emptiest bins, is packed once more with that of others.
 GROUP_PIECES, GROUP_BINS, HANDED_ON = 10_000, 64, 1 / 16
 #: Words whose ids a worker remembers.
-REMEMBERED = 900_000
+REMEMBERED = 1_250_000
 
 #: The white space that the tokenizer drops, and how it cuts the rest.
 WORD = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -49,9 +49,7 @@ def default_tokenizer() -> str:
 
 
 def pieces_of(low: str) -> tuple | list:
-    """A word in lower case cut as PIECE does; most are letters, or letters and then marks."""
-    if low.isalpha():
-        return (low,)
+    """A word in lower case cut as PIECE does; most that are not all letters are letters and then marks."""
     body = low.rstrip(MARKS)
     return (body, low[len(body) :]) if body.isalpha() else PIECE.findall(low)
 
@@ -90,7 +88,7 @@ class Encoder:
         if SPECIAL.search("\n".join(plain)):
             plain = [w for w in plain if not SPECIAL.search(w)]
         low = "\n".join(plain).lower().split("\n") if plain else []
-        cut = [pieces_of(w) for w in low]
+        cut = [(w,) if w.isalpha() else pieces_of(w) for w in low]
         parts = set(chain.from_iterable(cut)) - self.parts.keys()
         runs = [p for p in parts if p.isalpha()]
         self.parts.update(zip(runs, self._encode_runs(runs)))
