@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from curatrix.llm import oracles
 from curatrix.llm.common import table
 
 
@@ -69,7 +70,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perspectives, op2_decontamination, op3_exact_dedup, op4_language_scores, op5_licenses, op6_simhash, op7_html_text, op8_quality, op9_packing, op10_secrets)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.repair import repaired_conversations
+
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perspectives, op2_decontamination, op3_exact_dedup, op4_language_scores, op5_licenses, op6_simhash, op7_html_text, op8_quality, op9_packing, op10_secrets, op11_merkle, op12_token_counts, op13_repair)}
 
 #: DuckDB's text of what a query returns, where SQL can say it.
 ORACLES: dict[str, str] = {
@@ -90,4 +109,6 @@ ORACLES: dict[str, str] = {
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS norm FROM documents),
         w AS (SELECT *, count(*) OVER (PARTITION BY norm) AS group_size, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w""",
+    "op11_merkle": oracles.merkle(),
+    "op13_repair": oracles.repair(),
 }
