@@ -17,24 +17,28 @@ def _last_truthy(column: str, order: Column) -> Column:
     return F.max_by(column, F.when(F.coalesce(F.col(column), F.lit("")) != "", order))
 
 
+def sighting_sums(order: Column) -> list[Column]:
+    """What a group of manifest rows comes to; lists are collected as sets, so a hot URL costs what it has of different values,
+    not its rows."""
+    union = lambda c: F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_set(F.coalesce(F.col(c), no_strings()))), lambda x: x != "")))
+    return [
+        F.max_by("original_url", order).alias("original_url"),
+        *[union(c).alias(c) for c in LISTS],
+        F.sum("seen_count").cast("long").alias("seen_count"),
+        F.min("first_seen_at").alias("first_seen_at"),
+        F.max("last_seen_at").alias("last_seen_at"),
+        *[_last_truthy(c, order).alias(c) for c in EXAMPLES],
+        F.coalesce(F.bool_or("whitelisted"), F.lit(False)).alias("whitelisted"),
+    ]
+
+
 def merge_sightings(rows: DataFrame, order: list[str]) -> DataFrame:
     """Fold rows of manifests into one row for each normalized_url.
 
     Lists become sorted distinct unions, counts are summed, times are first and last, whitelisted is true if it ever was;
-    original_url is the last one and an example the last that is not empty, in the order of the columns given. Lists are
-    collected as sets, so a hot URL costs what it has of different values, not its rows.
+    original_url is the last one and an example the last that is not empty, in the order of the columns given.
     """
-    k = F.struct(*order)
-    exploded = lambda c: F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_set(F.coalesce(F.col(c), no_strings()))), lambda x: x != "")))
-    return rows.groupBy("normalized_url").agg(
-        F.max_by("original_url", k).alias("original_url"),
-        *[exploded(c).alias(c) for c in LISTS],
-        F.sum("seen_count").cast("long").alias("seen_count"),
-        F.min("first_seen_at").alias("first_seen_at"),
-        F.max("last_seen_at").alias("last_seen_at"),
-        *[_last_truthy(c, k).alias(c) for c in EXAMPLES],
-        F.coalesce(F.bool_or("whitelisted"), F.lit(False)).alias("whitelisted"),
-    )
+    return rows.groupBy("normalized_url").agg(*sighting_sums(F.struct(*order)))
 
 
 def merge_into_catalog(catalog: DataFrame, merged: DataFrame, now: Column) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.operators.components import connected_components
-from curatrix.shared import attach, materialise
+from curatrix.shared import attach, materialise, small
 
 MEMBER = ("sample_id", "path", "label", "source", "raw_sha", "pixel_digest", "label_source", "label_tier", "sample_weight", "blind_eval_eligible", "exported_sha")
 
@@ -17,20 +19,84 @@ def canonical_order() -> Column:
     return F.struct(tier, F.when(F.col("source") == "export", 0).otherwise(1), F.col("sample_id"))
 
 
-def families(samples: DataFrame) -> DataFrame:
-    """samples with group_key, the smallest content key that links reach.
+class Grown(NamedTuple):
+    """samples: with their families; stars: (key, component) of every content key; renamed: (id, component) of the families that
+    have met others and go by their name now."""
+
+    samples: DataFrame
+    stars: DataFrame
+    renamed: DataFrame
+
+
+def _keyed(samples: DataFrame) -> DataFrame:
+    return samples.withColumn("__a", F.concat(F.lit("sha:"), F.coalesce("raw_sha", F.lit("")))).withColumn("__b", F.concat(F.lit("pix:"), F.coalesce("pixel_digest", F.lit(""))))
+
+
+def with_stars(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """samples with group_key, the smallest content key that links reach; and (key, component) of every content key, to be
+    stored for samples that come later.
 
     The graph's vertices are content keys, not samples: a sample is an edge between its hash and its digest, so a family
     of any number of equal samples is one edge, and no group of samples meets in a task.
     """
-    keyed = samples.withColumn("__a", F.concat(F.lit("sha:"), F.coalesce("raw_sha", F.lit("")))).withColumn("__b", F.concat(F.lit("pix:"), F.coalesce("pixel_digest", F.lit(""))))
-    rows = materialise(keyed, "samples")
-    keys = rows.groupBy("__a").agg(F.count("*").alias("__n"), F.min("__b").alias("__first"))
-    parts = connected_components(rows.select(F.col("__a").alias("a"), F.col("__b").alias("b")).distinct())
-    named = materialise(keys.drop("__first").join(parts, F.col("__a") == F.col("id"), "left").select("__a", "__n", F.coalesce("component", "__a").alias("group_key")), "family-keys")
+    rows = materialise(_keyed(samples), "samples")
+    edges = rows.select(F.col("__a").alias("a"), F.col("__b").alias("b")).distinct()
+    parts = connected_components(edges)
+    vertices = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
+    stars = vertices.join(parts, F.col("key") == F.col("id"), "left").select("key", F.coalesce("component", "key").alias("component"))
+    return _named(rows, stars), stars
+
+
+def _named(rows: DataFrame, stars: DataFrame) -> DataFrame:
+    """Keyed samples, materialised, with the component of their hash."""
+    sizes = rows.groupBy("__a").agg(F.count("*").alias("__n"))
+    named = materialise(sizes.join(stars, F.col("__a") == F.col("key")).select("__a", "__n", F.col("component").alias("group_key")), "family-keys")
     return attach(rows, named, "__a", "__n", rows.count()).drop("__n")
 
 
+def families(samples: DataFrame) -> DataFrame:
+    """samples with group_key."""
+    return with_stars(samples)[0]
+
+
+def grow(found: DataFrame, stars: DataFrame, new: DataFrame) -> Grown:
+    """What the families of found and new samples are, as if all had come at once.
+
+    A component stands for all its content keys, so the graph has an edge only where a new sample links two components or keys
+    that were apart: what is iterated on grows with the new samples, whatever there was. Old samples are not read for that; they
+    only get another name where their family has met one with a smaller key.
+    """
+    rows = materialise(_keyed(new), "new-samples")
+    edges = materialise(rows.select(F.col("__a").alias("a"), F.col("__b").alias("b")).distinct(), "new-edges")
+    ends = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n"))
+    known = materialise(ends.join(stars, "key", "left").select("key", "n", "component", F.coalesce("component", "key").alias("now")), "new-keys")
+    n = edges.count()
+    side = lambda df, c: attach(df, known.select(F.col("key").alias(c), "n", F.col("now").alias(f"{c}_now")), c, "n", n).drop("n")
+    joined = materialise(side(edges, "a"), "new-edges-a")
+    contracted = side(joined, "b").select(F.col("a_now").alias("a"), F.col("b_now").alias("b")).filter("a <> b").distinct()
+    renamed = materialise(connected_components(contracted), "renamed")
+    over = small(renamed)
+
+    def now(df: DataFrame, column: str) -> DataFrame:
+        return df.join(over, F.col(column) == F.col("id"), "left").withColumn(column, F.coalesce("component_", column)).drop("id", "component_")
+
+    over = over.withColumnRenamed("component", "component_")
+    added = known.filter("component IS NULL").select("key", F.col("now").alias("component"))
+    later = materialise(now(stars.unionByName(added), "component"), "stars")
+    samples = now(found, "group_key").unionByName(_named(rows, later), allowMissingColumns=True)
+    return Grown(samples, later, renamed)
+
+
+def hand_over(prior: DataFrame, before: DataFrame, after: DataFrame, renamed: DataFrame) -> DataFrame:
+    """(group_id, split, old_families): the splits of a prior manifest (group_id, split) under the ids that families have after
+    they have grown. Where families of different splits have met, the one that was learned from decides, so that nothing that a
+    model has seen is judged blind: train before val before test."""
+    moved = before.select("group_id", "group_key").join(prior.select("group_id", "split"), "group_id").join(renamed, F.col("group_key") == F.col("id"), "left")
+    rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
+    kept = moved.groupBy(F.coalesce("component", "group_key").alias("group_key")).agg(F.min_by("split", rank).alias("split"), F.count("*").alias("old_families"))
+    return after.select("group_id", "group_key").join(kept, "group_key").select("group_id", "split", "old_families")
+
+
 def _found(samples: DataFrame) -> DataFrame:
     """Samples that have their families already are taken as they are."""
     return samples if "group_key" in samples.columns else families(samples)

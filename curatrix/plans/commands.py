@@ -1,8 +1,8 @@
 """The loop's commands, each a function over a catalog of versions, and the views that a review tool asks for.
 
-A relation's state is a folder of versions, and a commit is a small file that names the version of every relation; the newest
-commit holds. A command reads the versions that it names, works out the next ones as DataFrames, writes them beside the old
-and then one commit: nothing that is being read is overwritten, and a command that fails leaves the catalog as it was.
+A command reads one snapshot of the catalog, works out the next versions as DataFrames, writes them beside the old and then one
+commit: nothing that is being read is overwritten, and a command that fails leaves the catalog as it was. Where another command
+was faster, a command on labels is worked out again, and any other fails with Conflict.
 """
 
 from __future__ import annotations
@@ -17,44 +17,13 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.text import parse_time
 from curatrix.operators import catalog, families, labels, metrics, model, review, samples, splits
-from curatrix.schemas import RELATIONS, conform, empty
+from curatrix.operators import ledger as ledger_ops
+from curatrix.schemas import RELATIONS, conform
 from curatrix.shared import materialise
 from curatrix.sources import fetch, manifests, sinks
+from curatrix.sources.versions import ATTEMPTS, Catalog, Conflict, Snapshot
 
-
-@dataclass
-class Catalog:
-    spark: SparkSession
-    root: str
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> dict[str, str]:
-        """The version of each relation that the newest commit names."""
-        pattern, files = self._path("commits/*.json")
-        found = sorted(s.getPath().toString() for s in files.globStatus(pattern) or [])
-        return json.loads(self.spark.read.text(found[-1], wholetext=True).first()[0]) if found else {}
-
-    def read(self, relation: str) -> DataFrame:
-        version = self.versions().get(relation)
-        if version is None:
-            return empty(self.spark, relation)
-        return conform(self.spark.read.parquet(f"{self.root}/{relation}/version={version}"), RELATIONS[relation])
-
-    def write(self, **next_: DataFrame) -> None:
-        """The next version of each relation given, and then the commit that makes them hold together."""
-        version = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-        for relation, df in next_.items():
-            sinks.write_version(conform(df, RELATIONS[relation]), f"{self.root}/{relation}", version)
-        text = json.dumps(self.versions() | dict.fromkeys(next_, version))
-        part, files = self._path(f"commits/.{version}")
-        out = files.create(part, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if not files.rename(part, self._path(f"commits/{version}.json")[0]):
-            raise OSError(f"commit {version} could not be named")
+__all__ = ["ATTEMPTS", "Catalog", "Conflict", "Snapshot"]
 
 
 def _now():
@@ -62,29 +31,52 @@ def _now():
 
 
 def ingest(c: Catalog, folder: str, inputs: list[str] | None = None, force: bool = False) -> int:
-    """Merge the manifests that the ledger does not know, or all when forced; returns how many. Unlike a merge of counts,
-    a forced manifest replaces its ledger row; what it had added before stays counted once."""
+    """Merge the manifests that the ledger does not know, or all when forced; returns how many.
+
+    A forced manifest takes what it had contributed before out of the catalog and puts what it says now in, as the last that came.
+    Of files with one name the first is taken, or the last when forced. Contributions, the files as they are, the ledger and the
+    catalog's rows hold by one commit.
+    """
     paths = manifests.discover_exports(c.spark, folder, inputs)
-    if not paths:
+    return ingest_files(c, paths, force) if paths else 0
+
+
+def ingest_files(c: Catalog, paths: list[str], force: bool = False) -> int:
+    snap = c.snapshot()
+    stored = {p: f"{c.root}/raw/{p.rsplit('/', 1)[1]}" for p in paths}
+    found = c.spark.createDataFrame(list(stored.items()), "source_path string, stored_path string")
+    ledger = catalog.rename_archived(snap.read("exports"), found)
+    new = set(paths) if force else {r["source_path"] for r in catalog.new_exports(found, ledger).collect()}  # a part of the listing
+    by_name: dict[str, str] = {}
+    for p in paths:
+        if p in new and (force or stored[p] not in by_name):
+            by_name.pop(stored[p], None)  # the last of a name also takes its place
+            by_name[stored[p]] = p
+    if not by_name:
+        moved = found.join(snap.read("exports"), F.col("source_path") == F.col("export_path"), "left_semi")
+        if not moved.isEmpty():
+            snap.write(exports=ledger)
         return 0
-    found = c.spark.createDataFrame([(p, f"{c.root}/raw/{p.rsplit('/', 1)[1]}") for p in paths], "source_path string, stored_path string")
-    ledger = catalog.rename_archived(c.read("exports"), found)
-    new = [r["source_path"] for r in catalog.new_exports(found, ledger).collect()]
-    known = set(paths) - set(new)
-    if not new and not (force and known):
-        return 0
-    merged_from = manifests.read_manifests(c.spark, [p for p in paths if p in new])
-    take = manifests.read_manifests(c.spark, [p for p in paths if force or p in new])
-    # A path's name is its identity: the reader adds the file system's scheme.
-    entries = take.select(F.concat(F.lit(f"{c.root}/raw/"), F.element_at(F.split("path", "/"), -1)).alias("export_path"), F.element_at(F.split("path", "/"), -1).alias("export_name"), parse_time(F.col("exported_at")).alias("exported_at"), _now().alias("ingested_at"), "version", F.col("avatar_count").cast("long").alias("avatar_count"), "total_sightings")
+    take = list(by_name.values())
+    read = manifests.read_manifests(c.spark, take)
+    at = F.concat(F.lit(f"{c.root}/raw/"), F.element_at(F.split("path", "/"), -1))  # the reader adds the file system's scheme
+    rows = manifests.manifest_rows(read).withColumn("export_path", at)
+    fresh = materialise(ledger_ops.contributions(rows, snap.number + 1), "contributions")
+    names = {r["export_path"]: r["part"] for r in c.spark.createDataFrame([(x,) for x in by_name], "export_path string").select("export_path", ledger_ops.part_name(F.col("export_path")).alias("part")).collect()}
+    again = {names[x] for x in by_name if names[x] in snap.live("contributions")}
+    old = snap.read("avatar_urls")
+    if again:
+        live = snap.read_parts("contributions", without=again).unionByName(fresh.drop("part"))
+        touched = materialise(ledger_ops.touched_urls(snap.read_parts("contributions", only=again), fresh), "touched")
+        merged = ledger_ops.refold(old, live, touched, _now())
+    else:
+        merged = catalog.merge_into_catalog(old, catalog.merge_sightings(fresh, list(ledger_ops.ORDER)), _now())
+    entries = read.select(at.alias("export_path"), F.element_at(F.split("path", "/"), -1).alias("export_name"), parse_time(F.col("exported_at")).alias("exported_at"), _now().alias("ingested_at"), "version", F.col("avatar_count").cast("long").alias("avatar_count"), "total_sightings")
     next_ledger = catalog.log_exports(ledger, conform(entries, RELATIONS["exports"]), force=True)
-    out = {"exports": next_ledger}
-    if new:
-        sinks.archive_exports(merged_from, f"{c.root}/archive")
-        merged = catalog.merge_sightings(manifests.manifest_rows(merged_from), ["file_rank", "position"])
-        out["avatar_urls"] = catalog.merge_into_catalog(c.read("avatar_urls"), merged, _now())
-    c.write(**out)
-    return len(new) if not force else len(paths)
+    files = manifests.file_contents(c.spark, take).withColumn("export_path", F.concat(F.lit(f"{c.root}/raw/"), F.element_at(F.split("source_path", "/"), -1)))
+    parts = {"contributions": fresh, "archive": files.withColumn("part", ledger_ops.part_name(F.col("export_path")))}
+    snap.write(parts=parts, drop={"contributions": again}, exports=next_ledger, avatar_urls=merged)
+    return len(take)
 
 
 def download_avatars(c: Catalog, get: fetch.Fetcher, retry_failed: bool = False, limit: int | None = None) -> None:
@@ -93,7 +85,8 @@ def download_avatars(c: Catalog, get: fetch.Fetcher, retry_failed: bool = False,
     done = materialise(fetch.fetch_all(rows, get, f"{c.root}/images"), "fetched")  # a fetch is not repeated by the second write
     outcomes = done.select(F.col("key").alias("normalized_url"), "sha256", "error")
     got = done.filter("sha256 is not null").select("sha256", "local_path", "mime_type", "width", "height", "byte_size", F.col("key").alias("ord"))
-    c.write(images=catalog.record_images(c.read("images"), got, _now()), avatar_urls=catalog.record_outcomes(c.read("avatar_urls"), outcomes, _now()))
+    # Outcomes go into whatever holds by then, so URLs that came meanwhile are not lost.
+    c.update(lambda snap: {"images": catalog.record_images(snap.read("images"), got, _now()), "avatar_urls": catalog.record_outcomes(snap.read("avatar_urls"), outcomes, _now())})
 
 
 def download_collections(c: Catalog, wanted: DataFrame, existing: DataFrame, get: fetch.Fetcher, force: bool = False) -> DataFrame:
@@ -103,13 +96,14 @@ def download_collections(c: Catalog, wanted: DataFrame, existing: DataFrame, get
 
 def build_dataset(c: Catalog, fingerprints: DataFrame, collections: DataFrame, path: str, prior: DataFrame | None = None, weight: float = samples.COLLECTION_WEIGHT, test_ratio: float = 0.15, val_ratio: float = 0.15, seed: int = 7) -> DataFrame:
     """Samples, families and splits; writes entries by split, and the splits of the images. Returns (group_id, split)."""
-    rows = materialise(families.families(samples.samples(c.read("images"), fingerprints, collections, weight)), "families")  # once for all steps
+    snap = c.snapshot()
+    rows = materialise(families.families(samples.samples(snap.read("images"), fingerprints, collections, weight)), "families")  # once for all steps
     families.require_no_conflicts(rows)
     given = splits.assign_splits(families.group_records(rows), prior, test_ratio, val_ratio, seed)
     manifest = families.split_manifest(rows, given.select("group_id", "split"))
     sinks.write_entries(samples.dataset_entries(manifest), f"{path}/entries")
     members = families.split_members(rows, given.select("group_id", "split")).select("split", "exported_sha")
-    c.write(images=catalog.set_splits(c.read("images"), members, _now()))
+    snap.write(images=catalog.set_splits(snap.read("images"), members, _now()))
     return given
 
 
@@ -142,14 +136,15 @@ def score(c: Catalog, scored: DataFrame, run_id: str, threshold: float, limit: i
     """Record a run's scores (image_sha256, score) and, unless told otherwise, refresh the model's labels."""
     if limit is not None and (limit <= 0 or relabel):
         raise ValueError("a limit is positive, and only for scoring alone")
-    images = c.read("images")
+    snap = c.snapshot()
+    images = snap.read("images")
     wanted = catalog.scorable_images(images, limit).select(F.col("sha256").alias("image_sha256"), "split")
     rows = conform(model.score_rows(scored.join(wanted, "image_sha256"), run_id, threshold, _now()), RELATIONS["model_scores"])
-    next_scores = catalog.upsert(c.read("model_scores"), rows, ["run_id", "image_sha256"])
+    next_scores = catalog.upsert(snap.read("model_scores"), rows, ["run_id", "image_sha256"])
     out = {"model_scores": next_scores}
     if relabel:
         out["images"] = labels.refresh_model_labels(images, next_scores, run_id, _now())
-    c.write(**out)
+    snap.write(**out)
 
 
 def export_model(run_id: str, threshold: float) -> str:
@@ -172,7 +167,7 @@ class Review:
 
     def items(self) -> DataFrame:
         if self._items is None:
-            c = self.catalog
+            c = self.catalog.snapshot()
             first = review.runs(c.read("model_scores")).first()
             run = self.run_id or (first["run_id"] if first else None)
             self._items = review.review_items(c.read("images"), c.read("model_scores"), c.read("avatar_urls"), self.thresholds, run).persist()
@@ -205,8 +200,11 @@ class Review:
         return review.grid(review.queue(self.items(), name), limit)
 
     def _transition(self, change: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> None:
-        images, events = change(self.catalog.read("images"), self.catalog.read("label_events"))
-        self.catalog.write(images=images, label_events=events)
+        def next_(snap: Snapshot) -> dict[str, DataFrame]:
+            images, events = change(snap.read("images"), snap.read("label_events"))
+            return {"images": images, "label_events": events}
+
+        self.catalog.update(next_)
         self.forget()
 
     def label(self, sha256: str, label: str, notes: str | None = None) -> None:

@@ -22,4 +22,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
-from curatrix.plans import collector_queries, dataset_queries, function_queries, review_queries  # noqa: E402, F401
+from curatrix.plans import collector_queries, dataset_queries, function_queries, ledger_queries, review_queries  # noqa: E402, F401

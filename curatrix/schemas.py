@@ -48,6 +48,13 @@ SAMPLES = (
     "label_tier STRING, sample_weight DOUBLE, blind_eval_eligible BOOLEAN, exported_sha STRING"
 )
 RELATIONS = {"exports": EXPORTS, "avatar_urls": AVATAR_URLS, "images": IMAGES, "model_scores": MODEL_SCORES, "label_events": LABEL_EVENTS, "file_fingerprints": FINGERPRINTS}
+#: Relations whose versions are parts, one for each export: what it contributed, and its file as it came.
+CONTRIBUTIONS = (
+    "export_path STRING, commit BIGINT, file_rank INT, normalized_url STRING, original_url STRING, handles ARRAY<STRING>, display_names ARRAY<STRING>, source_surfaces ARRAY<STRING>, "
+    "seen_count BIGINT, first_seen_at TIMESTAMP, last_seen_at TIMESTAMP, example_profile_url STRING, example_notification_url STRING, example_tweet_url STRING, whitelisted BOOLEAN"
+)
+ARCHIVE = "export_path STRING, source_path STRING, modified TIMESTAMP, byte_size BIGINT, sha256 STRING, content BINARY"
+PARTED = {"contributions": CONTRIBUTIONS, "archive": ARCHIVE}
 #: Foreign keys: child, its column, parent, its column.
 REFERENCES = (("avatar_urls", "image_sha256", "images", "sha256"), ("model_scores", "image_sha256", "images", "sha256"), ("label_events", "image_sha256", "images", "sha256"))
 

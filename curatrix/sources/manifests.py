@@ -47,6 +47,11 @@ def _whole(spark: SparkSession, path: str) -> str:
     return re.sub(SCHEME, r"\1:/", p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString())
 
 
+def file_contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files as they are: source_path, modified, byte_size, sha256, content. A file is one value, so under 2 GB."""
+    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("source_path"), F.col("modificationTime").alias("modified"), F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"), "content")
+
+
 def manifest_rows(manifests: DataFrame) -> DataFrame:
     """A row for each avatar, with the file's rank and its position there; times parsed."""
     rows = manifests.select("path", "file_rank", F.posexplode_outer("avatars").alias("position", "a")).filter("a is not null").select("path", "file_rank", "position", "a.*")

@@ -29,11 +29,6 @@ def write_version(state: DataFrame, root: str, version: str) -> str:
     return path
 
 
-def archive_exports(manifests: DataFrame, root: str) -> None:
-    """Manifests that are new, kept by export name."""
-    manifests.withColumn("export_name", F.element_at(F.split("path", "/"), -1)).write.mode("append").partitionBy("export_name").json(root)
-
-
 def comparison_table(rows: DataFrame) -> str:
     """Columns of fixed width; rows: a line for each run, so few."""
     head = list(rows.columns)
