@@ -15,7 +15,21 @@ from curatrix.sources.manifests import changed_signatures, client_settings, clie
 from curatrix.sources.manifests import matched_accounts as matched_account_rows
 from curatrix.sources.manifests import whitelist_import as whitelist_import_
 
-from curatrix.streaming import collector
+from curatrix.streaming import collector, requests
+from curatrix.streaming import state as keyed
+
+
+def _source(spark, rows, order, files: int = 4, after: tuple = ()):
+    """Rows as a stream of files in an order (a number), one a micro-batch, and a folder of its own; then a file of each of the
+    rows that come after all. Files are written one after the other, as a stream takes them by their times."""
+    path = f"{shared_folder(spark)}/curatrix/stream-{uuid.uuid4().hex}"
+    numbered = rows.withColumn("__order", order.cast("double"))
+    bounds = [float("-inf"), *numbered.approxQuantile("__order", [(i + 1) / files for i in range(files - 1)], 0.01), float("inf")]
+    for low, high in zip(bounds, bounds[1:]):
+        numbered.filter((F.col("__order") > low) & (F.col("__order") <= high)).drop("__order").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    for late in after:
+        late.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
 
 
 def _streamed(spark, d, make, keep: list[str], keys: list[str]):
@@ -168,3 +182,64 @@ def whitelist_documents(spark, d):
     u = F.col("user_id")
     handles = F.when(u % 10 != 0, F.array(F.concat(F.lit("@User"), u.cast("string")), F.concat(F.lit("alt"), (u % 5).cast("string")))).otherwise(F.array().cast("array<string>"))
     return table(spark, d, "events").select("user_id").distinct().select(u, manifests.whitelist_export(handles, F.lit("2024-01-01T00:00:00Z")).alias("payload"))
+
+
+def _kept(spark, d):
+    """The three maps after a stream of all events, from keyed state."""
+    stream, path = _source(spark, table(spark, d, "events"), F.col("event_id"), 2)
+    keyed.flush(keyed.maps(D.sighting_events(stream), None), f"{path}/out", f"{path}/state").awaitTermination()
+    return keyed.read_maps(spark, f"{path}/out")
+
+
+@query(f"WITH {D.SIGHTINGS}, u AS ({URL_STATE}), a AS ({ACCOUNTS}), s AS ({STATS}) SELECT 'avatar' AS kind, normalized_url AS key, original_url AS text, handles || '|' || display_names || '|' || source_surfaces || '|' || whitelisted || '|' || coalesce(example_tweet_url, '') AS more, seen_count AS n FROM u UNION ALL SELECT 'account', handle, display_name, '', posts_matched FROM a UNION ALL SELECT 'stats', NULL, NULL, concat_ws('|', avatars_checked, cache_hits, posts_matched, model_matches, errors), tweets_scanned FROM s")
+def collector_maps(spark, d):
+    """All three maps by the stateful processor, in one stream and written together."""
+    state = _kept(spark, d)
+    more = F.concat_ws("|", *[F.array_join(c, ",") for c in keyed.LISTS], F.col("whitelisted").cast("string"), F.coalesce("example_tweet_url", F.lit("")))
+    avatars = keyed.avatars(state).select(F.lit("avatar").alias("kind"), F.col("normalized_url").alias("key"), F.col("original_url").alias("text"), more.alias("more"), F.col("seen_count").alias("n"))
+    accounts_ = keyed.accounts(state).select(F.lit("account").alias("kind"), F.col("handle").alias("key"), F.col("display_name").alias("text"), F.lit("").alias("more"), F.col("posts_matched").alias("n"))
+    counts = F.concat_ws("|", *[F.col(c).cast("string") for c in STAT_NAMES[1:]])
+    stats = keyed.stats(state).select(F.lit("stats").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("text"), counts.alias("more"), F.col("tweets_scanned").alias("n"))
+    return avatars.unionByName(accounts_).unionByName(stats)
+
+
+REVEALED = "SELECT element, event_id, normalized_url, matched, coalesce(matched AND state = normalized_url, false) AS revealed FROM (SELECT *, last_value(change IGNORE NULLS) OVER (PARTITION BY element ORDER BY ts, event_id) AS state FROM (SELECT element, event_id, ts, normalized_url, event_type <> 'view' AS matched, event_type = 'purchase' AS reveal, CASE WHEN event_type = 'purchase' THEN normalized_url WHEN event_type = 'view' THEN '' END AS change FROM (SELECT s.*, surface AS event_type FROM sightings s))) WHERE NOT reveal"
+
+
+@query(f"WITH {D.SIGHTINGS}, r AS ({REVEALED}) SELECT event_id, revealed, CASE WHEN NOT matched OR revealed THEN 'show' ELSE 'hide' END AS decision FROM r")
+def revealed_posts(spark, d):
+    """Purchases stand for clicks that reveal an element's post, views for posts that do not match; all others are hidden."""
+    stream, path = _source(spark, table(spark, d, "events"), F.col("event_id"), 2)
+    kind = F.col("event_type")
+    posts = D.sighting_events(stream.withColumn("id", F.col("event_id"))).select("element", "ts", "normalized_url", F.col("surface").alias("event_type"), F.regexp_extract("original_url", "e=(.*)", 1).cast("long").alias("event_id"))
+    out = keyed.reveals(posts.withColumn("matched", kind != "view").withColumn("reveal", kind == "purchase"))
+    decided = out.select("event_id", "revealed", accounts.mode_decision(F.lit("hide"), F.col("matched"), F.lit(False), F.col("revealed")).alias("decision"))
+    keyed.with_state_store(spark, lambda: decided.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()).awaitTermination()
+    return spark.read.schema(decided.schema).parquet(f"{path}/out")
+
+
+ASKED = """requests AS (SELECT event_id AS id, ts AS asked_at FROM events), answers AS (SELECT event_id AS id, ts + to_seconds(event_id * 7 % 90) AS answered_at, CASE WHEN event_id % 13 <> 0 THEN user_id / 200.0::DOUBLE END AS score,
+    CASE WHEN event_type = 'error' THEN 'model failed' END AS error FROM events WHERE event_id % 5 <> 0)"""
+
+
+@query(f"""WITH {ASKED} SELECT r.id, CASE WHEN a.error IS NULL THEN score END AS score, CASE WHEN a.id IS NULL THEN '{requests.TIMED_OUT}' ELSE coalesce(a.error, CASE WHEN score IS NULL THEN '{requests.NO_SCORE}' END) END AS error
+    FROM requests r LEFT JOIN answers a ON r.id = a.id AND answered_at BETWEEN asked_at AND asked_at + INTERVAL 60 SECONDS""")
+def scored_requests(spark, d):
+    """Events ask for a score; a fifth gets no answer, a third a late one, some an error, and some two answers."""
+    events = table(spark, d, "events")
+    # Two rows after all others move both watermarks on, past the last event and then through what comes before the join.
+    end = [events.agg((F.max("ts").cast("timestamp") + F.expr(f"INTERVAL {i} HOUR")).alias("end")) for i in (1, 2)]
+    asked = events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("asked_at"))
+    after = F.make_dt_interval(secs=(F.col("event_id") * 7 % 90).cast("decimal(18,6)"))
+    answers = events.filter("event_id % 5 <> 0").select(
+        F.col("event_id").alias("id"), (F.col("ts").cast("timestamp") + after).alias("answered_at"), F.when(F.col("event_id") % 13 != 0, F.col("user_id") / 200.0).alias("score"), F.when(F.col("event_type") == "error", "model failed").alias("error")
+    )
+    answers = answers.unionByName(answers.filter("id % 7 = 0").withColumn("answered_at", F.col("answered_at") + F.expr("INTERVAL 1 SECOND")))
+    asked_stream, path = _source(spark, asked, F.unix_micros("asked_at"), after=tuple(e.select(F.lit(-1).cast("long").alias("id"), F.col("end").alias("asked_at")) for e in end))
+    last = tuple(e.select(F.lit(-2).cast("long").alias("id"), F.col("end").alias("answered_at"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("error")) for e in end)
+    answer_stream, _ = _source(spark, answers, F.unix_micros("answered_at"), after=last)
+    out = requests.outcomes(asked_stream, answer_stream).select("id", "score", "error")
+    running = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").start()
+    running.processAllAvailable()  # with the batches without rows in which time is up
+    running.stop()
+    return spark.read.schema(out.schema).parquet(f"{path}/out").filter("id >= 0")  # a filter before would keep those rows from the watermark
