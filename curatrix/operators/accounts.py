@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.shared import placed
+
 
 def matches_search(query: str) -> Column:
     wanted = query.strip().lower()
     return F.lit(True) if not wanted else F.lower("handle").contains(wanted) | F.coalesce(F.lower("display_name").contains(wanted), F.lit(False))
 
 
+def account_order() -> list[Column]:
+    return [F.desc("posts_matched"), F.asc("handle")]
+
+
 def ordered_accounts(accounts: DataFrame) -> DataFrame:
-    return accounts.orderBy(F.desc("posts_matched"), "handle")
+    return accounts.orderBy(*account_order())
 
 
 def exempt_accounts(accounts: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -23,8 +29,17 @@ def caught_accounts(accounts: DataFrame, whitelist: DataFrame) -> DataFrame:
     return ordered_accounts(accounts.join(whitelist.select("handle").distinct(), "handle", "left_anti"))
 
 
+def avatar_order() -> list[Column]:
+    return [F.desc("seen_count"), F.asc("normalized_url")]
+
+
 def ordered_avatars(avatars: DataFrame) -> DataFrame:
-    return avatars.orderBy(F.desc("seen_count"), "normalized_url")
+    return avatars.orderBy(*avatar_order())
+
+
+def export_rows(avatars: DataFrame) -> DataFrame:
+    """An export of any size as rows with their place; its header is totals()."""
+    return placed(avatars, avatar_order())
 
 
 def totals(avatars: DataFrame) -> DataFrame:

@@ -115,11 +115,14 @@ def best_epoch(history: DataFrame, patience: int = 3, run: str = "run_id") -> Da
     return kept.groupBy(run).agg(F.max_by("epoch", F.struct("recall", "f1", -F.col("epoch"))).alias("best_epoch"), F.max("stop_epoch").alias("stop_epoch"))
 
 
+def error_order(predicted: str) -> list[Column]:
+    return [F.desc("score") if predicted == "positive" else F.asc("score"), F.asc("id")]
+
+
 def errors(entries: DataFrame, threshold: float, predicted: str, label: str) -> DataFrame:
     """False positives or negatives: entries predicted one way and labelled the other, the most certain first."""
     hit = F.when(F.col("score") >= threshold, "positive").otherwise("negative")
-    first = F.desc("score") if predicted == "positive" else F.asc("score")
-    return entries.withColumn("predicted", hit).filter((F.col("predicted") == predicted) & (F.col("label") == label)).orderBy(first, "id")
+    return entries.withColumn("predicted", hit).filter((F.col("predicted") == predicted) & (F.col("label") == label)).orderBy(*error_order(predicted))
 
 
 def delta_arrow(current: Column, baseline: Column, digits: int = 4) -> Column:

@@ -176,9 +176,13 @@ def grid_groups(items: DataFrame) -> DataFrame:
     return items.groupBy(label.alias("label"), rank.alias("rank")).agg(F.count("*").alias("items")).orderBy("rank").select("label", "rank", "items")
 
 
+def run_order() -> list[Column]:
+    return [F.desc("latest"), F.desc("run_id")]
+
+
 def runs(scores: DataFrame) -> DataFrame:
     """Runs by their latest score, newest first."""
-    return scores.groupBy("run_id").agg(F.max("created_at").alias("latest")).orderBy(F.desc("latest"), F.desc("run_id"))
+    return scores.groupBy("run_id").agg(F.max("created_at").alias("latest")).orderBy(*run_order())
 
 
 def dedupe_runs(selected: DataFrame) -> DataFrame:

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from curatrix.operators import accounts
 from curatrix.plans import domain as D
 from curatrix.plans.registry import query
-from curatrix.shared import shared_folder, table
+from curatrix.shared import placed, shared_folder, table
 from curatrix.sources import manifests
-from curatrix.sources.manifests import changed_signatures, client_settings, client_stats
+from curatrix.sources.manifests import client_settings, client_stats
 from curatrix.sources.manifests import matched_accounts as matched_account_rows
 from curatrix.sources.manifests import whitelist_import as whitelist_import_
 
 from curatrix.streaming import collector, requests
 from curatrix.streaming import state as keyed
+from curatrix.streaming.deltas import read_latest
 
 
 def _source(spark, rows, order, files: int = 4, after: tuple = ()):
@@ -39,10 +40,9 @@ def _streamed(spark, d, make, keep: list[str], keys: list[str]):
     source.repartitionByRange(4, "event_id").write.parquet(f"{path}/in")
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     out = make(D.sighting_events(stream))
-    # Only keys that a micro-batch changes leave the aggregation; they replace those in the state's next version.
+    # Only keys that a micro-batch changes leave the aggregation, and only these are written.
     collector.keep_latest(out, f"{path}/out", keys, f"{path}/state").awaitTermination()
-    last = spark.read.parquet(f"{path}/out").agg(F.max("epoch")).first()[0]
-    return spark.read.parquet(f"{path}/out").filter(F.col("epoch") == last).select(*keep)
+    return read_latest(spark, f"{path}/out", out.schema, keys).select(*keep)
 
 
 URL_STATE = """SELECT normalized_url, arg_max(original_url, ts) AS original_url, array_to_string(list_sort(list(DISTINCT handle)), ',') AS handles, coalesce(array_to_string(list_sort(list(DISTINCT display_name) FILTER (WHERE display_name IS NOT NULL)), ','), '') AS display_names, array_to_string(list_sort(list(DISTINCT surface)), ',') AS source_surfaces, count(*) AS seen_count,
@@ -109,7 +109,11 @@ def notification_dedupe(spark, d):
 
 @query(f"WITH {D.SIGHTINGS} SELECT element, signature, count(*) AS n FROM (SELECT *, lag(signature) OVER (PARTITION BY element ORDER BY ts) AS b FROM sightings) WHERE b IS DISTINCT FROM signature GROUP BY 1, 2")
 def changed_elements(spark, d):
-    return changed_signatures(D.sighting_events(table(spark, d, "events")), "element", "ts").groupBy("element", "signature").agg(F.count("*").alias("n"))
+    """By the stream that keeps each element's last signature, over two micro-batches."""
+    stream, path = _source(spark, table(spark, d, "events"), F.col("event_id"), 2)
+    out = collector.changed_elements(D.sighting_events(stream).select("element", "signature", "ts"))
+    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out").groupBy("element", "signature").agg(F.count("*").alias("n"))
 
 
 LISTED = "w AS (SELECT 'user' || (c_custkey * 7) AS handle FROM customer WHERE c_custkey < 14)"
@@ -129,10 +133,10 @@ def caught_accounts(spark, d):
     return accounts.caught_accounts(collector.matched_accounts(D.sighting_events(table(spark, d, "events"))), _whitelist(spark, d)).select("handle", "posts_matched")
 
 
-@query(f"WITH {D.SIGHTINGS}, a AS ({ACCOUNTS}) SELECT handle, display_name, posts_matched FROM a WHERE contains(lower(handle), 'user1') OR contains(lower(display_name), 'user1')")
+@query(f"WITH {D.SIGHTINGS}, a AS ({ACCOUNTS}) SELECT row_number() OVER (ORDER BY posts_matched DESC, handle) AS place, handle, display_name, posts_matched FROM a WHERE contains(lower(handle), 'user1') OR contains(lower(display_name), 'user1')")
 def account_search(spark, d):
     found = collector.matched_accounts(D.sighting_events(table(spark, d, "events"))).filter(accounts.matches_search(" USER1 "))
-    return accounts.ordered_accounts(found).select("handle", "display_name", "posts_matched")
+    return placed(found, accounts.account_order()).select("place", "handle", "display_name", "posts_matched")
 
 
 @query(f"WITH {D.SIGHTINGS}, x AS (SELECT surface, count(*) AS seen, count(*) FILTER (WHERE matched AND user_id_ok) AS hit FROM (SELECT *, NOT whitelisted AS user_id_ok FROM sightings) GROUP BY surface) SELECT surface, CASE WHEN 100.0::DOUBLE * hit / seen >= 10 THEN printf('%.1f%%', 100.0::DOUBLE * hit / seen) ELSE printf('%.2f%%', 100.0::DOUBLE * hit / seen) END AS rate FROM x")

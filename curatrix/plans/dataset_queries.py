@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import error_file_name
 from curatrix.operators import families, metrics, samples, splits
 from curatrix.plans import domain as D
 from curatrix.plans.registry import query
-from curatrix.shared import table
+from curatrix.shared import placed, table
 from curatrix.sources.manifests import index_files, latest_run
 
 #: Families in SQL: the closure over shared keys, by labels that go down until nothing changes.
@@ -205,25 +204,30 @@ def _run_rows(spark, d):
     return metrics.confusion(entries, 0.5, ["run_id"])
 
 
+def _arrow(x: str, base: str) -> str:
+    return f"CASE WHEN abs({x} - {base}) < 1e-9 THEN '=' WHEN {x} > {base} THEN '↑' || printf('%.4f', {x} - {base}) ELSE '↓' || printf('%.4f', {base} - {x}) END"
+
+
 @query(f"""WITH h AS (SELECT 'run-' || (l_orderkey % 4) AS run_id, (l_partkey * 31 % 1000) / 1000.0::DOUBLE >= 0.5 AS hit, l_returnflag = 'R' AS pos FROM lineitem), c AS (SELECT run_id, {_CONFUSION} FROM h GROUP BY run_id), r AS (SELECT run_id, {_P} AS p, {_R} AS r, fp, fn FROM c), b AS (SELECT p AS bp, r AS br, fp AS bfp, fn AS bfn FROM r WHERE run_id = 'run-0')
-    SELECT run_id, round(p, 9) AS precision, round(r, 9) AS recall, fp, fn, CASE WHEN fp = bfp THEN '=' WHEN fp > bfp THEN '↑' || (fp - bfp)::BIGINT ELSE '↓' || (bfp - fp)::BIGINT END AS fp_delta,
+    SELECT run_id, round(p, 9) AS precision, round(r, 9) AS recall, fp, fn, CASE WHEN fp = bfp THEN '=' WHEN fp > bfp THEN '↑' || (fp - bfp)::BIGINT ELSE '↓' || (bfp - fp)::BIGINT END AS fp_delta, CASE WHEN fn = bfn THEN '=' WHEN fn > bfn THEN '↑' || (fn - bfn)::BIGINT ELSE '↓' || (bfn - fn)::BIGINT END AS fn_delta,
+    {_arrow('p', 'bp')} AS precision_delta, {_arrow('r', 'br')} AS recall_delta,
     CASE WHEN run_id = 'run-0' THEN 'baseline' WHEN p >= bp AND r >= br AND fp <= bfp AND fn <= bfn AND (p > bp OR r > br OR fp < bfp OR fn < bfn) THEN 'better' WHEN p <= bp AND r <= br AND fp >= bfp AND fn >= bfn AND (p < bp OR r < br OR fp > bfp OR fn > bfn) THEN 'worse' ELSE 'mixed' END AS verdict FROM r, b""")
 def compare_runs(spark, d):
     c = metrics.compare_runs(_run_rows(spark, d), "run-0")
-    return c.select("run_id", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), "fp", "fn", "fp_delta", "verdict")
+    return c.select("run_id", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), "fp", "fn", "precision_delta", "recall_delta", "fp_delta", "fn_delta", "verdict")
 
 
-@query(f"WITH {D.SAMPLES}, {D.ENTRIES} SELECT id, score, label, 'positive' AS predicted FROM entries WHERE score >= 0.6 AND label = 'negative'")
+@query(f"WITH {D.SAMPLES}, {D.ENTRIES} SELECT row_number() OVER (ORDER BY score DESC, id) AS place, id, score, label, 'positive' AS predicted FROM entries WHERE score >= 0.6 AND label = 'negative'")
 def false_positives(spark, d):
-    return metrics.errors(D.entries(spark, d), 0.6, "positive", "negative").select("id", "score", "label", "predicted")
+    found = metrics.errors(D.entries(spark, d), 0.6, "positive", "negative")
+    return placed(found, metrics.error_order("positive")).select("place", "id", "score", "label", "predicted")
 
 
-@query(f"WITH {D.SAMPLES}, {D.ENTRIES}, e AS (SELECT *, row_number() OVER (ORDER BY score, id) AS n FROM entries WHERE score < 0.6 AND label = 'positive') SELECT id, printf('%03d', n) || '__p' || printf('%.3f', score) || '__' || replace(id, ':', '__') || '.png' AS file_name FROM e WHERE n <= 200")
+@query(f"WITH {D.SAMPLES}, {D.ENTRIES}, e AS (SELECT *, row_number() OVER (ORDER BY score, id) AS n FROM entries WHERE score < 0.6 AND label = 'positive') SELECT id, printf('%03d', n) || '__p' || printf('%.3f', score) || '__' || replace(id, ':', '__') || '.png' AS file_name FROM e")
 def error_file_names(spark, d):
-    """The 200 most certain false negatives, as they are named in a report."""
-    found = metrics.errors(D.entries(spark, d), 0.6, "negative", "positive").limit(200)
-    n = F.row_number().over(Window.orderBy("score", "id"))
-    return found.select("id", error_file_name(n, F.col("score"), F.col("id"), F.concat("path", F.lit(".PNG"))).alias("file_name"))
+    """All false negatives as they are named in a report, the most certain first."""
+    found = placed(metrics.errors(D.entries(spark, d), 0.6, "negative", "positive"), metrics.error_order("negative"))
+    return found.select("id", error_file_name(F.col("place"), F.col("score"), F.col("id"), F.concat("path", F.lit(".PNG"))).alias("file_name"))
 
 
 @query(f"WITH {D.SAMPLES}, {D.ENTRIES} SELECT 'blind' AS eval_set, id FROM entries WHERE split IN ('val', 'test') UNION ALL SELECT 'all-manual', id FROM entries WHERE source = 'export' AND label_source = 'manual' UNION ALL SELECT 'all-exported', id FROM entries WHERE source = 'export'")

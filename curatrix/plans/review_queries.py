@@ -8,7 +8,7 @@ from curatrix.operators import accounts, catalog, labels, review
 from curatrix.plans import domain as D
 from curatrix.plans.registry import query
 from curatrix.schemas import orphans
-from curatrix.shared import placed
+from curatrix.shared import materialise, placed
 
 LISTS = ("handles", "display_names", "source_surfaces")
 
@@ -149,9 +149,9 @@ def grid_groups(spark, d):
     return review.grid_groups(D.items(spark, d))
 
 
-@query(f"WITH {D.SCORES} SELECT run_id, {_stamp('latest')} FROM (SELECT run_id, max(created_at) AS latest FROM scores GROUP BY run_id)")
+@query(f"WITH {D.SCORES} SELECT row_number() OVER (ORDER BY latest DESC, run_id DESC) AS place, run_id, {_stamp('latest')} FROM (SELECT run_id, max(created_at) AS latest FROM scores GROUP BY run_id)")
 def run_list(spark, d):
-    return review.runs(D.scores(spark, d)).select("run_id", D.said("latest").alias("latest"))
+    return placed(review.runs(D.scores(spark, d)), review.run_order()).select("place", "run_id", D.said("latest").alias("latest"))
 
 
 @query("SELECT o_orderpriority AS run_id, min(o_orderkey) AS position FROM orders GROUP BY 1")
@@ -266,11 +266,12 @@ def sighting_totals(spark, d):
     return accounts.totals(D.avatar_urls(spark, d))
 
 
-@query(f"WITH {D.ROWS}, {D.merged_sql('merged')} SELECT count(*) AS avatar_count, sum(seen_count)::BIGINT AS total_sightings, first(normalized_url ORDER BY seen_count DESC, normalized_url) AS first_url FROM merged")
+@query(f"WITH {D.ROWS}, {D.merged_sql('merged')} SELECT row_number() OVER (ORDER BY seen_count DESC, normalized_url) AS place, {MERGED}, count(*) OVER () AS avatar_count, (sum(seen_count) OVER ())::BIGINT AS total_sightings FROM merged")
 def export_payload(spark, d):
-    payload = accounts.export_payload(D.merged(spark, d), D.NOW)
-    read = lambda p: F.get_json_object("payload", p)
-    return payload.select(read("$.avatar_count").cast("long").alias("avatar_count"), read("$.total_sightings").cast("long").alias("total_sightings"), read("$.avatars[0].normalized_url").alias("first_url"))
+    """The export's rows in their order, and its header beside each."""
+    merged = materialise(D.merged(spark, d), "merged")
+    header = accounts.totals(merged).select(F.col("unique_avatars").alias("avatar_count"), "total_sightings")  # one row
+    return _shown(accounts.export_rows(merged).crossJoin(F.broadcast(header)), "place", "avatar_count", "total_sightings")
 
 
 @query("""SELECT event_id, CASE WHEN m = 'off' THEN 'show' WHEN m = 'debug' AND hit THEN 'mark' WHEN w OR NOT hit OR r THEN 'show' WHEN m IN ('hide', 'fade') THEN m ELSE 'show' END AS decision FROM (SELECT event_id, (['off', 'hide', 'fade', 'debug'])[event_id % 4 + 1] AS m, event_type = 'click' AS hit, user_id % 25 = 0 AS w, event_id % 9 = 0 AS r FROM events)""")

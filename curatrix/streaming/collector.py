@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from curatrix.streaming.deltas import write_delta
+
 
 def _first(c: str):
     return F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("ts")))
@@ -128,16 +130,6 @@ def decide(events: DataFrame, read_settings: Callable[[], DataFrame], write: Cal
 
 
 def keep_latest(changed: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """A keyed state from a stream in update mode: each micro-batch's changed rows replace those with their keys in the next
-    version, so what is aggregated again are changed keys only. A repeated micro-batch writes its version again."""
-    from curatrix.operators.catalog import upsert
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        version = f"{path.rstrip('/')}/epoch={epoch:012d}"
-        spark = batch.sparkSession
-        state = batch
-        if epoch and keys:  # without keys the state is one row
-            state = upsert(spark.read.schema(batch.schema).parquet(f"{path.rstrip('/')}/epoch={epoch - 1:012d}"), batch, keys)
-        state.write.mode("overwrite").parquet(version)
-
-    return changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(run).start()
+    """A keyed table from a stream in update mode: a micro-batch writes the keys that it has changed, and no others; read it with
+    deltas.read_latest."""
+    return changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, epoch: write_delta(batch, epoch, path, keys)).start()

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from curatrix.streaming.deltas import COMPACT, read_latest, write_delta
+
 AVATAR, ACCOUNT, STATS = "avatar", "account", "stats"
 SHARDS = 64
 #: Milliseconds from a change to the write of all that has changed by then.
@@ -147,49 +149,18 @@ def with_state_store(spark: SparkSession, start: Callable[[], StreamingQuery]) -
         spark.conf.set(name, was) if was else spark.conf.unset(name)
 
 
-def flush(changed: DataFrame, path: str, checkpoint: str, interval: str | None = None, compact: int = 16) -> StreamingQuery:
-    """Write what has changed of all maps as one delta a micro-batch. Every so many deltas become a base of the latest rows, and
-    what is older is deleted, so that files grow with the keys. A micro-batch that is repeated writes its delta again."""
-    root = path.rstrip("/")
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{root}/delta/epoch={epoch:012d}")
-        if epoch % compact == compact - 1:
-            read_maps(spark, root, OUT_DDL, epoch).write.mode("overwrite").parquet(f"{root}/base/epoch={epoch:012d}")
-            for kind, old in (("delta", epoch), ("base", epoch - 1)):
-                for e, p in _epochs(spark, f"{root}/{kind}"):
-                    if e <= old:
-                        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def flush(changed: DataFrame, path: str, checkpoint: str, interval: str | None = None, compact: int = COMPACT) -> StreamingQuery:
+    """Write what has changed of all maps, one delta a micro-batch; without an interval what is there now, and stop."""
 
     def start() -> StreamingQuery:
-        out = changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+        out = changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda batch, epoch: write_delta(batch, epoch, path, ["kind", "key"], compact))
         return (out.trigger(processingTime=interval) if interval else out.trigger(availableNow=True)).start()
 
     return with_state_store(changed.sparkSession, start)
 
 
-def _epochs(spark: SparkSession, path: str) -> list[tuple]:
-    """The epochs that were written to their end, with their folders."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch=*/_SUCCESS")
-    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
-    return sorted(((int(s.getPath().getParent().getName().split("=")[1]), s.getPath().getParent()) for s in found), key=lambda x: x[0])
-
-
-def read_maps(spark: SparkSession, path: str, ddl: str = OUT_DDL, until: int | None = None) -> DataFrame:
-    """The latest row of each key: that of the newest base, or of a delta after it."""
-    root = path.rstrip("/")
-    bases = [e for e, _ in _epochs(spark, f"{root}/base") if until is None or e < until]
-    deltas = [e for e, _ in _epochs(spark, f"{root}/delta") if (until is None or e <= until) and (not bases or e > bases[-1])]
-    if not bases and not deltas:
-        return spark.createDataFrame([], ddl)
-    wanted = [f"{root}/base/epoch={e:012d}" for e in bases[-1:]] + [f"{root}/delta/epoch={e:012d}" for e in deltas]
-    rows = None
-    for p in wanted:
-        one = spark.read.schema(ddl).parquet(p).withColumn("__epoch", F.lit(int(p[-12:])))
-        rows = one if rows is None else rows.unionByName(one)
-    columns = [c for c in rows.columns if c not in ("kind", "key", "__epoch")]
-    return rows.groupBy("kind", "key").agg(F.max_by(F.struct(*columns), "__epoch").alias("r")).select("kind", "key", "r.*")
+def read_maps(spark: SparkSession, path: str) -> DataFrame:
+    return read_latest(spark, path, OUT_DDL, ["kind", "key"])
 
 
 def _time(c: str, name: str):

@@ -16,7 +16,7 @@ from curatrix.functions import image, text
 from curatrix.operators import accounts, catalog, components, families, labels, metrics, model, review, samples, splits
 from curatrix.schemas import AVATAR_URLS, IMAGES, LABEL_EVENTS, MODEL_SCORES, SAMPLES, conform, empty, ensure_column, schema
 from curatrix.sources import fetch, manifests, sinks
-from curatrix.streaming import collector
+from curatrix.streaming import collector, deltas
 
 
 
@@ -508,9 +508,9 @@ def test_state_by_changed_keys_and_settings_at_each_batch(spark, tmp_path):
         spark.createDataFrame([(f"h{i % 4}", i + 10 * k) for i in range(5 * (k + 1))], "handle string, n long").coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema("handle string, n long").option("maxFilesPerTrigger", 1).parquet(source)
     collector.keep_latest(stream.groupBy("handle").agg(F.sum("n").alias("n")), str(tmp_path / "state"), ["handle"], str(tmp_path / "ck")).awaitTermination()
-    last = sorted((tmp_path / "state").iterdir())[-1]
+    last = deltas.read_latest(spark, str(tmp_path / "state"), "handle string, n long", ["handle"])
     want = {r.handle: r.n for r in spark.read.parquet(source).groupBy("handle").agg(F.sum("n").alias("n")).collect()}
-    assert {r.handle: r.n for r in spark.read.parquet(str(last)).collect()} == want
+    assert {r.handle: r.n for r in last.collect()} == want
     modes, seen = iter(["hide", "fade", "off", "off"]), []
     settings = lambda: spark.createDataFrame([(next(modes), [])], "mode string, whitelist_handles array<string>")
     events = stream.withColumn("matched", F.lit(True))
