@@ -1,4 +1,4 @@
-"""Image geometry and tensors as column functions; decoding is left to an adapter that is given."""
+"""Image geometry and tensors as column functions. PNG files are decoded by functions.png, other kinds by an adapter that is given."""
 
 from __future__ import annotations
 
@@ -59,3 +59,30 @@ def probe_images(files: DataFrame, decode: Callable[[bytes], tuple[int, int, str
             yield pd.DataFrame(rows, columns=["path", "raw_sha", "pixel_digest", "width", "height", "mime_type", "readable"])
 
     return files.select("path", "content").mapInPandas(probe, "path string, raw_sha string, pixel_digest string, width int, height int, mime_type string, readable boolean")
+
+
+def fingerprints(files: DataFrame, size: int, decode: Callable[[bytes], tuple[int, int, str, bytes]] | None = None) -> DataFrame:
+    """Rows of file_fingerprints from files as Spark reads them (path, modificationTime, length, content): the digest is that of
+    the picture's pixels at size by size."""
+    from curatrix.functions.png import prober
+
+    stat = files.select("path", F.col("length").alias("file_size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.lit(size).alias("image_size"))
+    found = probe_images(files, decode or prober(size)).drop("mime_type")
+    return stat.join(found, "path").withColumn("updated_at", F.current_timestamp())
+
+
+def pictures(files: DataFrame, size: int) -> DataFrame:
+    """(path, rgb, error) of PNG files (path, content): size by size pixels in an array column, or what is wrong with the file."""
+    from curatrix.functions import png
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    rows.append((path, png.resized(png.decode(bytes(content)), size, size).reshape(-1).astype("int32"), None))
+                except Exception as e:  # noqa: BLE001  any broken file is a row
+                    rows.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "rgb", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, rgb array<int>, error string")

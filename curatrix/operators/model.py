@@ -104,3 +104,36 @@ def training_items(entries: DataFrame, variants: DataFrame, top_sources: tuple[s
 def onnx_metadata(run_id: str, threshold: float, input_size: int = 128) -> dict:
     """What accompanies an exported model."""
     return {"architecture": "logistic_regression", "class_names": ["negative", "positive"], "input_size": input_size, "channels": 3, "mean": [0.5] * 3, "std": [0.5] * 3, "positive_index": 1, "threshold": threshold, "run_id": run_id}
+
+
+def coefficients(fitted) -> tuple[list[float], float]:
+    return [float(x) for x in fitted.coefficients], float(fitted.intercept)
+
+
+def _field(number: int, value) -> bytes:
+    """A field of a protobuf message: an integer, text, bytes, or a message of fields."""
+
+    def varint(n: int) -> bytes:
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    body = value.encode() if isinstance(value, str) else value if isinstance(value, bytes) else b"".join(_field(*f) for f in value)
+    return varint(number << 3 | 2) + varint(len(body)) + body
+
+
+def onnx_model(weights: list[float], bias: float) -> bytes:
+    """A regression as an ONNX graph that score_onnx loads: an input of any shape is flattened, and the logits of both classes
+    come out."""
+    import numpy as np
+
+    both = np.array([[0.0, w] for w in weights], "<f4"), np.array([0.0, bias], "<f4")
+    tensors = [(5, [*[(1, n) for n in x.shape], (2, 1), (8, name), (9, x.tobytes())]) for x, name in zip(both, ("weights", "bias"))]
+    node = lambda kind, into, out, *more: (1, [*[(1, i) for i in into], (2, out), (4, kind), *more])
+    tensor = lambda number, name: (number, [(1, name), (2, [(1, [(1, 1)])])])
+    graph = [node("Flatten", ["input"], "flat", (5, [(1, "axis"), (3, 1), (20, 2)])), node("Gemm", ["flat", "weights", "bias"], "logits"), (2, "regression"), *tensors, tensor(11, "input"), tensor(12, "logits")]
+    return b"".join(_field(*f) for f in [(1, 7), (7, graph), (8, [(2, 13)])])

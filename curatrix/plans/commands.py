@@ -15,7 +15,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.functions.text import parse_time
+from curatrix.functions import image
+from curatrix.functions.text import normalize_image_url, parse_time
 from curatrix.operators import catalog, families, labels, metrics, model, review, samples, splits
 from curatrix.operators import ledger as ledger_ops
 from curatrix.schemas import RELATIONS, conform
@@ -156,6 +157,30 @@ def check_picture(fitted, embedding: DataFrame, threshold: float) -> DataFrame:
     return model.score(fitted, embedding, "id").withColumn("predicted_label", labels.predicted_label(F.col("score"), threshold))
 
 
+def check_input(spark: SparkSession, path_or_url: str, graph: bytes, threshold: float, config: dict, get: fetch.Fetcher | None = None) -> dict:
+    """One picture, a PNG file or its address, and an ONNX model's probability for it. config: input_size, mean, std and
+    positive_index, as in a model's document. What cannot be read or fetched is an error."""
+    found = {"input": path_or_url, "threshold": threshold}
+    if not path_or_url.lower().startswith(("http://", "https://")) and manifests.exists(spark, path_or_url):
+        files = spark.read.format("binaryFile").load(path_or_url).select("path", "content")
+        found["local_path"] = path_or_url
+    else:
+        url = spark.range(1).select(normalize_image_url(F.lit(path_or_url))).first()[0]
+        outcome, body = fetch.fetch_one(get or fetch.http_get, [url])
+        if outcome:
+            raise ValueError(outcome)
+        files = spark.createDataFrame([(url, bytearray(body))], "path string, content binary")
+        found |= {"url": path_or_url, "normalized_url": url}
+    size = config["input_size"]
+    rows = image.pictures(files, size)
+    tensor = image.planar_tensor(F.col("rgb"), F.lit(config["mean"]), F.lit(config["std"])).cast("array<float>")
+    one = rows.select("path", F.when(F.col("rgb").isNotNull(), tensor).alias("tensor"), F.array(*map(F.lit, (1, 3, size, size))).alias("shape"), F.col("error").alias("unread"))
+    scored = model.score_onnx(one, "path", graph, config.get("positive_index", 1)).join(one.select("path", "unread"), "path").first()
+    if scored["unread"] or scored["error"]:
+        raise ValueError(f"{path_or_url} cannot be read: {scored['unread'] or scored['error']}")
+    return found | {"probability": scored["score"], "matched": scored["score"] >= threshold}
+
+
 @dataclass
 class Review:
     """What a review tool asks for; items of a run are worked out once and kept until something is written."""

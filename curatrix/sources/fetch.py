@@ -76,6 +76,26 @@ def _try(fetch: Fetcher, urls) -> tuple[str | None, str | None, bytes | None, st
     return None, None, None, error
 
 
+def fetch_one(fetch: Fetcher, urls: list[str]) -> tuple[str | None, bytes | None]:
+    """An error, or the bytes of the first URL that answers well."""
+    _, _, body, error = _try(fetch, urls)
+    return error, body
+
+
+def http_get(url: str, timeout: float = 30.0) -> tuple[int, str, bytes]:
+    """A fetcher of http and https addresses by the standard library."""
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    if not url.lower().startswith(("http://", "https://")):
+        raise ValueError("not an http address")
+    try:
+        with urlopen(Request(url, headers={"User-Agent": "curatrix"}), timeout=timeout) as answer:
+            return answer.status, answer.headers.get_content_type(), answer.read()
+    except HTTPError as e:
+        return e.code, "", b""
+
+
 def fetch_all(wanted: DataFrame, fetch: Fetcher, store: str | None = None) -> DataFrame:
     """wanted (key, urls: candidates in order) to outcomes; bytes are hashed in the task and do not travel. store: a shared
     folder, with its scheme, where they are written by their hash; else local_path is null."""

@@ -12,7 +12,7 @@ from curatrix.schemas import COLLECTIONS, DATASET_ENTRY, MANIFEST, schema
 from curatrix.shared import small
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path, or any file of a pattern, is there; asked of the file system that the path names."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
@@ -22,7 +22,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def discover_exports(spark: SparkSession, folder: str, inputs: list[str] | None = None) -> list[str]:
     """The given paths that exist, in their order; without any, the folder's JSON files by name."""
     if inputs:
-        return [p for p in inputs if _exists(spark, p)]
+        return [p for p in inputs if exists(spark, p)]
     pattern = f"{folder.rstrip('/')}/*.json"
     p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     return sorted(s.getPath().toString() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or [])
@@ -64,7 +64,7 @@ def read_collections(spark: SparkSession, path: str) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, ddl: str = DATASET_ENTRY) -> DataFrame:
     """JSON lines; a missing file is empty, blank lines are skipped, a wrong type is an error."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema(ddl))
     return spark.read.schema(schema(ddl)).option("mode", "FAILFAST").json(path)
 
