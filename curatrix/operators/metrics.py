@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.shared import materialise
+from curatrix.shared import running_sums
 
 NO_ROWS_THRESHOLD = 0.995
 
@@ -39,15 +39,8 @@ def threshold_table(entries: DataFrame) -> DataFrame:
     by_score = entries.groupBy(F.col("score").alias("threshold")).agg(F.sum(F.when(F.col("label") == "positive", 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == "positive", 0).otherwise(1)).alias("n"))
     ends = spark.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)], "threshold double, p long, n long")
     merged = by_score.unionByName(ends).groupBy("threshold").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    # Running sums in two steps: sums of buckets of scores, and within a bucket.
-    merged = materialise(merged.withColumn("__b", F.floor(F.least(F.greatest(F.col("threshold"), F.lit(0.0)), F.lit(1.0)) * 1024)), "thresholds")
-    buckets = merged.groupBy("__b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
-    above = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # A row for each of 1,025 buckets.
-    before = buckets.select("__b", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"), F.sum("bp").over(whole).alias("all_p"), F.sum("bn").over(whole).alias("all_n"))
-    within = Window.partitionBy("__b").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = merged.join(F.broadcast(before), "__b").select("threshold", (F.col("p0") + F.sum("p").over(within)).cast("double").alias("tp"), (F.col("n0") + F.sum("n").over(within)).cast("double").alias("fp"), "all_p", "all_n")
+    sums = running_sums(merged, [F.desc("threshold")], ["p", "n"])
+    c = sums.select("threshold", F.col("running_p").cast("double").alias("tp"), F.col("running_n").cast("double").alias("fp"), F.col("total_p").alias("all_p"), F.col("total_n").alias("all_n"))
     c = c.select("threshold", "tp", "fp", (F.col("all_n") - F.col("fp")).alias("tn"), (F.col("all_p") - F.col("tp")).alias("fn"))
     return c.select("threshold", "tp", "fp", "tn", "fn", *rates(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import no_strings
+from curatrix.operators.rank_index import RankIndex
 from curatrix.schemas import LABELS, MANUAL
 from curatrix.shared import small
 
@@ -107,6 +108,11 @@ def queue(items: DataFrame, name: str) -> DataFrame:
     return items.filter(queue_filter(name)).orderBy(*_order(name))
 
 
+def queue_index(items: DataFrame, name: str, path: str) -> RankIndex:
+    """A queue's order stored under path, for many items and pages of the same state."""
+    return RankIndex.write(items.filter(queue_filter(name)), _order(name), path)
+
+
 def labeled_grid(items: DataFrame, label: str = "all") -> DataFrame:
     if label not in ("all", *LABELS):
         raise ValueError(f"unknown label filter: {label}")

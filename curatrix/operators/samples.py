@@ -26,10 +26,12 @@ def collection_rows(manifest: DataFrame, specs: DataFrame) -> DataFrame:
 def samples(images: DataFrame, fingerprints: DataFrame, collections: DataFrame, weight: float = COLLECTION_WEIGHT) -> DataFrame:
     """The union of collection rows (slug, token_id, local_path) and trainable images, with fingerprints by path.
 
-    Unreadable collection files are left out; an unreadable or missing exported file is an error.
+    Unreadable collection files are left out; a collection file without a fingerprint, which is missing then, is an error, and so
+    is an unreadable or missing exported file.
     """
     prints = fingerprints.select(F.col("path").alias("__path"), F.col("raw_sha").alias("__raw"), F.col("pixel_digest").alias("__pixels"), "readable")
-    of_collections = collections.join(prints, F.col("local_path") == F.col("__path")).filter("readable").select(
+    there = F.coalesce("readable", F.raise_error(F.concat(F.lit("missing file of a collection: "), F.coalesce("local_path", F.lit("no path")))).cast("boolean"))
+    of_collections = collections.join(prints, F.col("local_path") == F.col("__path"), "left").filter(there).select(
         F.concat_ws(":", F.lit("collection"), "slug", F.col("token_id").cast("string")).alias("sample_id"), F.col("local_path").alias("path"), F.lit("positive").alias("label"), F.col("slug").alias("source"),
         F.col("__raw").alias("raw_sha"), F.col("__pixels").alias("pixel_digest"), F.lit("collection").alias("label_source"), F.lit("trusted").alias("label_tier"),
         F.lit(float(weight)).alias("sample_weight"), F.lit(False).alias("blind_eval_eligible"), F.lit(None).cast("string").alias("exported_sha"),

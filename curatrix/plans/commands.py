@@ -113,6 +113,8 @@ def train(entries: DataFrame, embeddings: DataFrame, run_id: str, floor: float =
     rows = materialise(entries.join(embeddings, "id", "left"), "training-rows")
     if missing := rows.filter("embedding is null").count():
         raise ValueError(f"{missing} entries have no embedding")
+    if surplus := embeddings.select("id").join(entries.select("id"), "id", "left_anti").count():
+        raise ValueError(f"{surplus} embeddings have no entry")
     fitted = model.train(rows.filter("split = 'train'"), epochs)
     scored = model.score(fitted, rows, "id").join(entries, "id")
     chosen = metrics.choose_threshold(scored.filter("split = 'val'"), floor).first()

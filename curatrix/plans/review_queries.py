@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from curatrix.operators import accounts, catalog, labels, review
 from curatrix.plans import domain as D
 from curatrix.plans.registry import query
 from curatrix.schemas import orphans
-from curatrix.shared import materialise, placed
+from curatrix.shared import materialise, placed, shared_folder
 
 LISTS = ("handles", "display_names", "source_surfaces")
 
@@ -124,6 +126,21 @@ def queue_item_clamped(spark, d):
     return review.item_at(D.items(spark, d), "hard_negatives", 1_000_000).select("sha256", "score", F.col("position").cast("long").alias("position"), "total")
 
 
+def _index(spark, d, name):
+    return review.queue_index(D.items(spark, d), name, f"{shared_folder(spark)}/curatrix/index-{uuid.uuid4().hex}")
+
+
+@query(f"WITH {D.items_sql()}, q AS (SELECT *, row_number() OVER (ORDER BY seen_count DESC, {TIES}) - 1 AS p FROM items) SELECT sha256, seen_count, p::BIGINT AS position FROM q WHERE p BETWEEN 40 AND 48")
+def queue_page_indexed(spark, d):
+    """From the stored order: only the ranges that hold the page are read."""
+    return _index(spark, d, "high_impact").page(40, 9).select("sha256", "seen_count", "position")
+
+
+@query(f"WITH {D.items_sql()}, q AS (SELECT *, row_number() OVER (ORDER BY score DESC, {TIES}) - 1 AS p, count(*) OVER () AS n FROM items WHERE label = 'negative' AND score IS NOT NULL) SELECT sha256, score, p::BIGINT AS position, n::BIGINT AS total FROM q WHERE p = least(1000000, n - 1)")
+def queue_item_indexed(spark, d):
+    return _index(spark, d, "hard_negatives").item(1_000_000).select("sha256", "score", "position", "total")
+
+
 @query(f"WITH {D.items_sql()} SELECT count(*) AS total, {', '.join(f'count(*) FILTER (WHERE {w}) AS queue_{q}' for q, (w, _) in QUEUE_SQL.items())}, count(*) FILTER (WHERE label_source = 'manual' AND label = 'positive') AS label_positive, count(*) FILTER (WHERE label_source = 'manual' AND label = 'negative') AS label_negative, count(*) FILTER (WHERE label_source = 'manual' AND label = 'unclear') AS label_unclear FROM items")
 def review_summary(spark, d):
     return review.summary(D.items(spark, d))
