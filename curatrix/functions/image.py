@@ -86,3 +86,9 @@ def pictures(files: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "rgb", "error"])
 
     return files.select("path", "content").mapInPandas(run, "path string, rgb array<int>, error string")
+
+
+def embeddings(files: DataFrame, config: dict) -> DataFrame:
+    """(path, embedding) of PNG files that can be read: pixels as a model takes them; config: input_size, mean, std."""
+    planes = planar_tensor(F.col("rgb"), F.lit(config["mean"]), F.lit(config["std"]))
+    return pictures(files, config["input_size"]).filter("rgb is not null").select("path", planes.cast("array<float>").alias("embedding"))

@@ -122,6 +122,41 @@ def train(entries: DataFrame, embeddings: DataFrame, run_id: str, floor: float =
     return fitted, {"run_id": run_id, "threshold": chosen["threshold"], "val": chosen.asDict(), "test": test.asDict()}
 
 
+def picture_config(size: int | None = None) -> dict:
+    """How a model of pictures takes them."""
+    return {k: v for k, v in model.onnx_metadata("", 0.0, size or 128).items() if k in ("input_size", "mean", "std", "positive_index")}
+
+
+def train_run(c: Catalog, entries: DataFrame, embeddings: DataFrame, run_id: str, floor: float = 0.995, epochs: int = 15, size: int | None = None):
+    """Train, and keep the model as an ONNX graph, its document and its summary as the run's files."""
+    fitted, summary = train(entries, embeddings, run_id, floor, epochs)
+    root = f"{c.root}/models/{run_id}"
+    sinks.write_bytes(c.spark, f"{root}/best.onnx", model.onnx_model(*model.coefficients(fitted)))
+    sinks.write_bytes(c.spark, f"{root}/model.json", (json.dumps(model.onnx_metadata(run_id, summary["threshold"], size or 128), indent=2) + "\n").encode())
+    sinks.write_bytes(c.spark, f"{root}/summary.json", json.dumps(summary).encode())  # the last, so a run that has one is whole
+    return fitted, summary
+
+
+def known_thresholds(c: Catalog) -> DataFrame:
+    """(run_id, threshold) of the runs that have a summary."""
+    kind = "run_id string, threshold double"
+    if not manifests.exists(c.spark, f"{c.root}/models/*/summary.json"):
+        return c.spark.createDataFrame([], kind)
+    return c.spark.read.schema(kind).json(f"{c.root}/models/*/summary.json")
+
+
+def check_run(c: Catalog, path_or_url: str, run_id: str | None = None, threshold: float | None = None, get: fetch.Fetcher | None = None) -> dict:
+    """check_input by a run's model and threshold; without a run the newest that has a summary."""
+    if run_id is None:
+        found = c.spark.read.format("binaryFile").load(f"{c.root}/models/*/summary.json").select("path", "modificationTime") if manifests.exists(c.spark, f"{c.root}/models/*/summary.json") else None
+        if found is None:
+            raise ValueError("no run has been trained")
+        run_id = found.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0].rsplit("/", 2)[1]
+    files = {r["path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in c.spark.read.format("binaryFile").load(f"{c.root}/models/{run_id}").select("path", "content").collect()}  # three files
+    about = json.loads(files["model.json"])
+    return {"run_id": run_id} | check_input(c.spark, path_or_url, files["best.onnx"], about["threshold"] if threshold is None else threshold, about, get)
+
+
 def evaluate(scored: DataFrame, thresholds: dict[str, float], baseline: str, eval_set: str = "blind") -> DataFrame:
     """Runs (run_id in scored) on one evaluation set, compared with the baseline."""
     rows = metrics.evaluation_entries(scored, eval_set)

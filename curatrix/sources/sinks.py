@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.operators.accounts import export_payload, ordered_avatars
@@ -13,6 +13,14 @@ def write_document(one_row: DataFrame, path: str, column: str = "payload") -> No
     one_row.select(F.col(column).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_bytes(spark: SparkSession, path: str, body: bytes) -> None:
+    """A small file as it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(body))
+    out.close()
+
+
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 

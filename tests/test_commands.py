@@ -132,3 +132,40 @@ def test_command_line(spark, tmp_path):
     assert json.loads(run(spark, [root, "export-model", "r1", "--threshold", "0.5"]))["threshold"] == 0.5
     with pytest.raises(SystemExit):
         run(spark, [root, "nothing"])
+    with pytest.raises(SystemExit):
+        run(spark, [root, "queue", "high_impact", "--limit", "1001"])
+    run(spark, [root, "queue", "high_impact", "--limit", "5000", "--out", str(tmp_path / "queue")])
+    assert spark.read.json(str(tmp_path / "queue")).count() == 3 and run(spark, [root, "vacuum"])
+
+
+def test_command_line_from_pictures_to_a_checked_one(spark, tmp_path):
+    """Files to embeddings and fingerprints, a trained run with its threshold, queues that know it, and a picture that is checked."""
+    import numpy as np
+
+    from curatrix.__main__ import run
+    from test_pictures import written
+
+    pytest.importorskip("onnxruntime")
+    root, r = str(tmp_path / "catalog"), np.random.default_rng(3)
+    (tmp_path / "files").mkdir()
+    entries = []
+    for i in range(48):
+        pixels = r.integers(0, 100, (5, 5, 3)).astype(np.uint8)
+        pixels[:, :, i % 2] += 120
+        path = tmp_path / "files" / f"{i}.png"
+        path.write_bytes(written(pixels, 2, 8, (i % 5,)))
+        entries.append((f"file:{path}", "positive" if i % 2 else "negative", "export", ("train", "train", "val", "test")[i // 2 % 4], "manual", 1.0))
+    (tmp_path / "files" / "broken.png").write_bytes(b"no picture")
+    spark.createDataFrame(entries, "id string, label string, source string, split string, label_source string, sample_weight double").write.parquet(str(tmp_path / "entries"))
+    run(spark, [root, "fingerprint", str(tmp_path / "files"), str(tmp_path / "prints"), "--size", "4"])
+    assert spark.read.parquet(str(tmp_path / "prints")).filter("readable").count() == 48
+    run(spark, [root, "embed", str(tmp_path / "files"), str(tmp_path / "embeddings"), "--size", "4"])
+    summary = json.loads(run(spark, [root, "train", str(tmp_path / "entries"), str(tmp_path / "embeddings"), "r1", "--size", "4"]))
+    assert summary["test"]["recall"] >= 0.5 and summary["test"]["precision"] == 1.0
+    for i in (0, 1):
+        got = json.loads(run(spark, [root, "check-picture", str(tmp_path / "files" / f"{i}.png")]))
+        assert got["run_id"] == "r1" and got["threshold"] == summary["threshold"] and (got["probability"] > 0.5) == bool(i) and got["matched"] == (got["probability"] >= got["threshold"])
+    c = commands.Catalog(spark, root)
+    assert commands.known_thresholds(c).first().threshold == summary["threshold"]
+    with pytest.raises(ValueError, match="no run"):
+        commands.check_run(commands.Catalog(spark, str(tmp_path / "none")), "x.png")
