@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.operators import catalog, families, ledger
+from curatrix.plans import commands
 from curatrix.plans import domain as D
 from curatrix.plans.dataset_queries import CLOSURE
 from curatrix.plans.registry import query
 from curatrix.plans.review_queries import MERGED
 from curatrix.plans.review_queries import _shown as shown
-from curatrix.shared import materialise
+from curatrix.schemas import AVATAR
+from curatrix.shared import materialise, shared_folder
+from curatrix.sources import sinks
 
 #: Every third export comes again: some rows are missing, all counts are others.
 AGAIN = "floor(event_id / 1000) % 3 = 0"
@@ -41,6 +46,33 @@ def ledger_forced(spark, d):
     return shown(ledger.refold(state, live, ledger.touched_urls(replaced, again), D.at(D.NOW)), D.said("updated_at").alias("updated"))
 
 
+def _manifests(rows: DataFrame) -> DataFrame:
+    """(name, payload): rows of manifests as the documents that a collector exports."""
+    time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
+    names = [c.split()[0] for c in AVATAR.split(", ")]
+    avatar = F.struct(*[time(c) if c.endswith("_seen_at") else F.col(c) for c in names])
+    one = rows.groupBy("file_rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", avatar.alias("a")))), lambda x: x["a"]).alias("avatars"), F.count("*").alias("avatar_count"), F.sum("seen_count").alias("total_sightings"))
+    payload = F.to_json(F.struct(F.lit(1).alias("version"), F.lit("2024-02-01T00:00:00Z").alias("exported_at"), "avatar_count", "total_sightings", "avatars"))
+    return one.select(F.format_string("%06d.json", "file_rank").alias("name"), payload.alias("payload"))
+
+
+@query(f"WITH {FOLDED} SELECT {MERGED}, (SELECT count(DISTINCT event_id // 1000) FROM events) AS exports, (SELECT count(*) + count(*) FILTER (WHERE r % 3 = 0) FROM (SELECT DISTINCT event_id // 1000 AS r FROM events)) AS taken FROM merged")
+def ingested_catalog(spark, d):
+    """The loop's command over files: events as JSON manifests, taken in, changed and taken in again by force; then what the
+    catalog's last snapshot holds, with the ledger's rows and the exports that were taken in."""
+    folder = f"{shared_folder(spark)}/curatrix/exports-{uuid.uuid4().hex}"
+    rows = D.manifest_rows(spark, d).withColumn("file_rank", F.col("file_rank").cast("int"))
+    again = rows.filter(AGAIN).filter("event_id % 4 <> 0 and user_id % 7 <> 0").withColumn("original_url", F.concat("original_url", F.lit("&v=2"))).withColumn("seen_count", F.col("event_id") % 5 + 1)
+    c = commands.Catalog(spark, f"{folder}/catalog")
+    taken = 0
+    for version, force in ((rows, False), (again, True)):
+        paths = sorted(r["path"] for r in sinks.write_named(_manifests(version), f"{folder}/in").collect())  # a path for each export
+        taken += commands.ingest(c, "", paths, force)
+    snap = c.snapshot()
+    counts = snap.read("exports").agg(F.count("*").alias("exports")).withColumn("taken", F.lit(taken))  # one row
+    return shown(snap.read("avatar_urls").crossJoin(F.broadcast(counts)), "exports", "taken")
+
+
 @query(f"WITH {D.ROWS}, first_rows AS (SELECT * FROM manifest_rows) SELECT 'raw/' || (event_id // 1000)::BIGINT || '.json' AS export_path, count(DISTINCT normalized_url) AS urls, sum(seen_count)::BIGINT AS seen, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM first_rows GROUP BY 1")
 def export_contributions(spark, d):
     """What each export says, URL by URL, summed up."""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curatrix.operators import accounts, catalog, labels, review
 from curatrix.plans import domain as D
 from curatrix.plans.registry import query
-from curatrix.schemas import orphans
-from curatrix.shared import materialise, placed, shared_folder
+from curatrix.schemas import FINGERPRINTS, conform, orphans
+from curatrix.shared import materialise, placed, shared_folder, table
 
 LISTS = ("handles", "display_names", "source_surfaces")
 
@@ -126,6 +127,31 @@ def queue_item_clamped(spark, d):
     return review.item_at(D.items(spark, d), "hard_negatives", 1_000_000).select("sha256", "score", F.col("position").cast("long").alias("position"), "total")
 
 
+@query(f"WITH {D.items_sql()}, q AS (SELECT *, row_number() OVER (ORDER BY seen_count DESC, {TIES}) AS place, count(*) OVER () AS total FROM items) SELECT place, total, sha256 FROM q WHERE place <= 25")
+def queue_grid(spark, d):
+    """A grid's first 25 items, in their places, with the queue's total."""
+    total, rows = review.grid(review.queue(D.items(spark, d), "high_impact"), 25)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*review._order("high_impact"))).cast("long")).select("place", F.lit(total).cast("long").alias("total"), "sha256")
+
+
+@query("SELECT doc_id, CASE WHEN (doc_id * 7919 % 1000) / 1000.0::DOUBLE >= 0.5 THEN 'positive' ELSE 'negative' END AS predicted FROM documents")
+def predicted_labels(spark, d):
+    """A score at the threshold is positive."""
+    i = F.col("doc_id")
+    return table(spark, d, "documents").select(i, labels.predicted_label(i * 7919 % 1000 / 1000.0, 0.5).alias("predicted"))
+
+
+@query("""WITH f AS (SELECT doc_id, 'cache/' || doc_id AS path, n_chars AS file_size, sha256(coalesce(text, '')) AS raw_sha FROM documents)
+    SELECT path, file_size + (doc_id % 4 = 0)::INT AS file_size, CASE WHEN doc_id % 4 = 0 THEN 'changed' ELSE raw_sha END AS raw_sha FROM f WHERE doc_id % 4 = 0 OR doc_id % 5 <> 0""")
+def fingerprint_upsert(spark, d):
+    """A cache of fingerprints after every fourth file has been read again: known ones are replaced, new ones added."""
+    i = F.col("doc_id")
+    files = table(spark, d, "documents").select(i, F.concat(F.lit("cache/"), i.cast("string")).alias("path"), F.col("n_chars").alias("file_size"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("raw_sha"))
+    known = conform(files.filter(i % 5 != 0), FINGERPRINTS)
+    again = conform(files.filter(i % 4 == 0).withColumn("file_size", F.col("file_size") + 1).withColumn("raw_sha", F.lit("changed")), FINGERPRINTS)
+    return catalog.upsert(known, again, ["path"]).select("path", "file_size", "raw_sha")
+
+
 def _index(spark, d, name):
     return review.queue_index(D.items(spark, d), name, f"{shared_folder(spark)}/curatrix/index-{uuid.uuid4().hex}")
 

@@ -105,9 +105,14 @@ def fetch_all(wanted: DataFrame, fetch: Fetcher, store: str | None = None) -> Da
             rows = []
             for key, urls in zip(batch["key"], batch["urls"]):
                 url, kind, body, error = _try(fetch, urls)
+                path = None
+                if body and store:
+                    try:
+                        path = _store(body, hashlib.sha256(body).hexdigest(), store)
+                    except Exception as e:  # noqa: BLE001  a file that cannot be stored is not there, and the job goes on
+                        kind, body, error = None, None, f"{url}: not stored, {e}"
                 digest = hashlib.sha256(body).hexdigest() if body else None
                 mime, width, height = picture_header(body) if body else (None, None, None)
-                path = _store(body, digest, store) if body and store else None
                 rows.append((key, url, digest, mime or kind, width, height, len(body) if body else None, path, error))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUTCOME.split(", ")]).astype({c: "Int64" for c in ("byte_size", "width", "height")})
 

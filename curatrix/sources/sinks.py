@@ -21,6 +21,29 @@ def write_bytes(spark: SparkSession, path: str, body: bytes) -> None:
     out.close()
 
 
+def write_named(documents: DataFrame, folder: str) -> DataFrame:
+    """The paths of documents (name, payload), each written as a file of its own under a folder that all tasks share. A file gets
+    its name when it is whole, so a task that runs again writes the same."""
+
+    def run(batches):
+        import uuid
+
+        import pandas as pd
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, payload in zip(batch["name"], batch["payload"]):
+                aside = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with files.open_output_stream(aside) as out:
+                    out.write(payload.encode())
+                files.move(aside, f"{root}/{name}")
+            yield pd.DataFrame({"path": [f"{folder.rstrip('/')}/{n}" for n in batch["name"]]})
+
+    return documents.select("name", "payload").mapInPandas(run, "path string")
+
+
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 

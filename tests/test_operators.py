@@ -397,6 +397,13 @@ def test_fetching(spark):
     assert probes == {"a": (True, 206), "b": (False, 404)}
 
 
+def test_a_file_that_cannot_be_stored_is_a_failed_row(spark, tmp_path):
+    (tmp_path / "taken").write_text("a file where a folder should be")
+    wanted = spark.createDataFrame([("k", ["u"])], "key string, urls array<string>")
+    row = fetch.fetch_all(wanted, lambda url: (200, "image/png", b"body"), f"file://{tmp_path}/taken").first()
+    assert row.sha256 is None and row.local_path is None and "not stored" in row.error
+
+
 def test_accounts(spark):
     df = spark.createDataFrame([("b", "Bee", 2), ("a", None, 2), ("c", "x", 9)], "handle string, display_name string, posts_matched long")
     assert [r.handle for r in accounts.ordered_accounts(df).collect()] == ["c", "a", "b"]
