@@ -26,8 +26,6 @@ RANK = 128
 BLOCK_WORDS, QUERIES = 1 << 20, 4096
 #: The words that the space knows: those that most items have. Queries without any are looked up in every passage.
 VOCABULARY = 200_000
-#: The latent space is fitted on about so many documents at most, and as many items, by a hash of their text; all are searched.
-FIT_DOCS = 10_000
 #: A query that fills a share of a passage has a cosine of about the root of that share, if it stands there; this part of that is
 #: near enough. By recall on short and long items, planted whole and changed; what is checked in vain costs little.
 NEAR = 0.5
@@ -224,7 +222,8 @@ def _sketch(space, omega):
 
 
 def fitted(docs: DataFrame, benchmark: DataFrame, rank: int, total: int) -> Space:
-    """The latent space of all the benchmark's words. What reaches the driver has a row for each of VOCABULARY words at most."""
+    """The latent space of all the benchmark's words, fitted on every document and item. What reaches the driver has a row for
+    each of VOCABULARY words at most."""
     sc = docs.sparkSession.sparkContext
     counted = benchmark.select("text").mapInArrow(_item_words, "word binary").groupBy("word").agg(F.count("*").alias("n"))
     words = sorted(bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect())
@@ -240,17 +239,15 @@ def fitted(docs: DataFrame, benchmark: DataFrame, rank: int, total: int) -> Spac
     omega = np.random.default_rng(7).standard_normal((n_words, rank)).astype(np.float32)
     shared, started = sc.broadcast(space), sc.broadcast(omega)
 
-    def sketch(texts: DataFrame, n: int) -> np.ndarray:
-        share = min(1.0, FIT_DOCS / max(1, n))
-        picked = texts if share == 1 else texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-        sums = picked.select("text").mapInArrow(_sketch(shared, started), "word int, row array<float>").groupBy("word").agg(F.array(*[F.sum(F.col("row")[i]) for i in range(rank)]).alias("row")).toPandas()
+    def sketch(texts: DataFrame) -> np.ndarray:
+        sums = texts.select("text").mapInArrow(_sketch(shared, started), "word int, row array<float>").groupBy("word").agg(F.array(*[F.sum(F.col("row")[i]) for i in range(rank)]).alias("row")).toPandas()
         y = np.zeros((n_words, rank))
         if len(sums):
             y[sums["word"].to_numpy(int)] = np.stack(sums["row"].to_numpy())
         return y / max(np.linalg.norm(y), 1e-9)
 
     # The items themselves are rows of the matrix too, so that their words span the space; scaled to weigh like the documents.
-    y = sketch(docs, total) + 3 * sketch(benchmark, benchmark.count())
+    y = sketch(docs) + 3 * sketch(benchmark)
     # Nystrom: from the sketch of the Gram matrix to its leading singular vectors.
     core = omega.T @ y
     core = (core + core.T) / 2

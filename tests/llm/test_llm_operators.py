@@ -150,6 +150,35 @@ def test_decontamination_is_the_same_for_every_cut_of_the_benchmark(spark, monke
     assert {(x.doc_id, x.item_id) for x in D.contaminated(d, few).collect()} == {(0, 0), (1, 1), (2, 2)}
 
 
+def test_decontamination_fits_its_space_on_all_documents(spark):
+    """More documents than a fit once took: the space is that of the sketch of all of them, worked out here in one array."""
+    from curatrix.llm import decontam as D
+
+    r = np.random.default_rng(4)
+    n_docs, n_items, n_words, rank = 15_000, 40, 60, 8
+    words = [f"w{i:02}" for i in range(n_words)]
+    drawn = lambda n: [r.choice(n_words, 12) for _ in range(n)]
+    rows, items = drawn(n_docs), drawn(n_items)
+    text = lambda x: " ".join(words[i] for i in x)
+    d, b = docs(spark, [text(x) for x in rows]).repartition(4), _benchmark(spark, [text(x) for x in items])
+    space = D.fitted(d, b, rank, n_docs)
+    assert sorted(space.vocabulary) == [w.encode() for w in words]
+    holding = np.zeros(n_words)
+    for x in rows:
+        holding[np.unique(x)] += 1
+    np.testing.assert_allclose(space.idf, np.log((n_docs + 1) / (holding + 1)) + 0.05)
+    omega = np.random.default_rng(7).standard_normal((n_words, rank)).astype(np.float32)
+
+    def sketch(some):
+        m = np.stack([np.bincount(x, minlength=n_words) for x in some]) * space.idf
+        y = m.T @ (m @ omega / (np.stack([np.bincount(x, minlength=n_words) for x in some]) @ space.idf**2)[:, None])
+        return y / np.linalg.norm(y)
+
+    y = sketch(rows) + 3 * sketch(items)
+    u = space.basis / space.idf[:, None]
+    assert np.linalg.norm(y - u @ (u.T @ y)) < 1e-4 * np.linalg.norm(y)
+
+
 def _planted(r, pool, n_items, lengths, changes):
     """Items from texts, each planted in another text: whole, or with words swapped for others, left out, or put in order anew."""
     items, texts = [], []
