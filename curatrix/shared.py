@@ -29,6 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def listed(spark: SparkSession, found) -> list[str]:
+    """The paths of what a file system has listed."""
+    return [p.toString() for p in spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found) or []]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage is cut, and a lost executor costs nothing.
     The files go when the application ends."""

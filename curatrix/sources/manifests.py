@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import EPOCH, filter_mode, no_strings, parse_time, read_number, unique_strings, whitelist_handles
 from curatrix.schemas import COLLECTIONS, DATASET_ENTRY, MANIFEST, schema
-from curatrix.shared import small
+from curatrix.shared import listed, small
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -22,17 +23,37 @@ def exists(spark: SparkSession, path: str) -> bool:
 def discover_exports(spark: SparkSession, folder: str, inputs: list[str] | None = None) -> list[str]:
     """The given paths that exist, in their order; without any, the folder's JSON files by name."""
     if inputs:
-        return [p for p in inputs if exists(spark, p)]
+        there = {f: _names(spark, f) for f, n in Counter(_folder(p) for p in inputs).items() if f and n > FEW and not set(f) & set("{}[]*?\\")}
+        return [p for p in inputs if p.rsplit("/", 1)[-1] in there.get(_folder(p), ()) or exists(spark, p)]
     pattern = f"{folder.rstrip('/')}/*.json"
     p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    return sorted(s.getPath().toString() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or [])
+    return sorted(listed(spark, p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)))
+
+
+#: A file of a plain name in a folder. Of a folder with more paths than FEW, all are looked up by one listing.
+PLAIN = re.compile("(.*[^/:])/+[A-Za-z0-9][A-Za-z0-9._-]*")
+FEW = 16
+
+
+def _folder(path: str) -> str | None:
+    """The folder of a file of a plain name, which stands in whole paths as it is; none of another."""
+    found = PLAIN.fullmatch(path)
+    return found and found[1]
+
+
+def _names(spark: SparkSession, folder: str) -> set[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {x.rsplit("/", 1)[1] for x in listed(spark, files.listStatus(p))} if files.exists(p) else set()
 
 
 def read_manifests(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row a file with its place among the paths; text of a wrong type fails the read."""
     if not paths:
         return spark.createDataFrame([], schema(MANIFEST + ", path STRING, file_rank INT"))
-    order = spark.createDataFrame([(_whole(spark, p), i) for i, p in enumerate(paths)], "name string, file_rank int")
+    folders = {f: _whole(spark, f) for f in {_folder(p) for p in paths} if f}
+    whole = [f"{folders[_folder(p)]}/{p.rsplit('/', 1)[1]}" if _folder(p) else _whole(spark, p) for p in paths]
+    order = spark.createDataFrame([(p, i) for i, p in enumerate(whole)], "name string, file_rank int")
     rows = spark.read.schema(schema(MANIFEST)).option("multiLine", True).option("mode", "FAILFAST").json(paths).withColumn("path", F.input_file_name())
     return rows.join(small(order), F.regexp_replace("path", SCHEME, "$1:/") == F.col("name")).drop("name")
 

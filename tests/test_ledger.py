@@ -68,6 +68,34 @@ def test_a_forced_manifest_takes_its_old_contribution_out(spark, tmp_path):
     assert c.vacuum() == []
 
 
+def test_many_exports_have_a_file_each_and_are_looked_up_together(spark, tmp_path, monkeypatch):
+    """A part's rows meet in one file, and of many paths in a folder none is asked for on its own."""
+    from curatrix.sources import manifests
+
+    given = tmp_path / "in"
+    given.mkdir()
+    for i in range(40):
+        manifest(given / f"{i:03}.json", i, [f"u{j}" for j in range(60)])
+    (given / "odd name.json").write_bytes((given / "000.json").read_bytes())
+    asked = []
+    for name in ("exists", "_whole"):
+        real = getattr(manifests, name)
+        monkeypatch.setattr(manifests, name, lambda spark, path, name=name, real=real: asked.append((name, path)) or real(spark, path))
+    c = Catalog(spark, str(tmp_path / "catalog"))
+    monkeypatch.setattr(manifests, "FEW", 16, raising=False)
+    paths = [str(p) for p in sorted(given.iterdir())]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as where there is so much that partitions stay apart
+    try:
+        assert commands.ingest(c, "", [*paths, str(given / "gone.json"), str(tmp_path / "none" / "x.json")]) == 41
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(asked) == [("_whole", str(given)), ("_whole", str(given / "odd name.json")), ("exists", str(given / "gone.json")), ("exists", str(given / "odd name.json")), ("exists", str(tmp_path / "none" / "x.json"))]
+    parts = list((tmp_path / "catalog" / "contributions").glob("version=*/part=*"))
+    assert len(parts) == 41 and all(len(list(p.glob("*.parquet"))) == 1 for p in parts)
+    assert c.read("avatar_urls").count() == 60 and c.read("exports").count() == 41
+    assert manifests.discover_exports(spark, str(given)) == sorted(f"file:{p}" for p in paths)
+
+
 def test_folding_touched_urls_again_is_folding_all(spark):
     """Random exports, some of which come again."""
     columns = "export_path string, file_rank int, position int, normalized_url string, original_url string, handles array<string>, display_names array<string>, source_surfaces array<string>, seen_count int, first_seen_at string, last_seen_at string, example_profile_url string, example_notification_url string, example_tweet_url string, whitelisted boolean"
