@@ -7,10 +7,10 @@ avatar are map state, so a new one does not rewrite the others. State is in Rock
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -49,47 +49,51 @@ def changes(events: DataFrame, shards: int = SHARDS) -> DataFrame:
     return rows.select("m.kind", "m.key", *[c for c in rows.columns if c != "m"])
 
 
-def _take(facts: dict, name: str, rows: pd.DataFrame, column: str, last: bool) -> None:
+def _take(facts: dict, name: str, at: int | None, text: str | None, last: bool) -> None:
     """The first or last text that is not empty; of one time the smaller one for the first and the greater for the last."""
-    said = rows[rows[column].fillna("") != ""]
-    if said.empty:
+    if not text or at is None:
         return
-    at, text = (max if last else min)(zip(said["at"], said[column]))
     known = facts[f"{name}_at"]
     if known is None or ((at, text) > (known, facts[name]) if last else (at, text) < (known, facts[name])):
-        facts[name], facts[f"{name}_at"] = text, int(at)
+        facts[name], facts[f"{name}_at"] = text, at
 
 
-def updated(kind: str, facts: dict, rows: pd.DataFrame) -> None:
-    """Add rows of one key to its facts."""
-    count = lambda name, n: facts.__setitem__(name, (facts[name] or 0) + int(n))
-    bound = lambda name, f, x: facts.__setitem__(name, int(x) if facts[name] is None else f(facts[name], int(x)))
-    hits = rows[rows["hit"]]
+def updated(kind: str, facts: dict, row: dict) -> None:
+    """Add a row of a key to its facts."""
+
+    def count(name: str, more: bool = True) -> None:
+        facts[name] = (facts[name] or 0) + more
+
+    def bound(name: str, f: Callable[[int, int], int]) -> None:
+        if row["at"] is not None:
+            facts[name] = row["at"] if facts[name] is None else f(facts[name], row["at"])
+
     if kind == AVATAR:
-        count("seen_count", len(rows))
-        bound("first_at", min, rows["at"].min())
-        bound("last_at", max, rows["at"].max())
+        count("seen_count")
+        bound("first_at", min)
+        bound("last_at", max)
         for name, column in FIRST.items():
-            _take(facts, name, rows, column, False)
-        _take(facts, "original_url", rows, "original_url", True)
-        facts["whitelisted"] = bool(facts["whitelisted"] or rows["whitelisted"].any())
+            _take(facts, name, row["at"], row[column], False)
+        _take(facts, "original_url", row["at"], row["original_url"], True)
+        facts["whitelisted"] = bool(facts["whitelisted"] or row["whitelisted"])
         return
-    count("posts_matched", len(hits))
-    if len(hits):
-        bound("hit_at", max, hits["at"].max())
+    count("posts_matched", row["hit"])
+    if row["hit"]:
+        bound("hit_at", max)
     if kind == ACCOUNT:
-        _take(facts, "display_name", rows, "display_name", True)
+        _take(facts, "display_name", row["at"], row["display_name"], True)
     else:
-        count("tweets_scanned", len(rows))
-        count("avatars_checked", rows["has_url"].sum())
-        count("cache_hits", (rows["score_source"] == "cache").sum())
-        count("model_matches", (hits["score_source"] == "model").sum())
-        count("errors", (rows["score_source"] == "error").sum())
+        count("tweets_scanned")
+        count("avatars_checked", row["has_url"])
+        count("cache_hits", row["score_source"] == "cache")
+        count("model_matches", row["hit"] and row["score_source"] == "model")
+        count("errors", row["score_source"] == "error")
 
 
 class Maps(StatefulProcessor):
     """Keeps a key's facts, and gives its row when its timer is due; without a pause with every batch that changes it. Timers
-    lie on a grid of pauses, so that what changes within one is given together, of all three maps."""
+    lie on a grid of pauses, so that what changes within one is given together, of all three maps. A key asks its state once a
+    batch for its facts and once for its names, and writes those that are new."""
 
     def __init__(self, pause: int | None):
         self.pause = pause
@@ -100,34 +104,41 @@ class Maps(StatefulProcessor):
         self.seen = handle.getMapState("seen", "field string, value string", "at long")
         self.due = handle.getValueState("due", "at long")
 
-    def _row(self, key: tuple, facts: dict) -> pd.DataFrame:
+    def _row(self, key: tuple, facts: dict, names: Iterable[tuple[str, str]]) -> Row:
         kind, name = key
         values = {c: facts.get(c) for c in OUT} | {"kind": kind, "key": name}
         if kind == AVATAR:
-            pairs = [(k[0], k[1]) for k in self.seen.keys()]
-            values |= {c: sorted(v for f, v in pairs if f == c) for c in LISTS}
-        return pd.DataFrame({c: pd.Series([values[c]], dtype=object) for c in OUT})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        facts = dict(zip(FACTS, self.facts.get())) if self.facts.exists() else dict.fromkeys(FACTS)
-        for batch in rows:
-            updated(key[0], facts, batch)
-            if key[0] == AVATAR:
-                for field, column in LISTS.items():
-                    for value in batch[column].dropna().unique():
-                        if value and not self.seen.containsKey((field, value)):
-                            self.seen.updateValue((field, value), (int(batch["at"].min()),))
+            values |= {c: sorted(v for f, v in names if f == c) for c in LISTS}
+        return Row(*OUT)(*[values[c] for c in OUT])
+
+    def _names(self) -> set[tuple[str, str]]:
+        return {(k[0], k[1]) for k in self.seen.keys()}
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.facts.get()
+        facts, names, said = dict(zip(FACTS, before)) if before else dict.fromkeys(FACTS), set(), set()
+        avatar = key[0] == AVATAR
+        for r in rows:
+            row = r.asDict()
+            updated(key[0], facts, row)
+            if avatar:
+                said.update((field, row[column]) for field, column in LISTS.items() if row[column])
+        if avatar:
+            names = self._names() if before else set()
+            for new in sorted(said - names):
+                self.seen.updateValue(new, (facts["last_at"],))
+            names |= said
         self.facts.update(tuple(facts[c] for c in FACTS))
         if self.pause is None:
-            yield self._row(key, facts)
+            yield self._row(key, facts, names)
         elif not self.due.exists():
             at = (timerValues.getCurrentProcessingTimeInMs() // self.pause + 2) * self.pause
             self.handle.registerTimer(at)
             self.due.update((at,))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.due.clear()
-        yield self._row(key, dict(zip(FACTS, self.facts.get())))
+        yield self._row(key, dict(zip(FACTS, self.facts.get())), self._names() if key[0] == AVATAR else ())
 
     def close(self) -> None:
         pass
@@ -135,7 +146,7 @@ class Maps(StatefulProcessor):
 
 def maps(events: DataFrame, pause: int | None = PAUSE, shards: int = SHARDS) -> DataFrame:
     """The rows of all three maps that have changed, from a stream of sightings."""
-    return changes(events, shards).groupBy("kind", "key").transformWithStateInPandas(Maps(pause), OUT_DDL, "Update", "None" if pause is None else "ProcessingTime")
+    return changes(events, shards).groupBy("kind", "key").transformWithState(Maps(pause), OUT_DDL, "Update", "None" if pause is None else "ProcessingTime")
 
 
 def with_state_store(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:

@@ -99,3 +99,38 @@ def test_requests_have_one_outcome_each(spark):
     got = requests.outcomes(asked, spark.createDataFrame(answers, "id long, answered_at timestamp, score double, error string"))
     assert {r.id: (r.score, r.error) for r in got.collect()} == {0: (0.5, None), 1: (None, requests.TIMED_OUT), 2: (None, "bad picture"), 3: (None, requests.NO_SCORE), 4: (0.1, None), 5: (None, requests.TIMED_OUT)}
     assert got.columns == ["id", "asked_at", "url", "answered_at", "score", "error"]
+
+
+class Counted:
+    """State of one key in memory, and how often it is asked: facts and due as values, seen as a map."""
+
+    def __init__(self):
+        self.calls, self.value, self.map = 0, None, {}
+
+    def _asked(self, out=None):
+        self.calls += 1
+        return out
+
+    getValueState = getMapState = lambda self, *kind: self
+    exists = lambda self: self._asked(self.value is not None)
+    get = lambda self: self._asked(self.value)
+    keys = lambda self: self._asked(iter(list(self.map)))
+    update = lambda self, value: self._asked(setattr(self, "value", value))
+    updateValue = lambda self, key, value: self._asked(self.map.__setitem__(key, value))
+    containsKey = lambda self, key: self._asked(key in self.map)
+
+
+def test_a_key_asks_its_state_as_often_whatever_its_names():
+    """Some calls a batch and one for each new name, not for each that a batch says; a row without a time says no first or last."""
+    from pyspark.sql import Row
+
+    state = Counted()
+    processor = keyed.Maps(None)
+    processor.init(state)
+    row = lambda i, at: Row(at=at, original_url=f"o{i}", handle=f"h{i}", display_name=f"n{i % 7}", surface="", profile_url=None, notification_url="", tweet_url=f"t{i}", whitelisted=i == 3, hit=False, has_url=True, score_source="model")
+    for batch, new in ((range(40), 47), (range(20, 60), 20), (range(60), 0)):
+        state.calls = 0
+        (out,) = processor.handleInputRows(("avatar", "u"), (row(i, None if i == 0 else 1000 - i) for i in batch), None)
+        assert state.calls <= 3 + new
+    assert out["seen_count"] == 140 and out["handles"] == sorted(f"h{i}" for i in range(60)) and out["display_names"] == sorted(f"n{i}" for i in range(7)) and out["source_surfaces"] == []
+    assert (out["first_at"], out["last_at"], out["original_url"], out["example_tweet_url"], out["example_profile_url"], out["whitelisted"]) == (941, 999, "o1", "t59", None, True)
