@@ -203,18 +203,17 @@ def _sketch(space, omega):
         weights = np.concatenate([start * idf[:, None], (idf**2)[:, None]], axis=1).astype(np.float32)
         for batch in batches:
             for _, found in _stretches(batch.column(0), it):
-                for part in ([found] if len(found) > 1 else [[c] for c in _cut_long(found[0])]):
-                    sums, _ = _halves(part, weights)
+                first = np.cumsum([0, *[-(-len(x) // HALF) for x in found]])
+                half = np.concatenate([first[i] + np.arange(len(x)) // HALF for i, x in enumerate(found)])
+                word = np.concatenate(found)
+                half, word = half[word >= 0], word[word >= 0]
+                bounds = np.searchsorted(half, np.arange(0, first[-1] + IN_CACHE, IN_CACHE))
+                for n, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    here, place = np.unique(word[a:b], return_inverse=True)
+                    counts = np.bincount((half[a:b] - n * IN_CACHE) * len(here) + place, minlength=IN_CACHE * len(here)).reshape(IN_CACHE, -1).astype(np.float32)
+                    sums = counts @ weights[here]
                     z = sums[:, :-1] / np.maximum(sums[:, -1:], 1e-9)  # both sides scaled to unit length
-                    word = np.concatenate(part)
-                    half = np.repeat(np.arange(len(sums)), [min(HALF, len(x) - a) for x in part for a in range(0, len(x), HALF)])
-                    half, word = half[word >= 0], word[word >= 0]
-                    order = np.argsort(word, kind="stable")
-                    if len(order):
-                        sorted_words = word[order]
-                        starts = np.flatnonzero(np.concatenate(([True], sorted_words[1:] != sorted_words[:-1])))
-                        hit = sorted_words[starts]
-                        total[hit] += np.add.reduceat(z[half[order]], starts, axis=0) * idf[hit, None]
+                    total[here] += counts.T @ z * idf[here, None]
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(list(total[used]), pa.list_(pa.float32()))], ["word", "row"])
 
