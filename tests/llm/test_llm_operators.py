@@ -179,6 +179,43 @@ def test_decontamination_fits_its_space_on_all_documents(spark):
     assert np.linalg.norm(y - u @ (u.T @ y)) < 1e-4 * np.linalg.norm(y)
 
 
+def test_decontamination_reads_each_text_once(spark):
+    """The passes of the fit and the search in several blocks go over stored numbers; very long texts among short ones."""
+    from curatrix.llm import decontam as D
+
+    r = random.Random(33)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    fill = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [fill(r.randint(8, 40)) for _ in range(60)]
+    texts = [f"{fill(r.randint(0, 90))} {items[k]} {fill(r.randint(0, 90))}" for k in range(0, 60, 4)]
+    texts += [f"{fill(D.STRETCH - 5)} {items[1]} {fill(D.STRETCH)} {items[2]}", None, "", "!!", fill(40)]
+    read = spark.sparkContext.accumulator(0)
+
+    def reading(text):
+        read.add(1)
+        return text
+
+    d = docs(spark, texts).select("doc_id", F.udf(reading)("text").alias("text"))
+    b = _benchmark(spark, items)
+    got = {(x.doc_id, x.item_id) for x in D.contaminated(d, b, block_words=300).collect()}
+    assert got == {(i, k) for i, k in enumerate(range(0, 60, 4))} | {(15, 1), (15, 2)}
+    assert read.value == len(texts)
+
+
+@pytest.mark.parametrize("n_words", [1, 128, 129, 32_768, 32_769])
+def test_decontamination_stores_every_number(spark, n_words):
+    """The smallest type holds the last word and -1; ids, null and empty texts stay, in batches of any size."""
+    from curatrix.llm import decontam as D
+
+    vocabulary = {b"w%d" % i: i for i in range(n_words)}
+    texts = [f"W{n_words - 1}, other w0", None, "", " ".join(f"w{i}" for i in range(n_words)), "other"] * 5
+    want = [[n_words - 1, -1, 0], [], [], list(range(n_words)), [-1]] * 5
+    ids = [None if i == 7 else i for i in range(len(texts))]
+    rows = D.in_numbers(docs(spark, texts, ids).select("doc_id", "text").coalesce(1), vocabulary).collect()
+    assert [r.doc_id for r in rows] == ids
+    assert [np.frombuffer(r.words, D._number_type(vocabulary)).tolist() for r in rows] == want
+
+
 def _planted(r, pool, n_items, lengths, changes):
     """Items from texts, each planted in another text: whole, or with words swapped for others, left out, or put in order anew."""
     items, texts = [], []
